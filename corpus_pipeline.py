@@ -1,7 +1,72 @@
-"""A training-data pipeline: quality rules, line dedup, near duplicates, decontamination, mixing."""
-STAGES = []
-ORACLE_SQL = None
+"""A training-data pipeline: quality rules, line dedup, near duplicates, decontamination, mixing.
 
+Every stage but the last takes and returns the columns of ``documents``; between stages the rows are written
+to the shared folder as Parquet and read again, so a lost executor repeats tasks of one stage only.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from moundworks.llm import decontamination, line_dedup, mixing, near_dup, quality_rules
+from moundworks.llm.common import materialise, source_table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the web policy keeps."""
+    return quality_rules.ledger(docs).where(quality_rules.passes("web", 2)).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier document holds; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dup.keep_one(docs).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage to speak of."""
+    return decontamination.drop_contaminated(docs, source_table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training order: a row per copy that the mix takes."""
+    return mixing.mix(docs)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over documents."""
+    docs = source_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _over(sql: str, table: str) -> str:
+    """An operator's SQL with another table in place of documents."""
+    head = "WITH RECURSIVE " if sql.strip().startswith("WITH RECURSIVE") else "WITH "
+    return head + f"documents AS (SELECT * FROM {table}), " + sql.strip()[len(head) :]
+
+
+_LINES = line_dedup.OP5_SQL.replace("sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256", "coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '') AS kept")
+
+ORACLE_SQL = f"""
+WITH q1 AS (
+  SELECT d.* FROM documents d JOIN ({quality_rules.OP8_SQL}) q ON d.doc_id = q.doc_id WHERE q.kept
+), q2 AS (
+  SELECT d.doc_id, l.kept AS text, d.lang, d.source, length(l.kept) AS n_chars FROM q1 d JOIN ({_over(_LINES, "q1")}) l ON d.doc_id = l.doc_id
+), q3 AS (
+  SELECT d.* FROM q2 d JOIN ({_over(near_dup.OP9_SQL, "q2")}) c ON d.doc_id = c.doc_id WHERE c.component_id = d.doc_id
+), q4 AS (
+  SELECT d.* FROM q3 d JOIN ({_over(decontamination.OP7_SQL, "q3")}) c ON d.doc_id = c.doc_id WHERE NOT c.contaminated
+), {mixing.MIX_CTES.format(docs="q4")}
+SELECT doc_id, text, lang, source, n_chars, size, source_size, target, p AS copy, position, words AS taken FROM timed WHERE words > 0
+"""

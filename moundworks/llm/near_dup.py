@@ -246,3 +246,11 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN reach r ON r.a = w.doc_id GROUP BY w.doc_id
 """
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component: the one with the smallest id; exact repeats of a row's id and
+    text become one row, rows without an id stay where no linked document has an id."""
+    found = jaccard_components(docs)
+    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id", "text"])
