@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from moundworks.llm import decontamination, language_id, line_dedup, mixing, near_dup, quality_rules
+from moundworks.llm import decontamination, language_id, line_dedup, mixing, near_dup, pii, quality_rules, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_pii": pii.op6_pii,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_jaccard_join": near_dup.op9_jaccard_join,
     "op10_language_id": language_id.op10_language_id,
 }
-ORACLES = {"op1_mixing": mixing.OP1_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op8_quality_rules": quality_rules.OP8_SQL, "op7_decontamination": decontamination.OP7_SQL, "op9_jaccard_join": near_dup.OP9_SQL}
+ORACLES = {"op1_mixing": mixing.OP1_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op8_quality_rules": quality_rules.OP8_SQL, "op2_url_filter": url_filter.OP2_SQL, "op7_decontamination": decontamination.OP7_SQL, "op9_jaccard_join": near_dup.OP9_SQL}
