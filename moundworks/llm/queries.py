@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from moundworks.llm import decontamination, language_id, line_dedup, mixing, near_dup, pii, quality_rules, url_filter
+from moundworks.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dup, pii, quality_rules, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_pii": pii.op6_pii,
     "op7_decontamination": decontamination.op7_decontamination,
