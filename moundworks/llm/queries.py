@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from moundworks.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dup, pii, quality_rules, url_filter
+from moundworks.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dup, pii, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_lm_scoring": lm_scoring.op3_lm_scoring,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_pii": pii.op6_pii,
     "op7_decontamination": decontamination.op7_decontamination,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_jaccard_join": near_dup.op9_jaccard_join,
     "op10_language_id": language_id.op10_language_id,
 }
-ORACLES = {"op1_mixing": mixing.OP1_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op8_quality_rules": quality_rules.OP8_SQL, "op2_url_filter": url_filter.OP2_SQL, "op7_decontamination": decontamination.OP7_SQL, "op9_jaccard_join": near_dup.OP9_SQL}
+ORACLES = {"op1_mixing": mixing.OP1_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op8_quality_rules": quality_rules.OP8_SQL, "op4_suffix_dedup": suffix_dedup.OP4_SQL, "op2_url_filter": url_filter.OP2_SQL, "op7_decontamination": decontamination.OP7_SQL, "op9_jaccard_join": near_dup.OP9_SQL}
