@@ -1,0 +1 @@
+"""Pitch-tracking analytics as Spark jobs: DataFrame in, DataFrame out."""
