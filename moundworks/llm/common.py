@@ -19,27 +19,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moundworks.sources.shared import materialise as materialise
+from moundworks.sources.shared import shared_folder as shared_dir
+
 #: Words are runs of anything but ASCII whitespace (Java regular expression).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder URI below ``spark.checkpoint.dir``; only where that is unset (tests) a local one is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="moundworks-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and computes once."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of phases whose result is already in the shared folder."""
     import gc
