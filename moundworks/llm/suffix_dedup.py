@@ -38,8 +38,8 @@ from moundworks.llm.repeated import SCHEMA, Repeated, merge, pack, shards_for
 WIDTH = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # every difference modulo 31 is one of two members
 GRAM = WIDTH - PERIOD + 1
-SLICE = 4 << 20
-BUCKET_CHARS = 6_000_000
+SLICE = 2 << 20
+BUCKET_CHARS = 1_500_000
 KNOWN = 200_000
 PLACE = np.uint64((1 << 31) - 1)
 _SAMPLED = np.isin(np.arange(PERIOD), COVER)
@@ -197,8 +197,8 @@ def settle(context: list[bytes], before: np.ndarray, doc_id: np.ndarray) -> np.n
     right, left = np.zeros((n, WIDTH), np.uint8), np.zeros((n, span), np.uint8)
     size = np.array([len(c) for c in context], np.int64)
     flat = np.frombuffer(b"".join(context), np.uint8)
-    row = np.repeat(np.arange(n), size)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) - before[row]  # relative to the anchor
+    row = np.repeat(np.arange(n, dtype=np.int32), size)
+    place = np.arange(len(flat), dtype=np.int32) - np.repeat((np.cumsum(size) - size + before).astype(np.int32), size)  # relative to the anchor
     ahead = place >= 0
     right[row[ahead], place[ahead]] = flat[ahead]
     left[row[~ahead], -place[~ahead] - 1] = flat[~ahead]
