@@ -102,19 +102,20 @@ def _find(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, terms[at] == wanted
 
 
-def phrase_starts(lists: dict[int, np.ndarray], terms: np.ndarray, order: np.ndarray, slop: int) -> np.ndarray:
-    """Starts of a window's matches: offset-adjusted postings intersected from the rarest term on."""
-    start = None
-    for k in order.tolist():
+def matches(lists: dict[int, np.ndarray], terms: np.ndarray, order: np.ndarray, slop: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of a window's matches and their documents: offset-adjusted postings intersected from the rarest term on."""
+    place = lists[int(terms[order[0]])]
+    doc = np.searchsorted(starts, place, side="right") - 1
+    start = place - order[0]
+    for k in order[1:].tolist():
         postings = lists[int(terms[k])]
-        if start is None:
-            start = postings - k
-            continue
-        at = np.minimum(np.searchsorted(postings, start + k - slop), len(postings) - 1)
-        start = start[np.abs(postings[at] - start - k) <= slop]
+        least, most = np.maximum(start + k - slop, starts[doc]), np.minimum(start + k + slop, starts[doc + 1] - 1)
+        at = np.minimum(np.searchsorted(postings, least), len(postings) - 1)
+        found = (postings[at] >= least) & (postings[at] <= most)
+        start, doc = start[found], doc[found]
         if not len(start):
             break
-    return start
+    return start, doc
 
 
 def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
@@ -132,13 +133,10 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
                 for terms, order, names in zip(windows.terms, windows.order, windows.items, strict=True):
                     if not there[terms].all():
                         continue
-                    found = phrase_starts(lists, terms, order, slop)
-                    doc = np.searchsorted(starts, found, side="right") - 1
-                    whole = (found >= 0) & (doc < n)
-                    found, doc = found[whole], doc[whole]
-                    whole = found + len(terms) <= starts[doc + 1]
-                    for s, d in zip(found[whole].tolist(), doc[whole].tolist(), strict=True):
-                        hits[d].append((s - int(starts[d]), s - int(starts[d]) + len(terms)))
+                    found, doc = matches(lists, terms, order, slop, starts)
+                    least, most = np.maximum(found - slop - starts[doc], 0), np.minimum(found + len(terms) + slop, starts[doc + 1]) - starts[doc]
+                    for s, e, d in zip(least.tolist(), most.tolist(), doc.tolist(), strict=True):
+                        hits[d].append((s, e))
                         items[d].update(names)
                 merged = [[{"start": a, "end": b} for a, b in _merge(h)] for h in hits]
                 yield pa.RecordBatch.from_arrays(
@@ -220,4 +218,4 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.do
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_tag"]), "left_anti")

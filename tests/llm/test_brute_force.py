@@ -1,0 +1,102 @@
+"""Personal data and language-model scores against plain re-computations."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+from pyspark.sql import functions as F
+
+from moundworks.llm import lm_scoring, pii
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+DATA = "/root/testdata/sf0.001"
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(KINDS.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            fine = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}
+            if fine[kind]:
+                out.append((m.start(), rank, kind, m.end()))
+    return sorted(out)
+
+
+def test_pii_base_spans(spark):
+    rng = random.Random(5)
+    texts = [None, "", "a@b.c@d.e", "x a@b.com_x@y.org 1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "+1 (017) 555-7713 é +49-170-1234567", "😀 a@b.co", "1" * 5000, "a.b" * 3000 + "@", "0001.2.3.255", " a@b.cc" * 2000]
+    texts += ["".join(rng.choice("ab1.@+- 4(5)é😀\n%_9,") for _ in range(rng.choice([5, 20, 60, 200]))) for _ in range(1500)]
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert [(x["start"], x["rank"], x["kind"], x["end"]) for x in r["pii"] if x["rank"] < 4] == base_spans(r["text"])
+
+
+def test_pii_query(spark):
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in pii.op6_pii(spark, DATA).collect():
+        spans = base_spans(text[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{e}" for a, _, k, e in spans).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(s[2] == k for s in spans) for k in KINDS]
+
+
+def test_pii_checksums_context_and_mask(spark):
+    rows = [(1, "pay to DE89370400440532013000 now"), (2, "pay to DE88370400440532013000 now"), (3, "my ssn: 123-45-6789."), (4, "part 123-45-6789."), (5, 'token = "' + "ab" * 20 + '"'), (6, "hash " + "ab" * 20), (7, "é mail a@b.co, ip 1.2.3.4!")]
+    got = {r["doc_id"]: r for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kinds = {k: [x["kind"] for x in r["pii"]] for k, r in got.items()}
+    assert kinds == {1: ["iban"], 2: [], 3: ["ssn"], 4: [], 5: ["secret"], 6: [], 7: ["email", "ip"]}
+    assert got[7]["masked"] == "é mail [email], ip [ip]!"
+
+
+def test_language_model(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    words = lambda t: (t or "").encode().lower().split()
+    pairs, ones, before = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in docs:
+        if not held(i):
+            w = [None, *words(t), ""]
+            pairs.update(zip(w, w[1:]))
+            ones.update(w[1:])
+    for _, b in pairs:
+        before[b] += 1
+
+    def discounts(c):
+        n = [sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0, *(k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3))]
+
+    d, e, kinds, total = discounts(pairs), discounts(before), sum(before.values()), sum(ones.values())
+    follow, back = collections.Counter(), collections.Counter()
+    for (a, _), c in pairs.items():
+        follow[a] += c
+        back[a] += d[min(c, 3)]
+    rest = sum(e[min(c, 3)] for c in before.values()) / kinds
+    p1 = lambda w: max(before[w] - e[min(before[w], 3)], 0) / kinds + rest / (len(ones) + 1)
+    assert abs(sum(map(p1, ones)) + rest / (len(ones) + 1) - 1) < 1e-9
+    got = {r["doc_id"]: r for r in lm_scoring.op3_lm_scoring(spark, DATA).collect()}
+    lm = base = 0.0
+    for i, t in docs:
+        w = [None, *words(t), ""]
+        p = [(max(pairs[a, b] - d[min(pairs[a, b], 3)], 0) + back[a] * p1(b)) / follow[a] if follow[a] else p1(b) for a, b in zip(w, w[1:])]
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(w) - 1, sum(x in ones for x in w[1:]), total)
+        assert abs(r["score"] - sum(map(math.log10, p))) < 1e-6
+        assert abs(r["base_score"] - sum(math.log10((ones[x] + 1) / (total + len(ones) + 1)) for x in w[1:])) < 1e-6
+        if held(i):
+            lm, base = lm + r["score"], base + r["base_score"]
+    assert lm > base
+
+
+def test_language_model_large_counts(spark):
+    docs = spark.createDataFrame([(k, "a b " * 400) for k in range(3)], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    rows = lm_scoring.score(docs, lm_scoring.train(docs)).collect()
+    assert all(r["n_known"] == r["n_tokens"] == 801 and r["perplexity"] < 1.1 for r in rows)
