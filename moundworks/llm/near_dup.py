@@ -7,12 +7,14 @@ more blocks than that, a linked pair has an equal block: an equi-join on (size b
 
 1. Shingles that occur once in the corpus only add to differences: a set with over a quarter of those links
    with nothing and drops out (``repeated``; the test errs on the side of keeping).
-2. The remaining classes send their non-zero blocks.  All-zero blocks carry nothing, so a class needs more
-   non-zero blocks than the bound on differences; one that has fewer sends its zero blocks too.  If neither
-   side of a pair has enough, both do, so no pair is lost.
-3. In each block's group only pairs with its least node are verified on the exact sets; links join groups into
-   components; then pairs of different components in one group are verified.  Pairs inside a component need no
-   look, so a group of thousands of copies costs as many pairs as it has members.
+2. The remaining classes are cut into blocks.  All-zero blocks carry nothing; as linked sets share all but a
+   bounded number of their non-zero blocks, the rarest few of a class's blocks are enough (a prefix filter in
+   order of frequency), so blocks of a common passage are not joined on.  A class with too few non-zero blocks
+   sends all, zero ones too: if neither side of a pair has enough, both do, so no pair is lost.
+3. Of blocks with the same members one is enough.  In each block's group only pairs with a few of its members
+   are verified on the exact sets (memory-mapped); links join classes into components; then pairs of different
+   components in one group are verified if their sketches are near enough.  Pairs inside a component need no look, so a group of thousands of
+   copies costs a few times as many pairs as it has members.
 
 Defined cases: null, empty or blank texts have an empty set, link with nothing and are their own component; a
 text of fewer than five words is one shingle; rows with one set are one class whatever their ids; a null id is
@@ -21,6 +23,7 @@ never a component's id unless no member has one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +31,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from moundworks.llm.common import WordHashes, map_array, materialise, mix, put_array, shared_dir, slices, source_table, texts
+from moundworks.llm.common import WordHashes, free_shuffles, map_array, materialise, mix, put_array, shared_dir, slices, source_table, texts
 from moundworks.llm.components import components
 from moundworks.llm.repeated import SCHEMA, Repeated, merge, pack, shards_for
 
 WIDTH = 5
 BASE = 4 / 3  # sizes of linked sets differ by this factor at most: 1 / 0.75
-BLOCK_BITS = 64
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -77,11 +80,16 @@ def repeated_shingles(docs: DataFrame, folder: str) -> int:
     return n_shards
 
 
+FILE_KEYS = 4_000_000
+CENTRES = 4
+
+
 def classes(docs: DataFrame, folder: str, n_shards: int) -> DataFrame:
-    """doc_id, n, node, keys: keys only for sets that may link, once per task."""
+    """doc_id, n, node, and where the set lies (file, start) if it may link; a task writes a class's set once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known, sent = WordHashes(), Repeated(folder, n_shards), set()
+        name, held, n_held = f"sets-{uuid.uuid4().hex}", [], 0
         for whole in batches:
             for batch in slices(whole, 1):
                 found = sets(texts(batch.column(1)), hashes)
@@ -90,17 +98,39 @@ def classes(docs: DataFrame, folder: str, n_shards: int) -> DataFrame:
                 twice = np.concatenate([[0], np.cumsum(known.contains(np.concatenate(found)))]) if found else np.zeros(1, np.int64)
                 twice = twice[ends[1:]] - twice[ends[:-1]]
                 nodes = [node_of(k) if len(k) else None for k in found]
-                keep: list[bytes | None] = [None] * len(found)
+                file: list[str | None] = [None] * len(found)
+                start = [0] * len(found)
                 for r in np.flatnonzero((size > 0) & (4 * twice >= 3 * size)).tolist():
                     if nodes[r] not in sent:
                         if len(sent) > 1_000_000:
                             sent.clear()
                         sent.add(nodes[r])
-                        keep[r] = found[r].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(nodes, pa.int64()), pa.array(keep, pa.binary())], names=["doc_id", "n", "node", "keys"])
+                        file[r], start[r] = name, n_held
+                        held.append(found[r])
+                        n_held += len(found[r])
+                if n_held >= FILE_KEYS:
+                    put_array(folder, name, np.concatenate(held))
+                    name, held, n_held = f"sets-{uuid.uuid4().hex}", [], 0
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(nodes, pa.int64()), pa.array(file, pa.string()), pa.array(start, pa.int64())], names=["doc_id", "n", "node", "file", "start"])
+        if held:
+            put_array(folder, name, np.concatenate(held))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n long, node long, keys binary")
+    return rows.mapInArrow(run, "doc_id long, n long, node long, file string, start long")
+
+
+class Sets:
+    """Memory-mapped sets."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.open = folder, {}
+
+    def keys(self, file: str, start: int, n: int) -> np.ndarray:
+        if file not in self.open:
+            if len(self.open) > 500:
+                self.open.clear()
+            self.open[file] = map_array(self.folder, file)
+        return self.open[file][start : start + n]
 
 
 def band_sizes(band: int) -> tuple[int, int]:
@@ -117,55 +147,96 @@ def band_of(n: int) -> int:
     return band
 
 
-def n_blocks(band: int) -> tuple[int, int]:
-    """Blocks of a band's sketch, and the most bits by which linked sets differ if the smaller is in the band."""
-    least, most = band_sizes(band)
-    return int(0.6 * least) + 8, most // 3
+def bound_on_difference(n: int, band: int) -> int:
+    """The most elements by which a set of n differs from one that it links with, if the smaller is in the band."""
+    return n // 3 if band_of(n) == band else (n + band_sizes(band)[1]) // 7
+
 
+EVERY = 2**31 - 1
 
-def block_keys(keys: np.ndarray, band: int) -> np.ndarray:
-    """Join keys of a set's parity-sketch blocks in one band."""
-    blocks, bound = n_blocks(band)
-    bit = mix(keys + np.uint64(band + 1)) % np.uint64(blocks * BLOCK_BITS)
-    block = (bit // np.uint64(BLOCK_BITS)).astype(np.int64)
+
+def block_keys(keys: np.ndarray, band: int) -> tuple[np.ndarray, int]:
+    """Join keys of a set's parity-sketch blocks in one band, and how many of the rarest are enough.
+
+    A shingle toggles one of a block's 2 ** 32 bits.  The sketch is sparse, so a block is kept as the XOR of
+    codes of its set bits: toggling a bit twice cancels, and blocks are equal if and only if their codes are.
+    Linked sets differ in ``bound`` blocks at most (either side has its own bound), so all but ``bound`` of the
+    non-zero ones are shared; in any order common to all sets, the first ``bound + 1`` of each then share one.
+    """
+    blocks, bound = 3 * band_sizes(band)[0] + 8, bound_on_difference(len(keys), band)
+    h = mix(keys + np.uint64(band + 1))
     sketch = np.zeros(blocks, np.uint64)
-    np.bitwise_xor.at(sketch, block, np.uint64(1) << (bit % np.uint64(BLOCK_BITS)))
-    used = np.flatnonzero(sketch) if np.count_nonzero(sketch) > bound else np.arange(blocks)
-    return mix(mix(sketch[used] + np.uint64(band)) + used.astype(np.uint64))
+    np.bitwise_xor.at(sketch, (h % np.uint64(blocks)).astype(np.int64), mix(h >> np.uint64(32)))
+    used, enough = np.flatnonzero(sketch), bound + 1
+    if len(used) <= bound:
+        used, enough = np.arange(blocks), EVERY
+    return mix(mix(sketch[used] + np.uint64(band)) + used.astype(np.uint64)), enough
+
+
+SKETCH_LONGS = 32
 
 
-def signatures(kept: DataFrame) -> DataFrame:
-    """sig, node, n: every class in its own band (as the smaller set) and in the band below (as the larger)."""
+def sketches(kept: DataFrame, folder: str) -> DataFrame:
+    """node and the longs k0 .. of one parity sketch of each class over all bands."""
+    names = [f"k{k}" for k in range(SKETCH_LONGS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored = Sets(folder)
         for batch in batches:
-            sig, node, size = [], [], []
-            for i, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                keys, band = np.frombuffer(raw, np.uint64), band_of(n)
-                for b in {band, band - 1} - {-1}:
-                    found = block_keys(keys, b)
-                    sig.append(found)
-                    node.append(np.full(len(found), i, np.int64))
-                    size.append(np.full(len(found), n, np.int64))
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(size))], names=["sig", "node", "n"])
+            rows = np.zeros((batch.num_rows, SKETCH_LONGS), np.uint64)
+            for r, (n, file, start) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                h = mix(stored.keys(file, start, n) + np.uint64(1 << 40))
+                np.bitwise_xor.at(rows[r], (h % np.uint64(SKETCH_LONGS)).astype(np.int64), np.uint64(1) << (h >> np.uint64(58)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k].view(np.int64)) for k in range(SKETCH_LONGS))], names=["node", *names])
 
-    return kept.select("node", "n", "keys").mapInArrow(run, "sig long, node long, n long")
+    return kept.select("node", "n", "file", "start").mapInArrow(run, ", ".join(["node long", *(f"{c} long" for c in names)]))
 
 
-def store_sets(kept: DataFrame, folder: str) -> DataFrame:
-    """Write the classes' sets to memory-mappable files; node, n, file, start say where each lies."""
+def block_rows(kept: DataFrame, folder: str, then, schema: str) -> DataFrame:
+    """Rows that ``then`` makes of (node, size, band, block keys, enough) of batches of classes.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import uuid
+    Every class is sketched in its own band (as the smaller set) and in the band below (as the larger one).
+    """
 
-        for rows in batches:
-            if len(rows):
-                name = f"sets-{uuid.uuid4().hex}"
-                put_array(folder, name, np.frombuffer(b"".join(rows["keys"]), np.uint64))
-                yield pd.DataFrame({"node": rows["node"], "n": rows["n"], "file": name, "start": np.cumsum(rows["n"]) - rows["n"]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored = Sets(folder)
+        for batch in batches:
+            made = []
+            for i, n, file, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, band = stored.keys(file, start, n), band_of(n)
+                made += [(i, n, b, *block_keys(keys, b)) for b in (band, band - 1) if b >= 0]
+            for k in range(0, len(made), 2000):
+                yield then(made[k : k + 2000])
+
+    return kept.select("node", "n", "file", "start").mapInArrow(run, schema)
+
+
+BLOCKS = "sig long, node long, n long, band int, enough int"
+
+
+def signatures(kept: DataFrame, folder: str) -> DataFrame:
+    """Rows of BLOCKS: block keys that occur twice or more, and how many of the rarest of them are enough.
+
+    Keys that occur once are the rarest of all: a class with ``enough`` of those sends nothing.
+    """
+    keys = kept.agg(F.sum("n")).first()[0] or 0
+    n_shards, found = shards_for(keys), shared_dir(kept.sparkSession, "blocks")
+    merge(block_rows(kept, folder, lambda made: pack(np.concatenate([m[3] for m in made]), n_shards), SCHEMA), found)
 
-    return kept.select("node", "n", "keys").mapInPandas(run, "node long, n long, file string, start long")
+    def rows(made: list) -> pa.RecordBatch:
+        known = Repeated(found, n_shards)
+        sig = np.concatenate([m[3] for m in made])
+        size = np.array([len(m[3]) for m in made])
+        shared = known.contains(sig)
+        total = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], np.cumsum(size)])]
+        enough = np.array([m[4] for m in made])
+        enough = np.where(enough == EVERY, EVERY, enough - (size - np.diff(total)))
+        node, n, band, enough = (np.repeat(x, size) for x in (*(np.array([m[k] for m in made], np.int64) for k in range(3)), enough))
+        own = shared & (enough > 0)
+        cols = [sig[own].view(np.int64), node[own], n[own], band[own].astype(np.int32), enough[own].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+    return block_rows(kept, folder, rows, BLOCKS)
 
 
 def verify(pairs: DataFrame, where: DataFrame, folder: str) -> DataFrame:
@@ -174,17 +245,9 @@ def verify(pairs: DataFrame, where: DataFrame, folder: str) -> DataFrame:
     full = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files: dict[str, np.ndarray] = {}
-
-        def keys(file: str, start: int, n: int) -> np.ndarray:
-            if file not in files:
-                if len(files) > 500:
-                    files.clear()
-                files[file] = map_array(folder, file)
-            return files[file][start : start + n]
-
+        stored = Sets(folder)
         for rows in batches:
-            linked = [_linked(keys(r.fa, r.sa, r.na), keys(r.fb, r.sb, r.nb)) for r in rows.itertuples(index=False)]
+            linked = [_linked(stored.keys(r.fa, r.sa, r.na), stored.keys(r.fb, r.sb, r.nb)) for r in rows.itertuples(index=False)]
             yield rows.loc[np.array(linked, bool), ["a", "b"]] if len(rows) else rows[["a", "b"]]
 
     return full.mapInPandas(run, "a long, b long")
@@ -198,25 +261,64 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 4 * same >= 3 * (len(x) + len(y) - same)
 
 
+def block_groups(kept: DataFrame, folder: str) -> DataFrame:
+    """sig, node, n of the blocks that several classes share, a class's rarest ones as far as they are needed; of
+    blocks with the same members only one stays."""
+    rows = materialise(signatures(kept, folder), "blocks")
+    counts = rows.groupBy("sig").agg(F.count("*").alias("count"))
+    place = F.row_number().over(Window.partitionBy("node", "band").orderBy("count", "sig"))  # a class's blocks
+    rows = materialise(rows.join(counts, "sig").withColumn("place", place).where("place <= enough AND count > 1").select("sig", "node", "n"), "rarest")
+    members = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
+    groups = rows.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("size"), members).where("least < most")
+    one = groups.groupBy("least", "most", "size", "members").agg(F.min("sig").alias("sig")).select("sig")
+    return materialise(rows.join(one, "sig"), "groups")
+
+
+def star_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs of each group's members with a few centres.
+
+    A member whose blocks are shared most is the likeliest to link with the others (among edited copies of a
+    text, the least edited one); the other centres are the best of three random halves of the group.
+    """
+    sizes = groups.groupBy("sig").agg(F.count("*").alias("size"))
+    scores = groups.join(sizes, "sig").groupBy("node").agg(F.sum("size").alias("score"))
+    scored = groups.join(scores, "node")
+    inside = lambda k: F.lit(True) if k == 0 else F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
+    centres = [F.max(F.struct(F.when(inside(k), F.col("score")).otherwise(0).alias("s"), F.col("node"))).alias(f"c{k}") for k in range(CENTRES)]
+    chosen = scored.groupBy("sig").agg(*centres).select("sig", *[F.col(f"c{k}.node").alias(f"c{k}") for k in range(CENTRES)])
+    pairs = groups.join(chosen, "sig").select("node", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("c")).where("node <> c")
+    return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+
+
+def cross_pairs(groups: DataFrame, joined: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Pairs of members of one group that are in different components and may link.
+
+    The join itself leaves out pairs whose sketches' Hamming distance exceeds the difference that linked sets of
+    their sizes can have: the distance is never above the true difference, so no link is lost.
+    """
+    rooted = groups.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
+    rooted = materialise(rooted.join(mixed, "sig").join(sketch, "node"), "mixed")
+    names = [c for c in sketch.columns if c != "node"]
+    side = lambda s: rooted.select("sig", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}"), *[F.col(c).alias(f"{c}{s}") for c in names])
+    distance = " + ".join(f"bit_count({c}a ^ {c}b)" for c in names)
+    near = f"ra < rb AND 4 * least(na, nb) >= 3 * greatest(na, nb) AND 7 * ({distance}) <= na + nb"
+    return side("a").join(side("b"), "sig").where(near).select("a", "b").distinct()
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node (class; null for an empty set), component_id: one row per row of docs."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "near-dup")
     n_shards = repeated_shingles(docs, folder)
+    free_shuffles(spark)
     rows = materialise(classes(docs, folder, n_shards), "classes")
-    kept = materialise(rows.where("keys IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), "kept")
-    where = materialise(store_sets(kept, folder), "where")
-    every = signatures(kept)
-    counted = every.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    groups = materialise(every.join(counted, "sig").select("sig", "node", "n", "least"), "groups")
-    first = materialise(verify(groups.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), where, folder), "links")
-    joined = components(first)
-    rooted = groups.select("sig", "node", "n").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    rooted = materialise(rooted.join(mixed, "sig"), "mixed")
-    side = lambda s: rooted.select("sig", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}"))
-    across = side("a").join(side("b"), "sig").where("ra < rb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
-    second = verify(across, where, folder)
+    place = F.min(F.struct("n", "file", "start")).alias("p")
+    kept = materialise(rows.where("file IS NOT NULL").groupBy("node").agg(place).select("node", "p.*"), "kept")
+    groups = block_groups(kept, folder)
+    free_shuffles(spark)
+    first = materialise(verify(star_pairs(groups), kept, folder), "links")
+    second = materialise(verify(cross_pairs(groups, components(first), sketches(kept, folder)), kept, folder), "links")
     roots = components(first.unionByName(second))
     placed = rows.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -253,4 +355,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     text become one row, rows without an id stay where no linked document has an id."""
     found = jaccard_components(docs)
     keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates(["doc_id", "text"])
