@@ -502,7 +502,7 @@ def lstm_score(w: World) -> DataFrame:
 def predict_context(w: World) -> DataFrame:
     rows, codes = coded_rows(w)
     codes, stats, types = materialise(codes, "codes"), materialise(sequences.scaler_stats(rows), "stats"), materialise(arsenal.arsenal(clean_rows(w)).select("pitcher", "pitch_type"), "types")
-    return scoring.predict_contexts(w["contexts"], network(w, codes), codes, stats, types)
+    return scoring.predict_contexts(materialise(w["contexts"], "contexts"), network(w, codes), codes, stats, types)
 
 
 @query("rule_based_predictions", "SELECT pitcher, batter_stand, balls, strikes, r.* FROM contexts, (VALUES (1, 'FF', 50e0), (2, 'SL', 30e0)) AS r(rank, pitch_type, percent)", "contexts")
