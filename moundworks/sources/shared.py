@@ -18,8 +18,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and computes once."""
-    path = shared_folder(df.sparkSession, name)
+def materialise(df: DataFrame, name: str, within: str | None = None, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (or below a folder in it) and read it back: cuts lineage."""
+    path = f"{within}/{name}-{uuid.uuid4().hex}" if within else shared_folder(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a shared folder whose contents no later stage reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
