@@ -25,7 +25,7 @@ from moundworks.llm.common import n_words, source_table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-OUT = ("size", "source_size", "target", "taken", "positions", "_key", "_bucket", "_before", "_tie")
+OUT = ("size", "source_size", "target", "taken", "positions", "_group", "_key", "_bucket", "_before", "_tie")
 #: The columns of a schedule: knots of the weight curve of a source, times from 0 to 1.
 SCHEDULE = T.StructType([T.StructField("source", T.StringType()), T.StructField("t", T.DoubleType()), T.StructField("weight", T.DoubleType())])
 
@@ -33,7 +33,8 @@ SCHEDULE = T.StructType([T.StructField("source", T.StringType()), T.StructField(
 def measured(docs: DataFrame) -> DataFrame:
     """docs with their size in words, their place in the source's order, and what breaks ties."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.drop(*OUT).withColumns({"size": n_words(F.col("text")), "_key": key, "_bucket": F.substring(key, 1, 3), "_tie": F.xxhash64("text")})
+    group = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))  # never null, so windows and joins share a partitioning
+    return docs.drop(*OUT).withColumns({"_group": group, "size": n_words(F.col("text")), "_key": key, "_bucket": F.substring(key, 1, 3), "_tie": F.xxhash64("text")})
 
 
 def ranked_schedule(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -79,14 +80,14 @@ def when_reached(words: Column) -> Column:
 
 def assign(rows: DataFrame, schedule: DataFrame | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """Rows of ``measured`` with source_size, target, taken (words) and the positions of the copies taken."""
-    buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_n"))
+    buckets = rows.groupBy("source", "_group", "_bucket").agg(F.sum("size").alias("_n"))
     sources = buckets.groupBy("source").agg(F.sum("_n").alias("source_size"))
     goal = targets(sources, integrals(ranked_schedule(sources) if schedule is None else schedule), max_repeats)
-    before = F.sum("_n").over(W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")  # at most 4,096 rows a source
-    starts = buckets.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), before.alias("_start"))
-    starts = starts.join(goal.withColumnRenamed("source", "_g"), F.col("_s").eqNullSafe(F.col("_g"))).drop("_g")
-    own = F.sum("size").over(W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    placed = rows.withColumn("_own", own).join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b")
+    before = F.sum("_n").over(W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")  # at most 4,096 rows a source
+    starts = buckets.select(F.col("source").alias("_s"), "_group", "_bucket", before.alias("_start"))
+    starts = starts.join(goal.withColumnRenamed("source", "_g"), F.col("_s").eqNullSafe(F.col("_g"))).drop("_g", "_s")
+    own = F.sum("size").over(W.partitionBy("_group", "_bucket").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    placed = rows.withColumn("_own", own).join(starts, ["_group", "_bucket"])
     placed = placed.withColumn("_before", F.col("_own") + F.col("_start"))
     passes = F.sequence(F.lit(0), F.lit(max_repeats - 1))
     copies = F.transform(passes, lambda p: F.struct((F.col("_before") + F.col("source_size") * p).alias("at"), F.least(F.greatest(F.floor(F.col("target") + 0.5) - F.col("_before") - F.col("source_size") * p, F.lit(0)), F.col("size")).alias("words")))
@@ -94,7 +95,7 @@ def assign(rows: DataFrame, schedule: DataFrame | None = None, max_repeats: int
     taken = F.aggregate("_copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
     positions = F.transform("_copies", lambda c: F.struct(F.floor(when_reached(c["at"].cast("double")) * 1e9 + 0.5).cast("double").alias("p"), c["words"].alias("words")))
     positions = F.transform(positions, lambda x: F.struct((x["p"] / 1e9).alias("position"), x["words"].alias("words")))
-    return placed.withColumns({"taken": taken, "positions": positions}).drop("_own", "_start", "_before", "_copies", "_knots", "_area", "_key", "_bucket", "_tie")
+    return placed.withColumns({"taken": taken, "positions": positions}).drop("_own", "_start", "_before", "_copies", "_knots", "_area", "_group", "_key", "_bucket", "_tie")
 
 
 def mix(docs: DataFrame, schedule: DataFrame | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:
