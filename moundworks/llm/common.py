@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moundworks.sources.shared import discard as discard
 from moundworks.sources.shared import materialise as materialise
 from moundworks.sources.shared import shared_folder as shared_dir
 

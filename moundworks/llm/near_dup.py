@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from moundworks.llm.common import WordHashes, free_shuffles, map_array, materialise, mix, put_array, shared_dir, slices, source_table, texts
+from moundworks.llm.common import WordHashes, discard, free_shuffles, map_array, materialise, mix, put_array, shared_dir, slices, source_table, texts
 from moundworks.llm.components import components
 from moundworks.llm.repeated import SCHEMA, Repeated, merge, pack, shards_for
 
@@ -53,8 +54,18 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def sets(rows: list[bytes | None], hashes: WordHashes) -> list[np.ndarray]:
+    """The shingle set of each text; full-width shingles are hashed for all texts at once."""
     split = [(t or b"").lower().split() for t in rows]
-    return [shingles(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))) for w in split]
+    ends = np.cumsum([len(w) for w in split], dtype=np.int64) if split else np.zeros(0, np.int64)
+    words = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), np.uint64, int(ends[-1]) if len(ends) else 0)
+    h = np.full(max(len(words) - WIDTH + 1, 0), np.uint64(WIDTH))
+    for k in range(WIDTH):
+        h = mix(h + words[k : k + len(h)])
+    out = []
+    for w, end in zip(split, ends.tolist(), strict=True):
+        start = end - len(w)
+        out.append(np.unique(h[start : end - WIDTH + 1]) if len(w) >= WIDTH else shingles(words[start:end]))
+    return out
 
 
 def node_of(keys: np.ndarray) -> int:
@@ -220,7 +231,7 @@ def signatures(kept: DataFrame, folder: str) -> DataFrame:
     Keys that occur once are the rarest of all: a class with ``enough`` of those sends nothing.
     """
     keys = kept.agg(F.sum("n")).first()[0] or 0
-    n_shards, found = shards_for(keys), shared_dir(kept.sparkSession, "blocks")
+    n_shards, found = shards_for(keys), f"{folder}/blocks"
     merge(block_rows(kept, folder, lambda made: pack(np.concatenate([m[3] for m in made]), n_shards), SCHEMA), found)
 
     def rows(made: list) -> pa.RecordBatch:
@@ -264,14 +275,14 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
 def block_groups(kept: DataFrame, folder: str) -> DataFrame:
     """sig, node, n of the blocks that several classes share, a class's rarest ones as far as they are needed; of
     blocks with the same members only one stays."""
-    rows = materialise(signatures(kept, folder), "blocks")
+    rows = materialise(signatures(kept, folder), "blocks", folder)
     counts = rows.groupBy("sig").agg(F.count("*").alias("count"))
     place = F.row_number().over(Window.partitionBy("node", "band").orderBy("count", "sig"))  # a class's blocks
-    rows = materialise(rows.join(counts, "sig").withColumn("place", place).where("place <= enough AND count > 1").select("sig", "node", "n"), "rarest")
+    rows = materialise(rows.join(counts, "sig").withColumn("place", place).where("place <= enough AND count > 1").select("sig", "node", "n"), "rarest", folder)
     members = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
     groups = rows.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("size"), members).where("least < most")
     one = groups.groupBy("least", "most", "size", "members").agg(F.min("sig").alias("sig")).select("sig")
-    return materialise(rows.join(one, "sig"), "groups")
+    return materialise(rows.join(one, "sig"), "groups", folder)
 
 
 def star_pairs(groups: DataFrame) -> DataFrame:
@@ -290,7 +301,7 @@ def star_pairs(groups: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
-def cross_pairs(groups: DataFrame, joined: DataFrame, sketch: DataFrame) -> DataFrame:
+def cross_pairs(groups: DataFrame, joined: DataFrame, sketch: DataFrame, folder: str) -> DataFrame:
     """Pairs of members of one group that are in different components and may link.
 
     The join itself leaves out pairs whose sketches' Hamming distance exceeds the difference that linked sets of
@@ -298,7 +309,7 @@ def cross_pairs(groups: DataFrame, joined: DataFrame, sketch: DataFrame) -> Data
     """
     rooted = groups.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    rooted = materialise(rooted.join(mixed, "sig").join(sketch, "node"), "mixed")
+    rooted = materialise(rooted.join(mixed, "sig").join(sketch, "node"), "mixed", folder)
     names = [c for c in sketch.columns if c != "node"]
     side = lambda s: rooted.select("sig", F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("root").alias(f"r{s}"), *[F.col(c).alias(f"{c}{s}") for c in names])
     distance = " + ".join(f"bit_count({c}a ^ {c}b)" for c in names)
@@ -306,20 +317,33 @@ def cross_pairs(groups: DataFrame, joined: DataFrame, sketch: DataFrame) -> Data
     return side("a").join(side("b"), "sig").where(near).select("a", "b").distinct()
 
 
+def contracted(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after some more links between the components of ``joined``."""
+    root = lambda s: joined.select(F.col("node").alias(s), F.col("root").alias(f"r{s}"))
+    between = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    merged = materialise(components(between), "merged")
+    new = merged.withColumnRenamed("node", "old").withColumnRenamed("root", "new")
+    moved = joined.join(new, joined["root"] == new["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+    return moved.unionByName(merged.join(joined.select("node"), "node", "left_anti"))  # classes that were alone before
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node (class; null for an empty set), component_id: one row per row of docs."""
     spark = docs.sparkSession
-    folder = shared_dir(spark, "near-dup")
+    folder = shared_dir(spark, "near-dup")  # what only the steps below need
     n_shards = repeated_shingles(docs, folder)
     free_shuffles(spark)
     rows = materialise(classes(docs, folder, n_shards), "classes")
     place = F.min(F.struct("n", "file", "start")).alias("p")
-    kept = materialise(rows.where("file IS NOT NULL").groupBy("node").agg(place).select("node", "p.*"), "kept")
+    kept = materialise(rows.where("file IS NOT NULL").groupBy("node").agg(place).select("node", "p.*"), "kept", folder)
     groups = block_groups(kept, folder)
     free_shuffles(spark)
-    first = materialise(verify(star_pairs(groups), kept, folder), "links")
-    second = materialise(verify(cross_pairs(groups, components(first), sketches(kept, folder)), kept, folder), "links")
-    roots = components(first.unionByName(second))
+    first = materialise(verify(star_pairs(groups), kept, folder), "links", folder)
+    joined = materialise(components(first), "joined")
+    second = materialise(verify(cross_pairs(groups, joined, sketches(kept, folder), folder), kept, folder), "links", folder)
+    roots = joined if second.isEmpty() else materialise(contracted(joined, second), "roots")
+    discard(spark, folder)
+    free_shuffles(spark)
     placed = rows.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

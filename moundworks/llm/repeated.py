@@ -30,8 +30,9 @@ def pack(keys: np.ndarray, n_shards: int) -> pa.RecordBatch:
     low = keys.astype(np.uint32)
     order = np.lexsort((low, shard))
     shard, low, n = shard[order], low[order], n[order]
-    at = np.searchsorted(shard, np.arange(n_shards + 1))
-    rows = [(s, low[a:b][n[a:b] == 1].tobytes(), low[a:b][n[a:b] > 1].tobytes()) for s, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+    there, at = np.unique(shard, return_index=True)
+    ends = np.append(at[1:], len(shard))
+    rows = [(s, low[a:b][n[a:b] == 1].tobytes(), low[a:b][n[a:b] > 1].tobytes()) for s, a, b in zip(there.tolist(), at, ends, strict=False)]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["shard", "once", "more"])
 
 
@@ -59,11 +60,8 @@ class Repeated:
         shard = ((keys >> np.uint64(32)) % np.uint64(self.n_shards)).astype(np.int32)
         low, out = keys.astype(np.uint32), np.zeros(len(keys), bool)
         order = np.argsort(shard, kind="stable")
-        at = np.searchsorted(shard[order], np.arange(self.n_shards + 1))
-        for s in range(self.n_shards):
-            own = order[at[s] : at[s + 1]]
-            if not len(own):
-                continue
+        there, at = np.unique(shard[order], return_index=True)
+        for s, own in zip(there.tolist(), np.split(order, at[1:]), strict=False):  # no keys: one empty part
             if s not in self.open:
                 try:
                     self.open[s] = map_array(self.folder, f"repeated-{s}")
