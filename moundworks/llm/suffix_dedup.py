@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # every difference modulo 31 is one
 GRAM = WIDTH - PERIOD + 1
 SLICE = 2 << 20
 BUCKET_CHARS = 1_500_000
-KNOWN = 200_000
+KNOWN = 600_000
 PLACE = np.uint64((1 << 31) - 1)
 _SAMPLED = np.isin(np.arange(PERIOD), COVER)
 
@@ -120,17 +121,18 @@ def anchors(part: Slice, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return places[first], places[last], anchor, part.grams(anchor)
 
 
-def doc_key(doc_id: int, text: bytes | None) -> int:
-    return h64(doc_id.to_bytes(8, "little", signed=True) + (text or b""))
+def text_tag(text: bytes | None) -> int:
+    """Tells texts of one document id apart."""
+    return h64(text or b"") & 0x7FFFFFFF
 
 
-CONTEXTS = "bucket int, context binary, before int, doc_id long, doc long, start int, end int"
+CONTEXTS = "bucket int, context binary, before int, doc_id long, tag int, start int, size int"
 
 
 def contexts(docs: DataFrame, folder: str, n_shards: int, n_buckets: int) -> DataFrame:
     """Contexts of CONTEXTS to be sorted, and (without context) ranges already known to go.
 
-    doc: the document row's key; start, end: the range that the context's strings cover in the document.
+    tag: the text's; start: where the context begins in the document; size: bytes of a range without context.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,12 +144,13 @@ def contexts(docs: DataFrame, folder: str, n_shards: int, n_buckets: int) -> Dat
                 part = Slice(rows)
                 first, last, anchor, gram = anchors(part, candidates(part, known))
                 row, out, gone = part.row[first] if len(first) else first, [], {}
-                keys = {r: doc_key(ids[r], rows[r]) for r in np.unique(row).tolist()}
+                tags = {r: text_tag(rows[r]) for r in np.unique(row).tolist()}
                 bucket = (gram % np.uint64(n_buckets)).astype(np.int64).tolist()
                 base = part.starts[row].tolist() if len(first) else []
                 for r, a, e, p, b, s in zip(row.tolist(), first.tolist(), last.tolist(), anchor.tolist(), bucket, base, strict=True):
                     context = (part.bytes[a : e + WIDTH], p - a)
-                    if (seen := met.get(context)) is not None and seen < ids[r]:
+                    known_by = xxhash.xxh3_128_intdigest(context[0], p - a)
+                    if (seen := met.get(known_by)) is not None and seen < ids[r]:
                         ranges = gone.setdefault(r, [])
                         if ranges and a - s <= ranges[-1][1]:
                             ranges[-1][1] = e + WIDTH - s
@@ -156,13 +159,13 @@ def contexts(docs: DataFrame, folder: str, n_shards: int, n_buckets: int) -> Dat
                         continue
                     if len(met) >= KNOWN:
                         met.clear()
-                    met[context] = ids[r]
-                    out.append((b, context[0], p - a, ids[r], keys[r], a - s, e + WIDTH - s))
-                out += [(keys[r] % n_buckets, None, 0, 0, keys[r], a, b) for r, ranges in gone.items() for a, b in ranges]
+                    met[known_by] = ids[r]
+                    out.append((b, context[0], p - a, ids[r], tags[r], a - s, 0))
+                out += [(tags[r] % n_buckets, None, 0, ids[r], tags[r], a, b - a) for r, ranges in gone.items() for a, b in ranges]
                 columns = list(zip(*out, strict=True)) or [()] * 7
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()),
-                     pa.array(np.array(columns[4], np.uint64).view(np.int64)), pa.array(columns[5], pa.int32()), pa.array(columns[6], pa.int32())],
+                     pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.int32()), pa.array(columns[6], pa.int32())],
                     names=[x.split()[0] for x in CONTEXTS.split(", ")],
                 )
 
@@ -216,9 +219,10 @@ def settle(context: list[bytes], before: np.ndarray, doc_id: np.ndarray) -> np.n
 
 
 def sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """doc, start, end of the bytes to remove."""
+    """doc_id, tag, start, end of the bytes to remove."""
     known = rows["context"].isna()
-    out = [rows.loc[known, ["doc", "start", "end"]]]
+    settled = rows[known].reset_index(drop=True)
+    out = [pd.DataFrame({"doc_id": settled["doc_id"], "tag": settled["tag"], "start": settled["start"], "end": settled["start"] + settled["size"]})]
     rows = rows[~known]
     if len(rows):
         gone = settle(rows["context"].tolist(), rows["before"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64))
@@ -229,15 +233,20 @@ def sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(at)) - 1
             anchor = (rows["start"] + rows["before"]).to_numpy(np.int64)[at[first]]
-            out.append(pd.DataFrame({"doc": rows["doc"].to_numpy()[at[first]], "start": anchor - shift[last], "end": anchor - shift[first] + WIDTH}))
+            out.append(pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[at[first]], "tag": rows["tag"].to_numpy()[at[first]], "start": anchor - shift[last], "end": anchor - shift[first] + WIDTH}))
     return pd.concat(out).astype({"start": np.int32, "end": np.int32})
 
 
+def doc_key(doc_id: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """One key for a document's id and text."""
+    return mix(mix(doc_id.astype(np.int64).view(np.uint64)) + tag.astype(np.uint64))
+
+
 def store_ranges(ranges: DataFrame, folder: str, n_files: int) -> None:
     """Merge each document's ranges and write them as sorted arrays."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        doc, start, end = rows["doc"].to_numpy().view(np.uint64), rows["start"].to_numpy(np.int64), rows["end"].to_numpy(np.int64)
+        doc, start, end = doc_key(rows["doc_id"].to_numpy(np.int64), rows["tag"].to_numpy(np.int64)), rows["start"].to_numpy(np.int64), rows["end"].to_numpy(np.int64)
         order = np.lexsort((start, doc))
         doc, start, end = doc[order], start[order], end[order]
         shift = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) * np.int64(1 << 32)  # keeps documents apart in a running maximum
@@ -249,7 +258,7 @@ def store_ranges(ranges: DataFrame, folder: str, n_files: int) -> None:
         put_array(folder, f"ranges-{key[0]}", np.stack([start[first], reach[last] - shift[last]], axis=1))
         return pd.DataFrame({"n": [len(first)]})
 
-    ranges.groupBy(F.pmod("doc", F.lit(n_files)).cast("int").alias("file")).applyInPandas(run, "n long").agg({"n": "sum"}).collect()
+    ranges.groupBy(F.pmod("tag", F.lit(n_files)).cast("int").alias("file")).applyInPandas(run, "n long").agg({"n": "sum"}).collect()
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
@@ -261,8 +270,8 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
     chars = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_buckets = chars // BUCKET_CHARS + 8
-    sorted_rows = contexts(docs, folder, n_shards, n_buckets).groupBy("bucket").applyInPandas(sort_bucket, "doc long, start int, end int")
-    n_files = chars // (1 << 30) + 4
+    sorted_rows = contexts(docs, folder, n_shards, n_buckets).groupBy("bucket").applyInPandas(sort_bucket, "doc_id long, tag int, start int, end int")
+    n_files = chars // (1 << 26) + 16
     store_ranges(sorted_rows, folder, n_files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +282,8 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
                 for i, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                     text, ranges = text or b"", ()
                     if i is not None and len(text) >= WIDTH:
-                        key = np.uint64(doc_key(i, text))
-                        f = int(key.view(np.int64)) % n_files
+                        tag = text_tag(text)
+                        key, f = doc_key(np.array([i]), np.array([tag]))[0], tag % n_files
                         if f not in files:
                             try:
                                 files[f] = map_array(folder, f"range-docs-{f}"), map_array(folder, f"ranges-{f}")
