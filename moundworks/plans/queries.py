@@ -495,7 +495,8 @@ def network(w: World, codes: DataFrame) -> dict:
 @query("lstm_score")
 def lstm_score(w: World) -> DataFrame:
     codes = materialise(coded_rows(w)[1], "codes")
-    return scoring.lstm_score(sequences.sequence_dataset(clean.training_rows(w["pitches"])), network(w, codes), "idx", "label")
+    windows = sequences.sequence_dataset(clean.training_rows(w["pitches"]), limit=None)  # the cap is the training set's
+    return scoring.lstm_score(windows, network(w, codes), "idx", "label")
 
 
 @query("predict_context")

@@ -7,7 +7,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from moundworks.functions.constants import TRAINING_LIMIT
+from moundworks.operators import clean, scoring, sequences
 from moundworks.plans.queries import ORACLES, QUERIES
+from moundworks.sources import fixtures
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -47,5 +50,15 @@ def test_anchors(spark):
     assert QUERIES["pitch_sequences"](spark, DATA).count() == 4164
 
 
+def test_scoring_has_no_cap(spark, monkeypatch):
+    limit, *others = sequences.sequence_dataset.__defaults__
+    monkeypatch.setattr(sequences.sequence_dataset, "__defaults__", (100, *others))
+    assert QUERIES["sequence_dataset"](spark, DATA).count() == 95 and limit == TRAINING_LIMIT
+    complete = sequences.sequence_dataset(clean.training_rows(fixtures.world(spark, DATA)["pitches"]), limit=None).na.drop(subset=scoring.INPUTS)
+    idx = {r["idx"] for r in QUERIES["pitch_sequences"](spark, DATA).select("idx").collect()}
+    got = [r["idx"] for r in QUERIES["lstm_score"](spark, DATA).select("idx").collect()]
+    assert len(got) == len(set(got)) == complete.count() > 100 and set(got) <= idx
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
