@@ -6,13 +6,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundworks.functions.constants import FEATURES, SEQUENCE
 
 INPUTS = [f"{c}_{k}" for k in range(1, SEQUENCE + 1) for c in FEATURES]
 CONTEXT = ("pitcher", "stand", "balls", "strikes", "outs_when_up", "inning")
+OTHER = "other"
 
 
 def train_sequence_model(dataset: DataFrame, hidden: int = 32, iterations: int = 20, seed: int = 7) -> PipelineModel:
@@ -32,9 +33,8 @@ def loss_history(spark: SparkSession, model: PipelineModel) -> DataFrame:
 def train_context_model(rows: DataFrame, trees: int = 20, pitchers: int = 64, seed: int = 7) -> PipelineModel:
     """Random forest on the game context; the most frequent pitchers have a category each, the rest share one."""
     top = rows.groupBy("pitcher").count().orderBy(F.desc("count"), "pitcher").limit(pitchers - 1).select("pitcher")
-    frequent = [r[0] for r in top.collect()]  # fewer than the forest's bins
-    name = F.when(F.col("pitcher").isin(frequent), F.col("pitcher").cast("string")).otherwise("other")
-    ready = context_rows(rows.withColumn("pitcher_class", name))
+    frequent = [str(r[0]) for r in top.collect() if r[0] is not None]  # fewer than the forest's bins
+    ready = context_rows(rows.withColumn("pitcher_class", pitcher_class(frequent)))
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in ("pitcher_class", "stand")]
     stages.append(StringIndexer(inputCol="pitch_type", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"))
     stages.append(VectorAssembler(inputCols=["pitcher_class_index", "stand_index", "balls", "strikes", "outs_when_up", "inning"], outputCol="features"))
@@ -42,11 +42,24 @@ def train_context_model(rows: DataFrame, trees: int = 20, pitchers: int = 64, se
     return Pipeline(stages=stages).fit(ready)
 
 
+def pitcher_class(frequent: list[str]) -> Column:
+    """A frequent pitcher's own category, or the one that all others share, null among them."""
+    name = F.col("pitcher").cast("string")
+    return F.when(name.isin(frequent), name).otherwise(OTHER)
+
+
+def frequent_pitchers(model: PipelineModel) -> list[str]:
+    """The pitchers with a category each, as the (saved) model carries them."""
+    return [x for x in model.stages[0].labelsArray[0] if x != OTHER]
+
+
 def context_rows(rows: DataFrame) -> DataFrame:
     return rows.na.fill("unknown", subset=["stand"]).na.drop(subset=["balls", "strikes", "outs_when_up", "inning"])
 
 
 def class_probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """rows with probabilities; pitchers are classed as they were when the model was fit."""
+    rows = rows.withColumn("pitcher_class", pitcher_class(frequent_pitchers(model)))
     return model.transform(rows).withColumn("probabilities", vector_to_array("probability"))
 
 

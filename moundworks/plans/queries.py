@@ -472,8 +472,7 @@ def train_sequence_model(w: World) -> DataFrame:
 def train_context_model(w: World) -> DataFrame:
     rows = w["pitches"].where("pitch_type IS NOT NULL").select("pitch_type", *models.CONTEXT).cache()
     model = models.train_context_model(rows, trees=5)
-    name = F.col("pitcher").cast("string")
-    contexts = models.context_rows(rows.select(*models.CONTEXT).distinct().withColumns({"pitcher_class": name, "pitch_type": F.lit("FF")}))
+    contexts = models.context_rows(rows.select(*models.CONTEXT).distinct().withColumn("pitch_type", F.lit("FF")))
     return models.class_probabilities(model, contexts).select(*models.CONTEXT, "probabilities")
 
 

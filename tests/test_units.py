@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from moundworks.functions import constants as C
@@ -192,5 +193,18 @@ def test_context_model(spark):
     assert all(abs(sum(x) - 1) < 1e-9 for x in p)
 
 
+def test_rare_pitchers_share_a_class(spark):
+    rows = fixtures.world(spark, DATA)["pitches"].where("pitch_type IS NOT NULL").select("pitch_type", *models.CONTEXT).cache()
+    model = models.train_context_model(rows, trees=5, pitchers=8)
+    frequent = [x for x in model.stages[0].labelsArray[0] if x != "other"]
+    asked = models.context_rows(rows.where(~F.col("pitcher").cast("string").isin(frequent)).distinct().withColumn("pitcher_class", F.col("pitcher").cast("string")))
+    asked = asked.unionByName(asked.limit(1).withColumns({"pitcher": F.lit(-1).cast("long"), "pitcher_class": F.lit("-1")})).drop("pitch_type").withColumn("pitch_type", F.lit("FF"))
+    by = ["pitcher", "stand", "balls", "strikes", "outs_when_up", "inning"]
+    got = models.class_probabilities(model, asked).select(*by, "probabilities").distinct().orderBy(by).collect()
+    learned = model.transform(asked.withColumn("pitcher_class", F.lit("other"))).withColumn("probabilities", vector_to_array("probability"))
+    assert len(frequent) == 7 and len(got) > 100
+    assert got == learned.select(*by, "probabilities").distinct().orderBy(by).collect()
+
+
 def test_constants():
     assert len(C.VALID_ARSENAL) == len(C.PITCH_NAMES) == 12 and len(C.RUN_CENTS) == 16
