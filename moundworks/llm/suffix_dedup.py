@@ -8,7 +8,9 @@
 2. The rest is cut at anchors, the least 20-byte hash of each 50-byte string: equal strings have the same
    anchor at the same place.  The bytes around an anchor that its strings cover (at most 80) are its context.
    A task settles a context that it has already met in a smaller document; the others go to suffix buckets by
-   the anchor's hash, some hundred thousand each, so no more than a bucket is ever sorted at once.
+   the anchor's hash, some hundred thousand each, so no more than a bucket is ever sorted at once.  An anchor
+   with very many different contexts (a common passage's edges), as a sixteenth of the documents shows, has each of
+   its 50-byte strings sent to a bucket by the string's own hash instead, once per task while documents rise.
 3. A bucket's anchors are sorted once by the bytes from the anchor on and once by those before it, backwards.
    Shared prefix lengths turn either order into classes for every length, so each of the 31 strings around an
    anchor is a pair of class numbers, compared exactly; the smallest document of each pair is then known.
@@ -42,6 +44,8 @@ GRAM = WIDTH - PERIOD + 1
 SLICE = 2 << 20
 BUCKET_CHARS = 1_500_000
 KNOWN = 600_000
+KNOWN_STRINGS = 100_000
+HOT, SAMPLED = 8_000, 16  # contexts of an anchor that is split by string, estimated from one of so many documents
 PLACE = np.uint64((1 << 31) - 1)
 _SAMPLED = np.isin(np.arange(PERIOD), COVER)
 
@@ -126,42 +130,89 @@ def text_tag(text: bytes | None) -> int:
     return h64(text or b"") & 0x7FFFFFFF
 
 
+def hot_anchors(docs: DataFrame, folder: str, n_shards: int) -> np.ndarray:
+    """Hashes, sorted, of anchors that would send HOT contexts or more; any choice of anchors gives the same result."""
+    n_tasks = docs.rdd.getNumPartitions()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, met = Repeated(folder, n_shards), set()
+        for whole in batches:
+            for batch in slices(whole, 1, SLICE):
+                part = Slice([b"" if i is None else t for i, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)])
+                first, last, anchor, gram = anchors(part, candidates(part, known))
+                digest = [xxhash.xxh3_64_intdigest(part.bytes[a : e + WIDTH], p - a) for a, e, p in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True)]
+                new = []
+                for k, d in enumerate(digest):
+                    if d not in met:
+                        if len(met) >= KNOWN:
+                            met.clear()
+                        met.add(d)
+                        new.append(k)
+                yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), pa.array(np.array(digest, np.uint64)[new].view(np.int64))], names=["anchor", "digest"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(run, "anchor long, digest long")
+    sent = F.least(F.col("count") * SAMPLED, F.lit(n_tasks).cast("long"))  # a task settles what it has met
+    sums = sample.groupBy("anchor", "digest").count().groupBy("anchor").agg(F.sum(sent).alias("sent"))
+    return np.sort(np.array([r[0] for r in sums.where(F.col("sent") >= HOT).select("anchor").collect()], np.int64).view(np.uint64))
+
+
 CONTEXTS = "bucket int, context binary, before int, doc_id long, tag int, start int, size int"
 
 
-def contexts(docs: DataFrame, folder: str, n_shards: int, n_buckets: int) -> DataFrame:
+def contexts(docs: DataFrame, folder: str, n_shards: int, n_buckets: int, hot: np.ndarray) -> DataFrame:
     """Contexts of CONTEXTS to be sorted, and (without context) ranges already known to go.
 
     tag: the text's; start: where the context begins in the document; size: bytes of a range without context.
+    A string of a hot anchor is a context of its own that begins with its anchor.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def met_before(met: dict[int, int], key: int, doc_id: int, most: int) -> bool:
+        """Has a smaller document had this?  If not, remember it."""
+        if (seen := met.get(key)) is not None and seen < doc_id:
+            return True
+        if len(met) >= most:
+            met.clear()
+        met[key] = doc_id
+        return False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, met = Repeated(folder, n_shards), {}
+        known, met, met_strings, hot = Repeated(folder, n_shards), {}, {}, shared.value
         for whole in batches:
             for batch in slices(whole, 1, SLICE):
-                ids, rows = batch.column(0).to_pylist(), texts(batch.column(1))
-                rows = [b"" if i is None else t for i, t in zip(ids, rows, strict=True)]
+                rows = zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)
+                rows = sorted(((i, t) for i, t in rows if i is not None), key=lambda r: r[0])  # smaller documents settle others
+                ids, rows = [i for i, _ in rows], [t for _, t in rows]
                 part = Slice(rows)
                 first, last, anchor, gram = anchors(part, candidates(part, known))
                 row, out, gone = part.row[first] if len(first) else first, [], {}
                 tags = {r: text_tag(rows[r]) for r in np.unique(row).tolist()}
                 bucket = (gram % np.uint64(n_buckets)).astype(np.int64).tolist()
+                split = np.isin(gram, hot).tolist()
                 base = part.starts[row].tolist() if len(first) else []
-                for r, a, e, p, b, s in zip(row.tolist(), first.tolist(), last.tolist(), anchor.tolist(), bucket, base, strict=True):
-                    context = (part.bytes[a : e + WIDTH], p - a)
-                    known_by = xxhash.xxh3_128_intdigest(context[0], p - a)
-                    if (seen := met.get(known_by)) is not None and seen < ids[r]:
-                        ranges = gone.setdefault(r, [])
-                        if ranges and a - s <= ranges[-1][1]:
-                            ranges[-1][1] = e + WIDTH - s
-                        else:
-                            ranges.append([a - s, e + WIDTH - s])
-                        continue
-                    if len(met) >= KNOWN:
-                        met.clear()
-                    met[known_by] = ids[r]
-                    out.append((b, context[0], p - a, ids[r], tags[r], a - s, 0))
-                out += [(tags[r] % n_buckets, None, 0, ids[r], tags[r], a, b - a) for r, ranges in gone.items() for a, b in ranges]
+
+                def remove(r: int, a: int, b: int, gone: dict = gone) -> None:
+                    ranges = gone.setdefault(r, [])
+                    if ranges and a <= ranges[-1][1]:
+                        ranges[-1][1] = b
+                    else:
+                        ranges.append([a, b])
+
+                for r, a, e, p, b, s, many in zip(row.tolist(), first.tolist(), last.tolist(), anchor.tolist(), bucket, base, split, strict=True):
+                    context = part.bytes[a : e + WIDTH]
+                    if met_before(met, xxhash.xxh3_128_intdigest(context, p - a), ids[r], KNOWN):
+                        remove(r, a - s, e + WIDTH - s)
+                    elif not many:
+                        out.append((b, context, p - a, ids[r], tags[r], a - s, 0))
+                    else:
+                        for k in range(e - a + 1):
+                            string = context[k : k + WIDTH]
+                            key = xxhash.xxh3_128_intdigest(string)
+                            if met_before(met_strings, key, ids[r], KNOWN_STRINGS):
+                                remove(r, a - s + k, a - s + k + WIDTH)
+                            else:
+                                out.append((key % n_buckets, string, 0, ids[r], tags[r], a - s + k, 0))
+                out += [((ids[r] + tags[r]) % n_buckets, None, 0, ids[r], tags[r], a, b - a) for r, ranges in gone.items() for a, b in ranges]
                 columns = list(zip(*out, strict=True)) or [()] * 7
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()),
@@ -258,7 +309,9 @@ def store_ranges(ranges: DataFrame, folder: str, n_files: int) -> None:
         put_array(folder, f"ranges-{key[0]}", np.stack([start[first], reach[last] - shift[last]], axis=1))
         return pd.DataFrame({"n": [len(first)]})
 
-    ranges.groupBy(F.pmod("tag", F.lit(n_files)).cast("int").alias("file")).applyInPandas(run, "n long").agg({"n": "sum"}).collect()
+    n = F.lit(n_files).cast("long")
+    file = F.pmod(F.pmod("doc_id", n) + F.col("tag"), n)  # equal texts are spread by their ids
+    ranges.groupBy(file.cast("int").alias("file")).applyInPandas(run, "n long").agg({"n": "sum"}).collect()
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
@@ -270,7 +323,9 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
     chars = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_buckets = chars // BUCKET_CHARS + 8
-    sorted_rows = contexts(docs, folder, n_shards, n_buckets).groupBy("bucket").applyInPandas(sort_bucket, "doc_id long, tag int, start int, end int")
+    hot = hot_anchors(docs, folder, n_shards)
+    free_shuffles(spark)
+    sorted_rows = contexts(docs, folder, n_shards, n_buckets, hot).groupBy("bucket").applyInPandas(sort_bucket, "doc_id long, tag int, start int, end int")
     n_files = chars // (1 << 26) + 16
     store_ranges(sorted_rows, folder, n_files)
 
@@ -283,7 +338,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
                     text, ranges = text or b"", ()
                     if i is not None and len(text) >= WIDTH:
                         tag = text_tag(text)
-                        key, f = doc_key(np.array([i]), np.array([tag]))[0], tag % n_files
+                        key, f = doc_key(np.array([i]), np.array([tag]))[0], (i + tag) % n_files
                         if f not in files:
                             try:
                                 files[f] = map_array(folder, f"range-docs-{f}"), map_array(folder, f"ranges-{f}")

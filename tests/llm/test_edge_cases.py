@@ -174,6 +174,32 @@ def test_suffixes_against_brute_force(spark):
     assert got == brute_bytes([(i, t.encode()) for i, t in rows])
 
 
+def test_a_common_passage_is_spread(spark, monkeypatch):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(120)
+    rows = [(k, noise(60) + passage + noise(60)) for k in range(1500, 0, -1)] + [(3, "x" * 70), (9, "x" * 70)]  # ids fall
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffix_dedup, "HOT", 100)
+    folder = suffix_dedup.shared_dir(spark, "suffix")
+    n_shards = suffix_dedup.cover_sample(docs, folder)
+    hot = suffix_dedup.hot_anchors(docs, folder, n_shards)
+    assert len(hot)
+    sent = suffix_dedup.contexts(docs, folder, n_shards, 50, hot).where("context IS NOT NULL").groupBy("bucket").count()
+    whole = suffix_dedup.contexts(docs, folder, n_shards, 50, hot[:0]).where("context IS NOT NULL").groupBy("bucket").count()
+    share = lambda d: d.agg(F.max("count") / F.sum("count")).first()[0]
+    assert share(sent) < 0.06 < 0.15 < share(whole)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup_bytes(docs).collect() if r["n_bytes"] != 70)
+    want = brute_bytes([(i, t.encode()) for i, t in rows if len(t) != 70])
+    assert got == sorted((i, *v) for i, v in want.items())
+
+
+def test_all_anchors_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 0)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    test_suffixes_against_brute_force(spark)
+
+
 def test_cover_meets_every_difference():
     c = suffix_dedup.COVER
     assert {(a - b) % suffix_dedup.PERIOD for a in c for b in c} == set(range(suffix_dedup.PERIOD))
