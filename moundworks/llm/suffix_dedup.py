@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundworks.llm.common import free_shuffles, h64, map_array, mix, put_array, shared_dir, slices, source_table, texts
-from moundworks.llm.repeated import SCHEMA, Repeated, merge, pack, shards_for
+from moundworks.llm.repeated import SCHEMA, Repeated, merge, packed, shards_for
 
 WIDTH = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # every difference modulo 31 is one of two members
@@ -80,12 +80,10 @@ def cover_sample(docs: DataFrame, folder: str) -> int:
     n_shards = shards_for(chars * len(COVER) / PERIOD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 1, SLICE):
-                part = Slice(texts(batch.column(1)))
-                yield pack(part.grams(part.sample()), n_shards)
+        parts = (Slice(texts(batch.column(1))) for whole in batches for batch in slices(whole, 1, SLICE))
+        yield from packed((part.grams(part.sample()) for part in parts), n_shards)
 
-    merge(docs.mapInArrow(run, SCHEMA), folder)
+    merge(docs.mapInArrow(run, SCHEMA), folder, n_shards)
     return n_shards
 
 
