@@ -224,7 +224,7 @@ def test_url_rules(spark):
     urls = [None, "nothing", "http://EXAMPLE.org/es/1?x", "http://example.org/en/12", "http://a.example.org", "x://b.com/fr/#q", "http://c.com/de/x", "http://c.net/de/x", "http://notcom/fr/"]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     assert got[0] == ("", "", None, "allow") and got[1][:3] == ("", "", None)
-    assert got[2] == ("example.org", "/es/1", "example.org/es/", "block") and got[3] == ("example.org", "/en/12", "example.org/en/1", "allow")
+    assert got[2] == ("example.org", "/es/1", "example.org/es/", "block") and got[3] == ("example.org", "/en/12", "example.org/en/1", "block")
     assert got[4] == ("a.example.org", "", None, "allow") and got[5] == ("b.com", "/fr/", "com/fr/", "allow")
     assert got[6][2:] == ("com/de/", "block") and got[7][2] is None and got[8][2] is None
 
