@@ -60,37 +60,39 @@ def test_language_model(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     words = lambda t: (t or "").encode().lower().split()
-    pairs, ones, before = collections.Counter(), collections.Counter(), collections.Counter()
+    triples, ones = collections.Counter(), collections.Counter()
     for i, t in docs:
         if not held(i):
-            w = [None, *words(t), ""]
-            pairs.update(zip(w, w[1:]))
-            ones.update(w[1:])
-    for _, b in pairs:
-        before[b] += 1
-
-    def discounts(c):
+            w = [None, None, *words(t), ""]
+            triples.update(zip(w, w[1:], w[2:]))
+            ones.update(w[2:])
+    pairs = collections.Counter((v, w) for _, v, w in triples)  # different words before a pair
+    before = collections.Counter(w for _, w in pairs)
+
+    def model(c):
+        """Discounts, and per context the counts' sum and what is taken from them."""
         n = [sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1])
-        return [0, *(k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3))]
-
-    d, e, kinds, total = discounts(pairs), discounts(before), sum(before.values()), sum(ones.values())
-    follow, back = collections.Counter(), collections.Counter()
-    for (a, _), c in pairs.items():
-        follow[a] += c
-        back[a] += d[min(c, 3)]
-    rest = sum(e[min(c, 3)] for c in before.values()) / kinds
-    p1 = lambda w: max(before[w] - e[min(before[w], 3)], 0) / kinds + rest / (len(ones) + 1)
-    assert abs(sum(map(p1, ones)) + rest / (len(ones) + 1) - 1) < 1e-9
+        d = [0, *(k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3))]
+        total, back = collections.Counter(), collections.Counter()
+        for gram, x in c.items():
+            total[gram[:-1]] += x
+            back[gram[:-1]] += d[min(x, 3)]
+        return lambda gram, lower: (max(c[gram] - d[min(c[gram], 3)], 0) + back[gram[:-1]] * lower) / total[gram[:-1]] if total[gram[:-1]] else lower
+
+    three, two, one = model(triples), model(pairs), model(collections.Counter({(w,): n for w, n in before.items()}))
+    total = sum(ones.values())
+    p1 = lambda w: one((w,), 1 / (len(ones) + 1))
+    assert abs(sum(map(p1, ones)) + p1("no such word") - 1) < 1e-9
     got = {r["doc_id"]: r for r in lm_scoring.op3_lm_scoring(spark, DATA).collect()}
     lm = base = 0.0
     for i, t in docs:
-        w = [None, *words(t), ""]
-        p = [(max(pairs[a, b] - d[min(pairs[a, b], 3)], 0) + back[a] * p1(b)) / follow[a] if follow[a] else p1(b) for a, b in zip(w, w[1:])]
+        w = [None, None, *words(t), ""]
+        p = [three((a, b, c), two((b, c), p1(c))) for a, b, c in zip(w, w[1:], w[2:])]
         r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(w) - 1, sum(x in ones for x in w[1:]), total)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(w) - 2, sum(x in ones for x in w[2:]), total)
         assert abs(r["score"] - sum(map(math.log10, p))) < 1e-6
-        assert abs(r["base_score"] - sum(math.log10((ones[x] + 1) / (total + len(ones) + 1)) for x in w[1:])) < 1e-6
+        assert abs(r["base_score"] - sum(math.log10((ones[x] + 1) / (total + len(ones) + 1)) for x in w[2:])) < 1e-6
         if held(i):
             lm, base = lm + r["score"], base + r["base_score"]
     assert lm > base
