@@ -9,7 +9,8 @@
 
 Defined cases: a null text stays null and counts as one empty line; an empty text is one empty line; rows
 with a null ``doc_id`` neither cause a removal nor lose lines; rows that repeat a ``doc_id`` are one document;
-columns named ``n_lines`` or ``n_dropped`` in the input are replaced; all others pass through unchanged.
+lines and texts of any length are taken whole; columns of the input named as those of ``ADDED`` are replaced, all others
+pass through unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,18 +18,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moundworks.llm.common import map_array, materialise, mix, put_array, shared_dir, slices, source_table, texts
+from moundworks.llm.common import materialise, mix, shared_dir, slices, source_table, texts
+from moundworks.llm.repeated import by_shard
+from moundworks.llm.store import Store, put
 
 MIN_CHARS = 10
 SHARD_KEYS = 1_000_000
 MASK = (1 << 64) - 1
+ADDED = ("n_lines", "n_dropped", "most_copies")
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -109,62 +113,59 @@ def probe_hash(words: np.ndarray, ranks: np.ndarray, sizes: np.ndarray, place: n
     return slot
 
 
-PARTS = ("words", "ranks", "sizes", "marks", "counts", "firsts")
+def build_shards(repeated: DataFrame, folder: str, n_shards: int) -> None:
+    """One minimal perfect hash and its arrays per shard, written to ``folder``; a shard without lines is written too."""
 
-
-def build_shards(repeated: DataFrame, folder: str, n_shards: int) -> DataFrame:
-    """One minimal perfect hash and its arrays per shard, written to ``folder``."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        place, mark = (rows[c].to_numpy().view(np.uint64) for c in ("place", "mark"))
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.filter(pc.is_valid(rows["place"]))
+        place, mark, first, n = (rows[c].to_numpy() for c in ("place", "mark", "first", "n"))
+        place, mark = place.view(np.uint64), mark.view(np.uint64)
         words, ranks, sizes, slot = build_hash(place, mark)
-        marks, counts, firsts = np.empty(len(rows), np.uint64), np.empty(len(rows), np.int32), np.empty(len(rows), np.int64)
-        marks[slot], counts[slot], firsts[slot] = mark, rows["n"].clip(upper=2**31 - 1), rows["first"]
-        for name, array in zip(PARTS, (words, ranks, sizes, marks, counts, firsts), strict=True):
-            put_array(folder, f"{name}-{key[0]}", array)
-        return pd.DataFrame({"shard": [key[0]], "n": [len(rows)]})
+        marks, counts, firsts = np.empty(len(rows), np.uint64), np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
+        marks[slot], counts[slot], firsts[slot] = mark, n, first
+        put(folder, f"lines-{key[0].as_py()}", words=words, ranks=ranks, sizes=sizes, marks=marks, counts=counts, firsts=firsts)
+        return pa.table({"n": [len(rows)]})
 
-    return repeated.withColumn("shard", F.pmod("place", F.lit(n_shards)).cast("int")).groupBy("shard").applyInPandas(run, "shard int, n long")
+    empty = repeated.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard"), *[F.lit(None).cast("long").alias(c) for c in repeated.columns])
+    dealt = repeated.withColumn("shard", F.pmod("place", F.lit(n_shards)).cast("int")).unionByName(empty)
+    dealt.groupBy("shard").applyInArrow(run, "n long").agg({"n": "sum"}).collect()
 
 
 class Shards:
-    """Memory-mapped shards, opened when first needed."""
-
-    def __init__(self, folder: str, n_shards: int, present: set[int]) -> None:
-        self.folder, self.n, self.present, self.open = folder, n_shards, present, {}
-
-    def first_document(self, place: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Found or not, and the smallest document that holds the line."""
-        found, first = np.zeros(len(place), bool), np.zeros(len(place), np.int64)
-        shard = np.mod(place.view(np.int64), self.n)
-        for s in np.unique(shard).tolist():
-            if s not in self.present:
-                continue
-            if s not in self.open:
-                self.open[s] = [map_array(self.folder, f"{name}-{s}") for name in PARTS]
-            words, ranks, sizes, marks, _, firsts = self.open[s]
-            own = np.flatnonzero(shard == s)
-            slot = probe_hash(words, ranks, sizes, place[own], mark[own])
+    """The stored shards, probed one after another."""
+
+    def __init__(self, folder: str, n_shards: int) -> None:
+        self.store, self.n = Store(folder), n_shards
+
+    def find(self, place: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Found or not, the smallest document that holds the line, and how many documents hold it."""
+        found, first, count = np.zeros(len(place), bool), np.zeros(len(place), np.int64), np.ones(len(place), np.int64)
+        for s, own in by_shard(np.mod(place.view(np.int64), self.n), self.n):
+            have = self.store.get(f"lines-{s}")
+            slot = probe_hash(have["words"], have["ranks"], have["sizes"], place[own], mark[own])
             own, slot = own[slot >= 0], slot[slot >= 0]
-            same = marks[slot] == mark[own]
-            found[own[same]], first[own[same]] = True, firsts[slot[same]]
-        return found, first
+            same = have["marks"][slot] == mark[own]
+            found[own[same]], first[own[same]], count[own[same]] = True, have["firsts"][slot[same]], have["counts"][slot[same]]
+        return found, first, count
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Drop lines that a document with a smaller id holds too; adds n_lines (before) and n_dropped."""
+    """Drop lines that a document with a smaller id holds too; adds n_lines (before), n_dropped and most_copies.
+
+    most_copies is the greatest number of documents that share one of the text's lines, 1 if none is shared.
+    """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop(*ADDED)
     seen = line_hashes(docs, min_chars).groupBy("place", "mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    repeated = materialise(seen.where("first < last").select("place", "mark", "first", "n"), "lines")
-    n_shards = repeated.count() // SHARD_KEYS + 1
     folder = shared_dir(spark, "line-hash")
-    present = {r["shard"] for r in build_shards(repeated, folder, n_shards).select("shard").collect()}  # shard numbers only
+    repeated = materialise(seen.where("first < last").select("place", "mark", "first", "n"), "lines", folder)
+    n_shards = repeated.count() // SHARD_KEYS + 1
+    build_shards(repeated, f"{folder}/shards", n_shards)
     names = docs.columns
     i_id, i_text = names.index("doc_id"), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = Shards(folder, n_shards, present)
+        shards = Shards(f"{folder}/shards", n_shards)
         for whole in batches:
             for batch in slices(whole, i_text):
                 ids = batch.column(i_id).to_pylist()
@@ -177,9 +178,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                                 where.append((r, k))
                                 marks.append(digest(key))
                 drop: dict[int, set[int]] = {}
+                most = np.ones(len(split), np.int64)
                 if where:
                     pairs = np.array(marks, np.uint64)
-                    found, first = shards.first_document(pairs[:, 0].copy(), pairs[:, 1].copy())
+                    found, first, count = shards.find(pairs[:, 0].copy(), pairs[:, 1].copy())
+                    np.maximum.at(most, np.array([r for r, _ in where]), count)
                     for j in np.flatnonzero(found).tolist():
                         r, k = where[j]
                         if first[j] < ids[r]:
@@ -187,10 +190,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 kept = [lines if lines is None else b"\n".join(lines if r not in drop else [x for k, x in enumerate(lines) if k not in drop[r]]) for r, lines in enumerate(split)]
                 cols = list(batch.columns)
                 cols[i_text] = pa.array(kept, pa.binary()).cast(pa.string())
-                cols += [pa.array([1 if x is None else len(x) for x in split], pa.int64()), pa.array([len(drop.get(r, ())) for r in range(len(split))], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_lines", "n_dropped"])
+                cols += [pa.array([1 if x is None else len(x) for x in split], pa.int64()), pa.array([len(drop.get(r, ())) for r in range(len(split))], pa.int64()), pa.array(most)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, *ADDED])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ADDED)])
     return docs.mapInArrow(run, schema)
 
 
