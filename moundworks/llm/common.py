@@ -1,4 +1,4 @@
-"""Helpers the corpus operators share: the shared folder, memory-mapped arrays, hashing, word counts.
+"""Helpers the corpus operators share: the shared folder, batches of texts, hashing, word counts.
 
 Nothing here keeps data on one machine.  Whatever several stages need is written below the folder that
 the cluster names in ``spark.checkpoint.dir`` and is read back from there, so a lost executor costs one
@@ -7,14 +7,9 @@ task retry and never a result.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,37 +30,6 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def put_array(folder: str, name: str, array: np.ndarray) -> None:
-    """Write one ``.npy`` into a shared folder; a rename makes a retried task harmless."""
-    fs, path = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
-    part = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        np.lib.format.write_array(_File(out), np.ascontiguousarray(array), allow_pickle=False)
-    fs.move(part, f"{path}/{name}.npy")
-
-
-class _File:
-    """The few file methods that numpy's writer needs, over an Arrow stream."""
-
-    def __init__(self, out: pa.NativeFile) -> None:
-        self.out = out
-
-    def write(self, data) -> int:
-        return self.out.write(memoryview(data).cast("B") if not isinstance(data, bytes) else data)
-
-
-def map_array(folder: str, name: str) -> np.ndarray:
-    """Memory-map a ``.npy`` of a shared folder; one on a remote store is first copied next to the worker."""
-    fs, path = pafs.FileSystem.from_uri(folder)
-    file = f"{path}/{name}.npy"
-    if not isinstance(fs, pafs.LocalFileSystem):
-        local = os.path.join(tempfile.mkdtemp(), f"{name}.npy")
-        pafs.copy_files(file, local, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
-        file = local
-    return np.load(file, mmap_mode="r")
-
-
 def texts(column: pa.Array) -> list[bytes | None]:
     """The values of a string column as UTF-8 bytes, None for null."""
     return column.cast(pa.binary()).to_pylist()
@@ -85,16 +49,6 @@ def h64(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data)
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered; emptied when it grows, so memory stays bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = x = xxhash.xxh3_64_intdigest(word)
-        return x
-
-
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: the splitmix64 finaliser
 
 

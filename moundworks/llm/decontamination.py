@@ -4,95 +4,145 @@
 thousand words (sorted term hashes, pointers, positions), and is one row of a Parquet table in the shared
 folder.  Segments are the unit of recovery and of memory; nothing is shuffled.
 
-``search`` takes the benchmark in blocks of bounded size.  Corpus frequencies of the block's terms come from
-the index; each window is then looked up from its rarest term on: its postings, shifted to the window's start,
-are intersected with the next rarest term's shifted postings and so on until none or all 13 terms are left.
-``slop`` 0 gives exact phrases; a positive slop gives proximity matches, in which every term lies within that
-many words of its place relative to the rarest term's.
+``store_windows`` deals the benchmark into blocks of bounded size and writes each block's distinct windows to the shared
+folder; ``store_counts`` adds how often its terms occur in the corpus, from one scan of the index.  ``search`` scans the
+index once more: a task takes block after block and looks at those windows only whose rarest term the segment has.
+A window is looked up from its rarest term on: its postings, shifted to the window's start, are intersected with the
+next rarest term's shifted postings and so on until none or all 13 terms are left.  ``slop`` 0 gives exact phrases; a
+positive slop gives proximity matches, in which every term lies within that many words of its place relative to the
+rarest term's.
 
 Defined cases: null or wordless texts have no words and no windows; an item of fewer than 13 words is one
 window; repeated items count once; items with a null id hit words but are named '' in the list; repeated or
-null document ids are judged row by row; empty tables give no hits or no rows; other columns are not read.
+null document ids are judged row by row; texts of any length are taken whole; empty tables give no hits or no rows;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.llm.common import WordHashes, materialise, slices, source_table, texts
+from moundworks.llm.common import materialise, shared_dir, slices, source_table, texts
+from moundworks.llm.repeated import runs
+from moundworks.llm.store import Store, put
+from moundworks.llm.words import ALPHANUMERIC, hashed_words
 
 WINDOW = 13
 BLOCK_CHARS = 2_000_000
-_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-SEGMENT = "segment string, doc_ids array<long>, tags array<long>, starts binary, terms binary, pointers binary, postings binary"
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_WORDS).split()
+SEGMENT = "doc_ids array<long>, tags array<long>, starts binary, terms binary, pointers binary, postings binary"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """One row per segment; starts: word number at which each document begins, and the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for whole in batches:
             for batch in slices(whole, 2, 6 << 20):
-                split = [words_of(t) for t in texts(batch.column(2))]
-                starts = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-                words = np.fromiter((hashes[w] for ws in split for w in ws), np.uint64, int(starts[-1]))
+                words, count = hashed_words(texts(batch.column(2)), ALPHANUMERIC)
+                starts = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
                 order = np.argsort(words, kind="stable")
-                terms, pointers = np.unique(words[order], return_index=True)
-                pointers = np.append(pointers, len(words)).astype(np.int64)
+                words = words[order]
+                first = runs(words)[0]
+                terms, pointers = words[first], np.append(first, len(words)).astype(np.int64)
                 packed = [starts.tobytes(), terms.tobytes(), pointers.tobytes(), order.astype(np.uint32).tobytes()]
                 ids = [pa.array([batch.column(k).to_pylist()], pa.list_(pa.int64())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *ids, *(pa.array([p], pa.binary()) for p in packed)], names=[x.split()[0] for x in SEGMENT.split(", ")])
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array([p], pa.binary()) for p in packed)], names=[x.split()[0] for x in SEGMENT.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
     return materialise(rows.mapInArrow(run, SEGMENT), "index", compression="zstd")
 
 
-class Windows:
-    """The distinct windows of some benchmark items: term numbers, and the items that have each."""
+def windows_of(names: list[str], rows: list[bytes | None]) -> dict[str, np.ndarray]:
+    """The distinct windows of some items: words (as places in the vocabulary, -1 after the end), and the items that have each."""
+    words, count = hashed_words(rows, ALPHANUMERIC)
+    found: dict[bytes, set[int]] = {}
+    for i, (n, end) in enumerate(zip(count.tolist(), np.cumsum(count).tolist(), strict=True)):
+        own = words[end - n : end]
+        for k in range(max(n - WINDOW + 1, min(n, 1))):
+            found.setdefault(own[k : k + WINDOW].tobytes(), set()).add(i)
+    vocabulary = np.sort(np.frombuffer(b"".join(found), np.uint64))
+    vocabulary = vocabulary[runs(vocabulary)[0]]
+    terms = np.full((len(found), WINDOW), -1, np.int32)
+    for row, window in zip(terms, found, strict=True):
+        own = np.searchsorted(vocabulary, np.frombuffer(window, np.uint64))
+        row[: len(own)] = own
+    encoded = [n.encode() for n in names]
+    return {
+        "vocabulary": vocabulary,
+        "terms": terms,
+        "edges": np.cumsum([0, *(len(x) for x in found.values())]),
+        "items": np.array([i for x in found.values() for i in sorted(x)], np.int64),
+        "names": np.frombuffer(b"".join(encoded), np.uint8),
+        "name_edges": np.cumsum([0, *map(len, encoded)]),
+    }
+
+
+def store_windows(benchmark: DataFrame, folder: str) -> int:
+    """Write the windows of each block of the benchmark; returns the number of blocks."""
+    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks = chars // BLOCK_CHARS + 1
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).alias("block"))
+    empty = benchmark.sparkSession.range(n_blocks).select(F.lit("").alias("item"), F.lit(None).cast("string").alias("text"), F.col("id").alias("block"))
 
-    def __init__(self, items: list[tuple[str, bytes | None]]) -> None:
-        hashes, of = WordHashes(), {}
-        for name, text in items:
-            w = [hashes[x] for x in words_of(text)]
-            for k in range(max(len(w) - WINDOW + 1, min(len(w), 1))):
-                of.setdefault(tuple(w[k : k + WINDOW]), set()).add(name)
-        self.items = [sorted(names) for names in of.values()]
-        self.vocabulary = np.unique(np.array([t for w in of for t in w], np.uint64))
-        self.terms = [np.searchsorted(self.vocabulary, np.array(w, np.uint64)) for w in of]
-        self.order: list[np.ndarray] = []
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        made = windows_of(rows["item"].to_pylist(), texts(rows["text"].combine_chunks()))
+        put(folder, f"windows-{key[0].as_py()}", **made)
+        return pa.table({"n": [len(made["terms"])]})
 
-    def rarest_first(self, counts: np.ndarray) -> None:
-        self.order = [np.argsort(counts[t], kind="stable") for t in self.terms]
+    items.unionByName(empty).groupBy("block").applyInArrow(run, "n long").agg({"n": "sum"}).collect()
+    return n_blocks
 
 
-def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """How often each benchmark term occurs in the corpus."""
+def store_counts(index: DataFrame, folder: str, n_blocks: int) -> None:
+    """Write how often each block's terms occur in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary), np.int64)
+        store = Store(folder)
         for batch in batches:
             for terms, pointers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, there = _find(np.frombuffer(terms, np.uint64), vocabulary)
-                size = np.diff(np.frombuffer(pointers, np.int64))
-                total[there] += size[at[there]]
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["term", "n"])
+                terms, size = np.frombuffer(terms, np.uint64), np.diff(np.frombuffer(pointers, np.int64))
+                for block in range(n_blocks):
+                    at, there = _find(terms, store.get(f"windows-{block}")["vocabulary"])
+                    used = np.flatnonzero(there)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), block)), pa.array(used), pa.array(size[at[used]])], names=["block", "term", "n"])
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        block, rows = key[0].as_py(), rows.filter(pc.is_valid(rows["term"]))
+        counts = np.zeros(len(Store(folder).get(f"windows-{block}")["vocabulary"]), np.int64)
+        counts[rows["term"].to_numpy()] = rows["n"].to_numpy()
+        put(folder, f"counts-{block}", counts=counts)
+        return pa.table({"n": [len(counts)]})
 
-    found = index.select("terms", "pointers").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(vocabulary), np.int64)
-    counts[found["term"].to_numpy(int)] = found["n"].to_numpy(int)
-    return counts
+    found = index.select("terms", "pointers").mapInArrow(run, "block long, term long, n long").groupBy("block", "term").agg(F.sum("n").alias("n"))
+    empty = index.sparkSession.range(n_blocks).select(F.col("id").alias("block"), *[F.lit(None).cast("long").alias(c) for c in ("term", "n")])
+    found.unionByName(empty).groupBy("block").applyInArrow(write, "n long").agg({"n": "sum"}).collect()
+
+
+class Windows:
+    """A block's windows by their rarest term."""
+
+    def __init__(self, stored: dict[str, np.ndarray], counts: np.ndarray) -> None:
+        self.vocabulary, self.terms, self.edges, self.items = (stored[c] for c in ("vocabulary", "terms", "edges", "items"))
+        whole, at = stored["names"].tobytes(), stored["name_edges"].tolist()
+        self.names = [whole[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+        often = np.append(counts, np.iinfo(np.int64).max)[self.terms]  # what is past the end comes last
+        self.order = np.argsort(often, axis=1, kind="stable").astype(np.int8)
+        rarest = np.take_along_axis(self.terms, self.order[:, :1].astype(np.int64), 1)[:, 0] if len(self.terms) else np.zeros(0, np.int32)
+        self.by_rarest = np.argsort(rarest, kind="stable")
+        first, size = runs(rarest[self.by_rarest])
+        self.rarest, self.first, self.size = rarest[self.by_rarest][first], first, size
+
+    def possible(self, there: np.ndarray) -> np.ndarray:
+        """Windows all of whose terms are there."""
+        own = np.flatnonzero(there[self.rarest])
+        windows = np.concatenate([self.by_rarest[self.first[k] : self.first[k] + self.size[k]] for k in own.tolist()]) if len(own) else own
+        return windows[np.append(there, True)[self.terms[windows]].all(axis=1)]
 
 
 def _find(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,13 +152,13 @@ def _find(terms: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, terms[at] == wanted
 
 
-def matches(lists: dict[int, np.ndarray], terms: np.ndarray, order: np.ndarray, slop: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def matches(postings_of: Callable[[int], np.ndarray], terms: list[int], order: list[int], slop: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of a window's matches and their documents: offset-adjusted postings intersected from the rarest term on."""
-    place = lists[int(terms[order[0]])]
+    place = postings_of(terms[order[0]])
     doc = np.searchsorted(starts, place, side="right") - 1
     start = place - order[0]
-    for k in order[1:].tolist():
-        postings = lists[int(terms[k])]
+    for k in order[1:]:
+        postings = postings_of(terms[k])
         least, most = np.maximum(start + k - slop, starts[doc]), np.minimum(start + k + slop, starts[doc + 1] - 1)
         at = np.minimum(np.searchsorted(postings, least), len(postings) - 1)
         found = (postings[at] >= least) & (postings[at] <= most)
@@ -118,34 +168,45 @@ def matches(lists: dict[int, np.ndarray], terms: np.ndarray, order: np.ndarray,
     return start, doc
 
 
-def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
-    """A row per document: segment, row, doc_id, tag, n_words, hits (merged word ranges), items."""
+def search(index: DataFrame, folder: str, n_blocks: int, slop: int = 0) -> DataFrame:
+    """A row per document: doc_id, tag, n_words, hits (merged word ranges), items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, held = Store(folder), {}
         for batch in batches:
             for row in batch.to_pylist():
-                starts, pointers, postings = (np.frombuffer(row[c], t) for c, t in (("starts", np.int64), ("pointers", np.int64), ("postings", np.uint32)))
-                at, there = _find(np.frombuffer(row["terms"], np.uint64), windows.vocabulary)
-                lists: dict[int, np.ndarray] = {int(v): postings[pointers[at[v]] : pointers[at[v] + 1]].astype(np.int64) for v in np.flatnonzero(there)}
+                terms, starts, pointers, postings = (np.frombuffer(row[c], t) for c, t in (("terms", np.uint64), ("starts", np.int64), ("pointers", np.int64), ("postings", np.uint32)))
                 n = len(row["doc_ids"])
                 hits: list[list[tuple[int, int]]] = [[] for _ in range(n)]
                 items: list[set[str]] = [set() for _ in range(n)]
-                for terms, order, names in zip(windows.terms, windows.order, windows.items, strict=True):
-                    if not there[terms].all():
-                        continue
-                    found, doc = matches(lists, terms, order, slop, starts)
-                    least, most = np.maximum(found - slop - starts[doc], 0), np.minimum(found + len(terms) + slop, starts[doc + 1]) - starts[doc]
-                    for s, e, d in zip(least.tolist(), most.tolist(), doc.tolist(), strict=True):
-                        hits[d].append((s, e))
-                        items[d].update(names)
-                merged = [[{"start": a, "end": b} for a, b in _merge(h)] for h in hits]
+                for block in range(n_blocks):
+                    if block not in held:
+                        held = {block: Windows(store.get(f"windows-{block}"), store.get(f"counts-{block}")["counts"])}
+                    windows, lists = held[block], {}
+                    at, there = _find(terms, windows.vocabulary)
+
+                    def postings_of(term: int, lists: dict = lists, at: np.ndarray = at, pointers: np.ndarray = pointers, postings: np.ndarray = postings) -> np.ndarray:
+                        if term not in lists:
+                            lists[term] = postings[pointers[at[term]] : pointers[at[term] + 1]].astype(np.int64)
+                        return lists[term]
+
+                    for w in windows.possible(there).tolist():
+                        own = [t for t in windows.terms[w].tolist() if t >= 0]
+                        found, doc = matches(postings_of, own, windows.order[w, : len(own)].tolist(), slop, starts)
+                        if len(found):
+                            names = [windows.names[i] for i in windows.items[windows.edges[w] : windows.edges[w + 1]].tolist()]
+                            least, most = np.maximum(found - slop - starts[doc], 0), np.minimum(found + len(own) + slop, starts[doc + 1]) - starts[doc]
+                            for s, e, d in zip(least.tolist(), most.tolist(), doc.tolist(), strict=True):
+                                hits[d].append((s, e))
+                                items[d].update(names)
+                ranges = [[{"start": a, "end": b} for a, b in _merge(h)] for h in hits]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["segment"]] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["tags"], pa.int64()), pa.array(np.diff(starts)),
-                     pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=["segment", "row", "doc_id", "tag", "n_words", "hits", "items"],
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["tags"], pa.int64()), pa.array(np.diff(starts)),
+                     pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    names=["doc_id", "tag", "n_words", "hits", "items"],
                 )
 
-    return index.mapInArrow(run, "segment string, row int, doc_id long, tag long, n_words long, hits array<struct<start:long,end:long>>, items array<string>")
+    return index.mapInArrow(run, "doc_id long, tag long, n_words long, hits array<struct<start:long,end:long>>, items array<string>")
 
 
 def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -167,22 +228,11 @@ def covered(hits: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 0) -> DataFrame:
     """doc_id, tag (hash of the text), n_words, hits, items, n_hit, contaminated: a row per row of docs."""
-    index = build_index(docs)
-    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = chars // BLOCK_CHARS + 1
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).alias("block"))
-    parts = []
-    for block in range(n_blocks):  # a block is BLOCK_CHARS of the stated query set, so what is collected is bounded
-        windows = Windows([(r["item"], (r["text"] or "").encode()) for r in items.where(F.col("block") == block).select("item", "text").toLocalIterator()])
-        windows.rarest_first(term_counts(index, windows.vocabulary))
-        parts.append(search(index, windows, slop))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    if n_blocks > 1:
-        found = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("tag").alias("tag"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    found = found.withColumn("n_hit", covered(F.col("hits")))
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).drop("segment", "row")
+    index, folder = build_index(docs), shared_dir(docs.sparkSession, "windows")
+    n_blocks = store_windows(benchmark, folder)
+    store_counts(index, folder, n_blocks)
+    found = search(index, folder, n_blocks, slop).withColumn("n_hit", covered(F.col("hits")))
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
