@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from moundworks.llm.store import Store, every_shard, put
 
 SHARD_KEYS = 4_000_000
-HELD, ROW_KEYS, MOST_HELD = 2_000_000, 64, 8_000_000
+HELD, ROW_KEYS, MOST_HELD = 1_000_000, 64, 8_000_000
 SCHEMA = "shard int, once binary, more binary, counts binary"
 LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)

@@ -29,25 +29,42 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moundworks.llm.common import free_shuffles, h64, map_array, mix, put_array, shared_dir, slices, source_table, texts
-from moundworks.llm.repeated import SCHEMA, Repeated, merge, packed, shards_for
+from moundworks.llm.common import discard, free_shuffles, h64, mix, shared_dir, slices, source_table, texts
+from moundworks.llm.repeated import SCHEMA, Repeated, merge, packed, runs, shards_for
+from moundworks.llm.store import Store, put
 
 WIDTH = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # every difference modulo 31 is one of two members
 GRAM = WIDTH - PERIOD + 1
-SLICE = 2 << 20
+SLICE = 1 << 20
 BUCKET_CHARS = 1_500_000
-KNOWN = 600_000
-KNOWN_STRINGS = 100_000
+KNOWN = 1 << 20
+KNOWN_STRINGS = 1 << 18
 HOT, SAMPLED = 8_000, 16  # contexts of an anchor that is split by string, estimated from one of so many documents
 PLACE = np.uint64((1 << 31) - 1)
 _SAMPLED = np.isin(np.arange(PERIOD), COVER)
+_BASES = mix(np.array([3, 5], np.uint64)) | np.uint64(1)
+_BACK = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
+_VALUES = [mix(np.arange(256, dtype=np.uint64) + np.uint64(k)) for k in (1000, 2000)]
+ROWS = 40_000
+
+
+_KEPT_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The powers 0 to n - 1 of a base, modulo 2 ** 64; those of a usual slice are kept."""
+    if int(base) not in _KEPT_POWERS or len(_KEPT_POWERS[int(base)]) < n:
+        made = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n, SLICE + (1 << 16)), base)]))
+        if n > 4 * SLICE:
+            return made[:n]
+        _KEPT_POWERS[int(base)] = made
+    return _KEPT_POWERS[int(base)][:n]
 
 
 class Slice:
@@ -62,6 +79,8 @@ class Slice:
         padded = self.bytes + bytes(32)
         self.eight = np.ndarray(self.n + 24, "<u8", padded, strides=(1,))
         self.four = np.ndarray(self.n + 24, "<u4", padded, strides=(1,))
+        self.sums: list[np.ndarray] = []
+        self.raw = np.frombuffer(padded, np.uint8)
         self.row = np.repeat(np.arange(len(data), dtype=np.int32), self.size)
         self.at = np.arange(self.n, dtype=np.int64) - self.starts[self.row]
         self.left = self.size[self.row] - self.at  # bytes from here to the document's end
@@ -73,6 +92,14 @@ class Slice:
     def sample(self) -> np.ndarray:
         return np.flatnonzero(_SAMPLED[self.at % PERIOD] & (self.left >= GRAM))
 
+    def digests(self, start: np.ndarray, end: np.ndarray, also: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit digests of the bytes from start to end and of one more number; the same wherever the bytes stand."""
+        if self.n and not self.sums:
+            self.sums = [np.concatenate([[np.uint64(0)], np.cumsum(v[self.raw[: self.n]] * _powers(b, self.n))]) for b, v in zip(_BASES, _VALUES, strict=True)]
+        more = mix((end - start + 256 * also).astype(np.uint64))
+        one, two = (mix((total[end] - total[start]) * _powers(back, self.n)[start] + more) for total, back in zip(self.sums or [more, more], _BACK, strict=True))
+        return one, two
+
 
 def cover_sample(docs: DataFrame, folder: str) -> int:
     """Write which sample strings recur; returns the number of shards."""
@@ -128,25 +155,43 @@ def text_tag(text: bytes | None) -> int:
     return h64(text or b"") & 0x7FFFFFFF
 
 
+class Met:
+    """Strings met of late, each with the least document that had it: a table of fixed size in which new ones replace old ones."""
+
+    def __init__(self, size: int) -> None:
+        self.first, self.second, self.doc = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.full(size, np.iinfo(np.int64).max)
+
+    def before(self, first: np.ndarray, second: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+        """Has a smaller document had the string of these digests?  Documents rise; what is new is remembered."""
+        if not len(first):
+            return np.zeros(0, bool)
+        slot = (first % np.uint64(len(self.first))).astype(np.int64)
+        known = (self.first[slot] == first) & (self.second[slot] == second)
+        least = np.where(known, self.doc[slot], np.iinfo(np.int64).max)
+        order = np.argsort(first, kind="stable")
+        at, n = runs(first[order])
+        head = np.empty(len(first), np.int64)
+        head[order] = np.repeat(order[at], n)
+        new = order[at]
+        new = new[doc_id[new] < least[new]]
+        self.first[slot[new]], self.second[slot[new]], self.doc[slot[new]] = first[new], second[new], doc_id[new]
+        return np.where(second[head] == second, np.minimum(least, doc_id[head]), least) < doc_id
+
+
 def hot_anchors(docs: DataFrame, folder: str, n_shards: int) -> np.ndarray:
     """Hashes, sorted, of anchors that would send HOT contexts or more; any choice of anchors gives the same result."""
     n_tasks = docs.rdd.getNumPartitions()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, met = Repeated(folder, n_shards), set()
+        known, met, before = Repeated(folder, n_shards), Met(KNOWN), 0
         for whole in batches:
             for batch in slices(whole, 1, SLICE):
                 part = Slice([b"" if i is None else t for i, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)])
                 first, last, anchor, gram = anchors(part, candidates(part, known))
-                digest = [xxhash.xxh3_64_intdigest(part.bytes[a : e + WIDTH], p - a) for a, e, p in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True)]
-                new = []
-                for k, d in enumerate(digest):
-                    if d not in met:
-                        if len(met) >= KNOWN:
-                            met.clear()
-                        met.add(d)
-                        new.append(k)
-                yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), pa.array(np.array(digest, np.uint64)[new].view(np.int64))], names=["anchor", "digest"])
+                one, two = part.digests(first, last + WIDTH, anchor - first)
+                new = ~met.before(one, two, part.row[first].astype(np.int64) + before)
+                before += batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), pa.array(one[new].view(np.int64))], names=["anchor", "digest"])
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(run, "anchor long, digest long")
     sent = F.least(F.col("count") * SAMPLED, F.lit(n_tasks).cast("long"))  # a task settles what it has met
@@ -165,62 +210,66 @@ def contexts(docs: DataFrame, folder: str, n_shards: int, n_buckets: int, hot: n
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def met_before(met: dict[int, int], key: int, doc_id: int, most: int) -> bool:
-        """Has a smaller document had this?  If not, remember it."""
-        if (seen := met.get(key)) is not None and seen < doc_id:
-            return True
-        if len(met) >= most:
-            met.clear()
-        met[key] = doc_id
-        return False
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, met, met_strings, hot = Repeated(folder, n_shards), {}, {}, shared.value
+        known, met, met_strings, hot = Repeated(folder, n_shards), Met(KNOWN), Met(KNOWN_STRINGS), shared.value
         for whole in batches:
             for batch in slices(whole, 1, SLICE):
                 rows = zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)
                 rows = sorted(((i, t) for i, t in rows if i is not None), key=lambda r: r[0])  # smaller documents settle others
-                ids, rows = [i for i, _ in rows], [t for _, t in rows]
+                ids, rows = np.array([i for i, _ in rows], np.int64), [t for _, t in rows]
                 part = Slice(rows)
                 first, last, anchor, gram = anchors(part, candidates(part, known))
-                row, out, gone = part.row[first] if len(first) else first, [], {}
-                tags = {r: text_tag(rows[r]) for r in np.unique(row).tolist()}
-                bucket = (gram % np.uint64(n_buckets)).astype(np.int64).tolist()
-                split = np.isin(gram, hot).tolist()
-                base = part.starts[row].tolist() if len(first) else []
-
-                def remove(r: int, a: int, b: int, gone: dict = gone) -> None:
-                    ranges = gone.setdefault(r, [])
-                    if ranges and a <= ranges[-1][1]:
-                        ranges[-1][1] = b
-                    else:
-                        ranges.append([a, b])
-
-                for r, a, e, p, b, s, many in zip(row.tolist(), first.tolist(), last.tolist(), anchor.tolist(), bucket, base, split, strict=True):
-                    context = part.bytes[a : e + WIDTH]
-                    if met_before(met, xxhash.xxh3_128_intdigest(context, p - a), ids[r], KNOWN):
-                        remove(r, a - s, e + WIDTH - s)
-                    elif not many:
-                        out.append((b, context, p - a, ids[r], tags[r], a - s, 0))
-                    else:
-                        for k in range(e - a + 1):
-                            string = context[k : k + WIDTH]
-                            key = xxhash.xxh3_128_intdigest(string)
-                            if met_before(met_strings, key, ids[r], KNOWN_STRINGS):
-                                remove(r, a - s + k, a - s + k + WIDTH)
-                            else:
-                                out.append((key % n_buckets, string, 0, ids[r], tags[r], a - s + k, 0))
-                out += [((ids[r] + tags[r]) % n_buckets, None, 0, ids[r], tags[r], a, b - a) for r, ranges in gone.items() for a, b in ranges]
-                columns = list(zip(*out, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()),
-                     pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.int32()), pa.array(columns[6], pa.int32())],
-                    names=[x.split()[0] for x in CONTEXTS.split(", ")],
-                )
+                tags = np.zeros(len(rows), np.int64)
+                for r in np.flatnonzero(np.bincount(part.row[first], minlength=len(rows))).tolist():
+                    tags[r] = text_tag(rows[r])
+                one, two = part.digests(first, last + WIDTH, anchor - first)
+                gone = met.before(one, two, ids[part.row[first]])
+                split = ~gone & np.isin(gram, hot)
+                count = (last - first + 1)[split]
+                string = np.repeat(first[split] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                at, three, four = string, *part.digests(string, string + WIDTH, 0 * string)
+                settled = met_strings.before(three, four, ids[part.row[at]])
+                whole_ones = ~gone & ~split
+                start, end = (np.concatenate([x[whole_ones], y[~settled]]) for x, y in ((first, at), (last + WIDTH, at + WIDTH)))
+                before = np.concatenate([(anchor - first)[whole_ones], np.zeros((~settled).sum(), np.int64)])
+                bucket = np.concatenate([gram[whole_ones], three[~settled]]) % np.uint64(n_buckets)
+                yield from context_batches(part, start, end, before, bucket, ids, tags)
+                start, end = merged(part.row, *(np.concatenate([x[gone], y[settled]]) for x, y in ((first, at), (last + WIDTH, at + WIDTH))))
+                row = part.row[start]
+                cols = [(ids[row] + tags[row]) % n_buckets, None, 0 * start, ids[row], tags[row], start - part.starts[row], end - start]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(row), k) if c is None else pa.array(c).cast(k) for c, k in zip(cols, KINDS, strict=True)], names=NAMES)
 
     return docs.mapInArrow(run, CONTEXTS)
 
 
+KINDS = (pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+NAMES = [x.split()[0] for x in CONTEXTS.split(", ")]
+
+
+def context_batches(part: Slice, start: np.ndarray, end: np.ndarray, before: np.ndarray, bucket: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of CONTEXTS for the bytes from start to end of a slice."""
+    for k in range(0, len(start), ROWS):
+        a, size = start[k : k + ROWS], (end - start)[k : k + ROWS]
+        ends = np.cumsum(size)
+        data = part.raw[np.repeat(a - (ends - size), size) + np.arange(ends[-1])]
+        context = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data)])
+        row = part.row[a]
+        cols = [bucket[k : k + ROWS].astype(np.int32), None, before[k : k + ROWS], ids[row], tags[row], a - part.starts[row], 0 * a]
+        yield pa.RecordBatch.from_arrays([context if c is None else pa.array(c).cast(t) for c, t in zip(cols, KINDS, strict=True)], names=NAMES)
+
+
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of a slice, those of one row that touch made one."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(start), bool)
+    new[1:] = (start[1:] > reach[:-1]) | (row[start[1:]] != row[start[:-1]])
+    first = np.flatnonzero(new)
+    return start[first], reach[np.append(first[1:], len(start)) - 1]
+
+
 def _order(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted order of byte rows, and the number of leading bytes each shares with the one before it."""
     n, width = sides.shape
@@ -243,47 +292,79 @@ def _classes(order: np.ndarray, shared: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def settle(context: list[bytes], before: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+def sides(flat: np.ndarray, size: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts that lie end to end: WIDTH bytes from each anchor on, and PERIOD - 1 before it, backwards; zero where none are."""
+    span, total = PERIOD - 1, len(flat)
+    anchor = np.cumsum(size) - size + before
+    ahead = np.lib.stride_tricks.sliding_window_view(np.concatenate([flat, np.zeros(WIDTH, np.uint8)]), WIDTH)
+    back = np.lib.stride_tricks.sliding_window_view(np.concatenate([flat[::-1], np.zeros(span, np.uint8)]), span)
+    right, left = ahead[anchor], back[total - anchor]
+    right[np.arange(WIDTH) >= (size - before)[:, None]] = 0
+    left[np.arange(span) >= before[:, None]] = 0
+    return right, left
+
+
+def settle(right: np.ndarray, left: np.ndarray, size: np.ndarray, before: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
     """Per anchor and shift: does its 50-byte string that begins ``shift`` bytes earlier occur in a smaller document?"""
-    n, span = len(context), PERIOD - 1
-    right, left = np.zeros((n, WIDTH), np.uint8), np.zeros((n, span), np.uint8)
-    size = np.array([len(c) for c in context], np.int64)
-    flat = np.frombuffer(b"".join(context), np.uint8)
-    row = np.repeat(np.arange(n, dtype=np.int32), size)
-    place = np.arange(len(flat), dtype=np.int32) - np.repeat((np.cumsum(size) - size + before).astype(np.int32), size)  # relative to the anchor
-    ahead = place >= 0
-    right[row[ahead], place[ahead]] = flat[ahead]
-    left[row[~ahead], -place[~ahead] - 1] = flat[~ahead]
+    n = len(size)
     after, back = _order(right), _order(left)
     gone = np.zeros((n, PERIOD), bool)
     for shift in range(PERIOD):
         has = np.flatnonzero((before >= shift) & (size - before + shift >= WIDTH))
         if len(has):
             both = _classes(*back, shift)[has] * n + _classes(*after, WIDTH - shift)[has]
-            _, of = np.unique(both, return_inverse=True)
-            least = np.full(of.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, of, doc_id[has])
-            gone[has, shift] = doc_id[has] > least[of]
+            order = np.argsort(both)
+            first, count = runs(both[order])
+            gone[has[order], shift] = doc_id[has[order]] > np.repeat(np.minimum.reduceat(doc_id[has[order]], first), count)
     return gone
 
 
-def sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
+def alike(right: np.ndarray, left: np.ndarray, size: np.ndarray, before: np.ndarray, doc_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, one for each context and of its least document, and for each row the place among them of its context."""
+    words = np.zeros((len(size), 12), np.uint64)
+    words.view(np.uint8).reshape(len(size), -1)[:, :WIDTH] = right
+    words.view(np.uint8).reshape(len(size), -1)[:, 56 : 56 + PERIOD - 1] = left
+    words[:, 11] = size * 256 + before
+    digest = np.zeros(len(size), np.uint64)
+    for k in range(12):
+        digest = mix(digest + words[:, k])
+    order = np.lexsort((doc_id, digest))
+    first, count = runs(digest[order])
+    one, of = order[first], np.empty(len(size), np.int64)
+    of[order] = np.repeat(np.arange(len(first)), count)
+    odd = np.flatnonzero((words != words[one[of]]).any(axis=1))  # other contexts of the same digest stand for themselves
+    of[odd] = len(one) + np.arange(len(odd))
+    return np.concatenate([one, odd]), of
+
+
+def sort_bucket(rows: pa.Table) -> pa.Table:
     """doc_id, tag, start, end of the bytes to remove."""
-    known = rows["context"].isna()
-    settled = rows[known].reset_index(drop=True)
-    out = [pd.DataFrame({"doc_id": settled["doc_id"], "tag": settled["tag"], "start": settled["start"], "end": settled["start"] + settled["size"]})]
-    rows = rows[~known]
+    known = rows.filter(pc.is_null(rows["context"]))
+    settled = [known[c].to_numpy() for c in ("doc_id", "tag", "start", "size")]
+    out = [[settled[0], settled[1], settled[2], settled[2] + settled[3]]]
+    rows = rows.filter(pc.is_valid(rows["context"])).combine_chunks()
     if len(rows):
-        gone = settle(rows["context"].tolist(), rows["before"].to_numpy(np.int64), rows["doc_id"].to_numpy(np.int64))
+        context = rows["context"].chunk(0)
+        size = pc.binary_length(context).to_numpy().astype(np.int64)
+        begin = int(np.frombuffer(context.buffers()[1], np.int32)[context.offset])
+        flat = np.frombuffer(context.buffers()[2], np.uint8)[begin : begin + size.sum()]
+        before, doc_id, tag, start = (rows[c].to_numpy().astype(np.int64) for c in ("before", "doc_id", "tag", "start"))
+        right, left = sides(flat, size, before)
+        one, of = alike(right, left, size, before, doc_id)
+        gone = settle(right[one], left[one], size[one], before[one], doc_id[one])[of]
+        shifts = np.arange(PERIOD)
+        has = (before[:, None] >= shifts) & ((size - before)[:, None] + shifts >= WIDTH)
+        gone |= has & (doc_id > doc_id[one][of])[:, None]
         at, shift = np.nonzero(gone)
         if len(at):
             new = np.ones(len(at), bool)
             new[1:] = (at[1:] != at[:-1]) | (shift[1:] != shift[:-1] + 1)
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(at)) - 1
-            anchor = (rows["start"] + rows["before"]).to_numpy(np.int64)[at[first]]
-            out.append(pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[at[first]], "tag": rows["tag"].to_numpy()[at[first]], "start": anchor - shift[last], "end": anchor - shift[first] + WIDTH}))
-    return pd.concat(out).astype({"start": np.int32, "end": np.int32})
+            anchor = (start + before)[at[first]]
+            out.append([doc_id[at[first]], tag[at[first]], anchor - shift[last], anchor - shift[first] + WIDTH])
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    return pa.table([pa.array(c).cast(k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "tag", "start", "end"])
 
 
 def doc_key(doc_id: np.ndarray, tag: np.ndarray) -> np.ndarray:
@@ -292,65 +373,64 @@ def doc_key(doc_id: np.ndarray, tag: np.ndarray) -> np.ndarray:
 
 
 def store_ranges(ranges: DataFrame, folder: str, n_files: int) -> None:
-    """Merge each document's ranges and write them as sorted arrays."""
+    """Merge each document's ranges and write them as sorted arrays; a file without ranges is written too."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        doc, start, end = doc_key(rows["doc_id"].to_numpy(np.int64), rows["tag"].to_numpy(np.int64)), rows["start"].to_numpy(np.int64), rows["end"].to_numpy(np.int64)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.filter(pc.is_valid(rows["doc_id"]))
+        doc_id, tag, start, end = (rows[c].to_numpy().astype(np.int64) for c in ("doc_id", "tag", "start", "end"))
+        doc = doc_key(doc_id, tag)
         order = np.lexsort((start, doc))
         doc, start, end = doc[order], start[order], end[order]
-        shift = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) * np.int64(1 << 32)  # keeps documents apart in a running maximum
+        shift = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))[: len(doc)] * np.int64(1 << 32)  # keeps documents apart in a running maximum
         reach = np.maximum.accumulate(end + shift)
-        new = np.concatenate([[True], start[1:] + shift[1:] > reach[:-1]])
+        new = np.concatenate([[True], start[1:] + shift[1:] > reach[:-1]])[: len(doc)]
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc)) - 1
-        put_array(folder, f"range-docs-{key[0]}", doc[first])
-        put_array(folder, f"ranges-{key[0]}", np.stack([start[first], reach[last] - shift[last]], axis=1))
-        return pd.DataFrame({"n": [len(first)]})
+        last = np.append(first[1:], len(doc))[: len(first)] - 1
+        put(folder, f"ranges-{key[0].as_py()}", docs=doc[first], ranges=np.stack([start[first], reach[last] - shift[last]], axis=1))
+        return pa.table({"n": [len(first)]})
 
     n = F.lit(n_files).cast("long")
     file = F.pmod(F.pmod("doc_id", n) + F.col("tag"), n)  # equal texts are spread by their ids
-    ranges.groupBy(file.cast("int").alias("file")).applyInPandas(run, "n long").agg({"n": "sum"}).collect()
+    none = ranges.sparkSession.range(n_files).select(F.col("id").cast("int").alias("file"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in ranges.schema])
+    ranges.withColumn("file", file.cast("int")).unionByName(none).groupBy("file").applyInArrow(run, "n long").agg({"n": "sum"}).collect()
 
 
 def dedup_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256: a row per row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    folder = shared_dir(spark, "suffix")
+    folder, ranges = shared_dir(spark, "suffix"), shared_dir(spark, "ranges")
     n_shards = cover_sample(docs, folder)
     free_shuffles(spark)
     chars = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_buckets = chars // BUCKET_CHARS + 8
     hot = hot_anchors(docs, folder, n_shards)
     free_shuffles(spark)
-    sorted_rows = contexts(docs, folder, n_shards, n_buckets, hot).groupBy("bucket").applyInPandas(sort_bucket, "doc_id long, tag int, start int, end int")
+    sorted_rows = contexts(docs, folder, n_shards, n_buckets, hot).groupBy("bucket").applyInArrow(sort_bucket, "doc_id long, tag int, start int, end int")
     n_files = chars // (1 << 26) + 16
-    store_ranges(sorted_rows, folder, n_files)
+    store_ranges(sorted_rows, ranges, n_files)
+    discard(spark, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        store = Store(ranges)
         for whole in batches:
             for batch in slices(whole, 1, SLICE):
+                ids, rows = batch.column(0).to_pylist(), texts(batch.column(1))
+                gone: dict[int, list] = {}
+                files = {r: (i + text_tag(t)) % n_files for r, (i, t) in enumerate(zip(ids, rows, strict=True)) if i is not None and t and len(t) >= WIDTH}
+                for r in sorted(files, key=files.get):
+                    stored = store.get(f"ranges-{files[r]}")
+                    key = doc_key(np.array([ids[r]]), np.array([text_tag(rows[r])]))[0]
+                    gone[r] = stored["ranges"][np.searchsorted(stored["docs"], key, "left") : np.searchsorted(stored["docs"], key, "right")].tolist()
                 out = []
-                for i, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                    text, ranges = text or b"", ()
-                    if i is not None and len(text) >= WIDTH:
-                        tag = text_tag(text)
-                        key, f = doc_key(np.array([i]), np.array([tag]))[0], (i + tag) % n_files
-                        if f not in files:
-                            try:
-                                files[f] = map_array(folder, f"range-docs-{f}"), map_array(folder, f"ranges-{f}")
-                            except FileNotFoundError:  # nothing to remove there
-                                files[f] = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
-                        found, all_ranges = files[f]
-                        ranges = all_ranges[np.searchsorted(found, key, "left") : np.searchsorted(found, key, "right")].tolist()
-                    kept, end = [], 0
-                    for a, b in ranges:
+                for r, (i, text) in enumerate(zip(ids, rows, strict=True)):
+                    text, kept, end = text or b"", [], 0
+                    for a, b in gone.get(r, ()):
                         kept.append(text[end:a])
                         end = b
                     kept.append(text[end:])
                     rest = b"".join(kept)
-                    out.append((i, len(text), len(text) - len(rest), len(ranges), rest, hashlib.sha256(rest).hexdigest()))
+                    out.append((i, len(text), len(text) - len(rest), len(gone.get(r, ())), rest, hashlib.sha256(rest).hexdigest()))
                 columns = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
