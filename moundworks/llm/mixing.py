@@ -6,12 +6,14 @@ stand in a fixed pseudo-random order and are passed over again and again until t
 that starts at word c of that stream is trained at the time when the source's cumulative demand reaches c,
 found by inverting the integral.  The mix is range-sorted by that position.
 
-Prefix sums are two-level: by (source, 4,096 hash buckets), then over the buckets' sums, so a source with a
-third of all rows is spread like the others, and nothing is gathered but one row per source.
+Prefix sums are two-level: by (source, ``16 ** DIGITS`` hash buckets), then over the buckets' sums, so a source with a
+third of all rows is spread like the others, and nothing is gathered but one row per source.  The number of buckets
+changes no result; a bucket should hold some million documents at most, so raise ``digits`` for sources beyond 10^9.
 
 Defined cases: a null source is a source of its own and comes last; a null text has size 0; size-0 documents
-are never taken; a null id sorts first; repeated rows are documents of their own; with no words at all every
-target is 0; input columns named like an output column are replaced, others pass through.
+are never taken; a null id sorts first; repeated rows are documents of their own; texts of any length are counted whole;
+with no words at all every target is 0; an empty table gives no rows; input columns named like an output column (``OUT``,
+and of a mix ``copy`` and ``position``) are replaced, all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,16 +27,20 @@ from moundworks.llm.common import n_words, source_table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-OUT = ("size", "source_size", "target", "taken", "positions", "_group", "_key", "_bucket", "_before", "_tie")
+DIGITS = 3
+OUT = ("size", "source_size", "target", "taken", "positions")
 #: The columns of a schedule: knots of the weight curve of a source, times from 0 to 1.
 SCHEDULE = T.StructType([T.StructField("source", T.StringType()), T.StructField("t", T.DoubleType()), T.StructField("weight", T.DoubleType())])
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with their size in words, their place in the source's order, and what breaks ties."""
+def measured(docs: DataFrame, keep: tuple[str, ...] | None = None, digits: int = DIGITS) -> DataFrame:
+    """The columns to keep as one struct ``_row``, with each document's size in words, its place in its source's order, and
+    what breaks ties."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in OUT]
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     group = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))  # never null, so windows and joins share a partitioning
-    return docs.drop(*OUT).withColumns({"_group": group, "size": n_words(F.col("text")), "_key": key, "_bucket": F.substring(key, 1, 3), "_tie": F.xxhash64("text")})
+    rest = {"_id": F.col("doc_id"), "source": F.col("source"), "_group": group, "size": n_words(F.col("text")), "_key": key, "_bucket": F.substring(key, 1, digits), "_tie": F.xxhash64("text")}
+    return docs.select(F.struct(*kept).alias("_row"), *[c.alias(n) for n, c in rest.items()])
 
 
 def ranked_schedule(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -79,14 +85,14 @@ def when_reached(words: Column) -> Column:
 
 
 def assign(rows: DataFrame, schedule: DataFrame | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Rows of ``measured`` with source_size, target, taken (words) and the positions of the copies taken."""
+    """The kept columns of ``measured`` with size, source_size, target, taken (words) and the positions of the copies taken."""
     buckets = rows.groupBy("source", "_group", "_bucket").agg(F.sum("size").alias("_n"))
     sources = buckets.groupBy("source").agg(F.sum("_n").alias("source_size"))
     goal = targets(sources, integrals(ranked_schedule(sources) if schedule is None else schedule), max_repeats)
-    before = F.sum("_n").over(W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")  # at most 4,096 rows a source
+    before = F.sum("_n").over(W.partitionBy("_group").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")  # a row per bucket
     starts = buckets.select(F.col("source").alias("_s"), "_group", "_bucket", before.alias("_start"))
     starts = starts.join(goal.withColumnRenamed("source", "_g"), F.col("_s").eqNullSafe(F.col("_g"))).drop("_g", "_s")
-    own = F.sum("size").over(W.partitionBy("_group", "_bucket").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    own = F.sum("size").over(W.partitionBy("_group", "_bucket").orderBy("_key", "_id", "size", "_tie").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     placed = rows.withColumn("_own", own).join(starts, ["_group", "_bucket"])
     placed = placed.withColumn("_before", F.col("_own") + F.col("_start"))
     passes = F.sequence(F.lit(0), F.lit(max_repeats - 1))
@@ -95,19 +101,19 @@ def assign(rows: DataFrame, schedule: DataFrame | None = None, max_repeats: int
     taken = F.aggregate("_copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
     positions = F.transform("_copies", lambda c: F.struct(F.floor(when_reached(c["at"].cast("double")) * 1e9 + 0.5).cast("double").alias("p"), c["words"].alias("words")))
     positions = F.transform(positions, lambda x: F.struct((x["p"] / 1e9).alias("position"), x["words"].alias("words")))
-    return placed.withColumns({"taken": taken, "positions": positions}).drop("_own", "_start", "_before", "_copies", "_knots", "_area", "_group", "_key", "_bucket", "_tie")
+    return placed.withColumns({"taken": taken, "positions": positions}).select("_row.*", *OUT)
 
 
 def mix(docs: DataFrame, schedule: DataFrame | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The training order: a row per copy taken, with copy (from 0), position and its taken words, range-sorted."""
     placed = assign(measured(docs), schedule, max_repeats).drop("taken")
     keep = [c for c in placed.columns if c not in ("positions", "copy", "position")]
-    copies = placed.select(*keep, F.posexplode("positions").alias("copy", "_p"))
-    return copies.select(*keep, "copy", F.col("_p.position").alias("position"), F.col("_p.words").alias("taken")).orderBy("position", "doc_id", "copy")
+    copies = placed.select(F.struct(*keep).alias("row"), F.posexplode("positions").alias("copy", "p"))
+    return copies.select("row", "copy", F.col("p.position").alias("position"), F.col("p.words").alias("taken")).select("row.*", "copy", "position", "taken").orderBy("position", "doc_id", "copy")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = measured(source_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    docs = measured(source_table(spark, sf_dir, "documents"), ("doc_id",))
     placed = assign(docs).withColumn("position", F.element_at("positions.position", F.when(F.size("positions") > 0, 1).otherwise(None)))
     return placed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
