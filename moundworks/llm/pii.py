@@ -2,8 +2,10 @@
 
 Each kind has a Java regular expression, a validator over the matched text (Luhn, mod 97, digit counts, octets)
 and words that raise its score when they stand shortly before a match.  A span counts from ``THRESHOLD`` on.
-The base kinds reach it with their validator alone; the added kinds (iban, ssn, secret) need a checksum or a
-context word besides their shape.
+The base kinds reach it with their validator alone, and so do IBANs, whose checksum is theirs; keys with a known prefix,
+signed tokens and private keys reach it by their shape; social security numbers and other secrets (long hexadecimal or
+mixed strings) need a context word besides.  Context words count within ``CONTEXT`` characters before or after a match, as
+far as the next match of its kind; matches that follow each other closely share their context.
 
 Spans come from the pieces between the matches: ``split`` gives the gaps, ``regexp_extract_all`` the matches,
 and running sums of their lengths the positions, in chunks so that a text with very many matches stays linear.
@@ -11,7 +13,8 @@ All patterns scan in linear time: runs are possessive and begin where no charact
 where the last match ended (``\\G``), which is where a leftmost search would begin as well.
 
 Defined cases: a null text is an empty one and has no spans; no pattern or row limit applies to long texts;
-repeated rows give repeated results; input columns named like an output column are replaced, others pass.
+repeated rows give repeated results; an empty table gives no rows; an input column named ``pii`` (of ``mask`` also
+``masked``) is replaced, all others pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from moundworks.llm.common import source_table
 
 THRESHOLD = 0.5
-CONTEXT = 40
+CONTEXT = 40  # characters on either side of a match in which a context word counts
+SERIES = 8  # a match so near to the one before it shares its context
 CHUNK = 256
 SPANS = "array<struct<start:long,rank:int,kind:string,end:long,score:double>>"
 
@@ -82,35 +86,38 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: between(m, 9, 15), 0.3, 0.4, 0.3, "phone|tel|call|mobil|fax|anruf|appel|llam"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", mod97, 0.2, 0.5, 0.3, "iban|konto|account|compte|cuenta|bank"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda m: F.lit(True), 0.1, 0.2, 0.4, "ssn|social security|taxpayer"),
-    Kind("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])", lambda m: F.lit(True), 0.1, 0.2, 0.4, "token|secret|password|passwd|api.?key|credential"),
+    Kind("secret", r"(?<![A-Za-z0-9+/=_-])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?=[A-Za-z0-9+/_-]{0,80}[0-9])(?=[A-Za-z0-9+/_-]{0,80}[A-Z])(?=[A-Za-z0-9+/_-]{0,80}[a-z])[A-Za-z0-9+/_-]{20,80}={0,2})(?![A-Za-z0-9+/=_-])", lambda m: F.lit(True), 0.1, 0.2, 0.4, "token|secret|password|passwd|api.?key|credential"),
+    Kind("key", r"(?<![A-Za-z0-9])(?:A(?:KIA|SIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|glpat-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])", lambda m: F.lit(True), 0.4, 0.3, 0.3, "token|secret|api.?key|credential|access"),
+    Kind("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", lambda m: F.lit(True), 0.5, 0.2, 0.3, "token|bearer|authorization|jwt"),
+    Kind("pem", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END (?:[A-Z]+ )?PRIVATE KEY-----", lambda m: F.lit(True), 0.7, 0.2, 0.1, "key"),
 )
 BASE_KINDS = tuple(k.name for k in KINDS[:4])
 
 
 def find(docs: DataFrame) -> DataFrame:
     """docs with ``pii``: the spans of all kinds (start and end in code points, rank of the kind, score), ordered."""
-    rows = docs.drop("pii").withColumn("_text", F.coalesce("text", F.lit("")))
-    found = [F.regexp_extract_all("_text", F.lit(k.pattern), F.lit(0)).alias(f"_m{i}") for i, k in enumerate(KINDS)]
-    rows = rows.select("*", *found)
-    gaps = [F.when(F.size(f"_m{i}") > 0, F.split("_text", k.pattern, -1)).alias(f"_g{i}") for i, k in enumerate(KINDS)]
-    rows = rows.select("*", *gaps).drop("_text")
-    zipped = [F.when(F.size(f"_m{i}") > 0, F.zip_with(F.slice(f"_g{i}", 1, F.size(f"_m{i}")), F.col(f"_m{i}"), _proposal(k))).alias(f"_z{i}") for i, k in enumerate(KINDS)]
-    kept = [c for c in rows.columns if c[:2] not in ("_m", "_g")]
-    rows = rows.select(*kept, *zipped)
-    chunks = [_chunks(F.col(f"_z{i}")).alias(f"_c{i}") for i in range(len(KINDS))]
-    rows = rows.select(*kept, *chunks)
-    starts = [_starts(F.col(f"_c{i}")).alias(f"_s{i}") for i in range(len(KINDS))]
-    rows = rows.select(*kept, *(f"_c{i}" for i in range(len(KINDS))), *starts)
-    spans = [F.when(F.col(f"_c{i}").isNotNull(), _spans(F.col(f"_c{i}"), F.col(f"_s{i}"), i, k.name)).alias(f"_p{i}") for i, k in enumerate(KINDS)]
-    rows = rows.select(*kept, *spans)
+    n = range(len(KINDS))
+    names = [c for c in docs.columns if c != "pii"]
+    rows = docs.select(F.struct(*names).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("*", *[F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)).alias(f"m{i}") for i, k in enumerate(KINDS)])
+    rows = rows.select("*", *[F.when(F.size(f"m{i}") > 0, F.split("text", k.pattern, -1)).alias(f"g{i}") for i, k in enumerate(KINDS)])
+    zipped = [F.when(F.size(f"m{i}") > 0, F.transform(f"m{i}", _proposal(k, F.col(f"g{i}")))).alias(f"z{i}") for i, k in enumerate(KINDS)]
+    rows = rows.select("row", *zipped)
+    rows = rows.select("row", *[_chunks(F.col(f"z{i}")).alias(f"c{i}") for i in n])
+    rows = rows.select("row", *[f"c{i}" for i in n], *[_starts(F.col(f"c{i}")).alias(f"s{i}") for i in n])
+    rows = rows.select("row", *[F.when(F.col(f"c{i}").isNotNull(), _spans(F.col(f"c{i}"), F.col(f"s{i}"), i, k.name)).alias(f"p{i}") for i, k in enumerate(KINDS)])
     none = F.array().cast(SPANS)
-    return rows.select(*kept, F.array_sort(F.concat(*[F.coalesce(F.col(f"_p{i}").cast(SPANS), none) for i in range(len(KINDS))])).alias("pii"))
+    return rows.select("row", F.array_sort(F.concat(*[F.coalesce(F.col(f"p{i}").cast(SPANS), none) for i in n])).alias("pii")).select("row.*", "pii")
 
 
-def _proposal(kind: Kind) -> Callable[[Column, Column], Column]:
-    def make(gap: Column, match: Column) -> Column:
-        near = F.lower(F.right(gap, F.lit(CONTEXT))).rlike(kind.words)
-        score = F.lit(kind.shape + kind.check) + F.when(near, kind.context).otherwise(0.0)
+def _proposal(kind: Kind, gaps: Column) -> Callable[[Column, Column], Column]:
+    """A match's gap, size and score; gaps are the pieces around the matches, one more than there are matches."""
+
+    def make(match: Column, i: Column) -> Column:
+        gap, rest = F.get(gaps, i), F.get(gaps, i + 1)
+        near = F.lower(F.right(gap, F.lit(CONTEXT))).rlike(kind.words) | F.lower(F.left(rest, F.lit(CONTEXT))).rlike(kind.words)
+        before = F.lower(F.right(F.get(gaps, i - 1), F.lit(CONTEXT))).rlike(kind.words) & (F.length(gap) < SERIES)
+        score = F.lit(kind.shape + kind.check) + F.when(near | F.coalesce(before, F.lit(False)), kind.context).otherwise(0.0)
         return F.struct(F.length(gap).cast("long").alias("gap"), F.length(match).cast("long").alias("size"), F.when(kind.valid(match), F.round(score, 2)).otherwise(0.0).alias("score"))
 
     return make
@@ -148,14 +155,17 @@ def mask(docs: DataFrame) -> DataFrame:
     """``find`` with ``masked``: the text with each span replaced by its kind in brackets; of overlapping spans the first."""
     rows = find(docs.drop("masked"))
     text = F.coalesce("text", F.lit(""))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out")))
-    done = F.aggregate("pii", start, step)
-    return rows.withColumn("_done", done).withColumn("masked", F.concat(F.col("_done.out"), F.substring(text, (F.col("_done.at") + 1).cast("int"), F.length(text)))).drop("_done")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    piece = lambda a, s: F.substring(text, (a + 1).cast("int"), (s - a).cast("int"))
+    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(piece(a["at"], s["start"]), F.concat(F.lit("["), s["kind"], F.lit("]")))).alias("out")))
+    done = rows.select(F.struct("*").alias("row"), F.aggregate("pii", start, step).alias("done"))
+    text = F.coalesce("row.text", F.lit(""))
+    masked = F.concat(F.array_join("done.out", ""), F.substring(text, (F.col("done.at") + 1).cast("int"), F.length(text)))
+    return done.select("row", masked.alias("masked")).select("row.*", "masked")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find(source_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("pii", lambda s: s["rank"] < len(BASE_KINDS))
-    return rows.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return rows.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
