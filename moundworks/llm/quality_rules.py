@@ -1,11 +1,13 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once per document.  The ledger keeps the measurements and one long ``failed`` whose
-bit k says that rule k failed.  A policy is a named, versioned mask of rules: applying it, comparing versions
-and ablating a rule are bitwise operations on the stored long, never a second look at the text.
+bit k says that rule k failed; ``store`` writes it to the shared folder without the texts.  A policy is a named, versioned
+mask of rules: applying it, comparing versions and ablating a rule are bitwise operations on the stored long, never a
+second look at the text.
 
-Defined cases: a null or empty text has no words and fails ``few_words``; input columns with the name of a
-measurement or ``failed`` are replaced, all others pass through; repeated rows are judged one by one.
+Defined cases: a null or empty text has no words and fails ``few_words``; letters are A-Z and a-z where a rule counts
+them; texts of any length are measured whole; repeated rows are judged one by one; an empty table gives no rows, and no
+ablations; input columns with the name of a measurement or ``failed`` are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moundworks.llm.common import slices, source_table, texts
+from moundworks.llm.common import materialise, slices, source_table, texts
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
@@ -107,6 +109,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("failed", failed)
 
 
+def store(docs: DataFrame) -> DataFrame:
+    """The ledger of docs without their texts, written to the shared folder and read from there."""
+    return materialise(ledger(docs).drop("text"), "ledger")
+
+
 def passes(policy: str, version: int) -> Column:
     """True for ledger rows that a policy keeps."""
     return F.col("failed").bitwiseAND(F.lit(POLICIES[policy, version]).cast("long")) == 0
@@ -125,11 +132,16 @@ def ablations(rows: DataFrame, policy: str, version: int) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(source_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = store(source_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("failed").bitwiseAND(F.lit(BASE).cast("long")) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", base.alias("base_failed"), passes("web", 2).alias("kept"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rule of the web policy: documents that fail it, and those that fail nothing else."""
+    return ablations(store(source_table(spark, sf_dir, "documents").select("doc_id", "text")), "web", 2)
+
+
 OP8_SQL = (
     r"""
 WITH d AS (
@@ -159,3 +171,8 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols
 FROM judged
 """
 )
+
+ABLATIONS_SQL = f"""
+SELECT rule, CAST(count(*) FILTER (WHERE failed & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (WHERE failed = bit) AS BIGINT) AS n_only
+FROM ({OP8_SQL}) judged, (VALUES {", ".join(f"('{name}', {bit})" for name, bit in BIT.items())}) AS rules(rule, bit) GROUP BY rule
+"""

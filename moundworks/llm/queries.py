@@ -16,4 +16,14 @@ QUERIES = {
     "op9_jaccard_join": near_dup.op9_jaccard_join,
     "op10_language_id": language_id.op10_language_id,
 }
-ORACLES = {"op1_mixing": mixing.OP1_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op8_quality_rules": quality_rules.OP8_SQL, "op4_suffix_dedup": suffix_dedup.OP4_SQL, "op2_url_filter": url_filter.OP2_SQL, "op7_decontamination": decontamination.OP7_SQL, "op9_jaccard_join": near_dup.OP9_SQL}
+QUERIES["quality_ablations"] = quality_rules.quality_ablations
+ORACLES = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op2_url_filter": url_filter.OP2_SQL,
+    "op4_suffix_dedup": suffix_dedup.OP4_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op7_decontamination": decontamination.OP7_SQL,
+    "op8_quality_rules": quality_rules.OP8_SQL,
+    "op9_jaccard_join": near_dup.OP9_SQL,
+    "quality_ablations": quality_rules.ABLATIONS_SQL,
+}
