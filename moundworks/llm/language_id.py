@@ -7,9 +7,14 @@ frequencies on either side, each language counting alike, so one pass of countin
 with the least loss, each bit weighed by how well that bit separates that language; a small lead over the
 runner-up, or hard bits nearer to no codeword than half the code's distance, marks the answer as ambiguous.
 
+The counts that come to the driver are BINS numbers per language: a language list of some thousand labels at most is
+assumed, so clean the labels first where anyone may write them.
+
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text if nothing
-could be learned; with one language learned every other text is that language; a null id counts as the text
-'' for the fold; input columns named like an output column are replaced, others pass through.
+could be learned; with one language learned every other text is that language; equal losses go to the first language in
+code-point order; repeated rows count as often as they occur; texts of any length are taken whole; a null id counts as
+the text '' for the fold; an empty table gives no rows; input columns named like an output column are replaced, others
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import types as T
 from moundworks.llm.common import slices, source_table, texts
 
 BINS = 1 << 14
+TRIALS = 200
 SHARPNESS = 10.0
 _SPACE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -45,13 +51,22 @@ def has_letter(text: bytes | None) -> bool:
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """n codewords of -1 and 1: every split for up to 7 languages, else the best of 200 random codes."""
+    """n codewords of -1 and 1: every split for up to 7 languages (2 ** (n - 1) - 1 bits), else of ``TRIALS`` random codes of
+    10 log2 n bits the one whose nearest two codewords are farthest apart."""
     if n <= 7:
         splits = [[1 if k == 0 or k in side else -1 for k in range(n)] for size in range(n - 1) for side in combinations(range(1, n), size)]
         return np.array(splits, np.int8).T.reshape(n, -1)
     bits, random = int(np.ceil(10 * np.log2(n))), np.random.default_rng(seed)
-    codes = (random.choice(np.array([-1, 1], np.int8), (n, bits)) for _ in range(200))
-    return max(codes, key=lambda c: min(int((c[a] != c[b]).sum()) for a, b in combinations(range(n), 2)) if n <= 200 else 0)
+    codes = (random.choice(np.array([-1, 1], np.int8), (n, bits)) for _ in range(TRIALS))
+    return max(codes, key=least_distance)
+
+
+def least_distance(code: np.ndarray) -> int:
+    """The least Hamming distance of two codewords; 0 if there are no two."""
+    n, bits = code.shape
+    alike = code.astype(np.float32) @ code.T.astype(np.float32)
+    np.fill_diagonal(alike, -bits)
+    return int((bits - alike.max()) / 2) if n > 1 else 0
 
 
 def count_trigrams(docs: DataFrame) -> DataFrame:
@@ -82,7 +97,7 @@ class Model:
         self.weights = (np.log(side(ones)) - np.log(side(1 - ones))).T if self.code.size else np.zeros((BINS, 0))
         lead = np.maximum((share @ self.weights) * self.code, 1e-6) if self.code.size else np.zeros((len(langs), 0))
         self.trust = lead / np.maximum(lead.sum(axis=1, keepdims=True), 1e-12)
-        self.distance = min([int((a != b).sum()) for a, b in combinations(self.code, 2)] or [0])
+        self.distance = least_distance(self.code)
 
     def decide(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language's index, its score from 0 to 1, and whether it is ambiguous."""

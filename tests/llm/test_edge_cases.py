@@ -2,17 +2,27 @@
 
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from moundworks.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dup, pii, quality_rules, suffix_dedup, url_filter
 
 LONG = "word " * 60_000 + "\n" + "x" * 200_000
 TEXTS = [None, "", " \n\t", "a", LONG, LONG, "The same line of text here\nother", "The same line of text here\nmore", "éà😀 ÄÖ\n\n", "The same line of text here\nother"]
 ROWS = [(k if k != 3 else None, t, "en" if k % 3 else None, None if k == 2 else f"s{k % 2}", None) for k, t in enumerate(TEXTS)]
 ROWS += ROWS[-1:]  # a repeated row
-CLASH = ("n_lines", "n_words", "size", "target", "failed", "score", "lang_pred", "pii", "_text", "taken", "position", "copy", "keys", "node", "hits", "tag", "_keep", "label", "kept")
+#: Names that operators use for columns of their own.
+CLASH = """n_lines n_words size target failed score lang_pred pii _text taken position copy keys node hits tag _keep label kept
+_row _id _group _key _bucket _tie _n _start _own _before _copies _knots _area _cap _level _order _best _s _g _p positions source_size
+row m0 g0 z0 c0 s0 p0 _m0 _g0 _meta _group_id done masked _done most_copies n_dropped measure rule bit r ambiguous _tag n_hit items
+contaminated doc_ids tags starts terms pointers postings block n_shingles component_id _salt least root core small file start place sig lone
+asks i j top cells lone_cells own any members host path shape template purity prior pages nn nb deep segments decided page_id _given
+shard once more counts low bucket context before end anchor digest sent mark first last n perplexity base_score train_tokens n_known""".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -63,6 +73,97 @@ def test_untouched_columns_pass(docs):
         assert {"source", "lang"} <= set(OPERATORS[name](docs).columns)
 
 
+def test_clashing_columns_are_unharmed(docs):
+    made = {"mix": {"copy", "position", "taken", "size", "target", "source_size", "positions"}, "assign": {"taken", "size", "target", "source_size", "positions"}, "pii": {"pii"}, "mask": {"pii", "masked"}}
+    made |= {"lines": set(line_dedup.ADDED), "quality": {*quality_rules.MEASURES, "failed"}, "language": {"lang_pred", "score", "ambiguous"}, "keep_one": set(), "drop_contaminated": set()}
+    for name, own in made.items():
+        found = OPERATORS[name](docs)
+        assert len(found.columns) == len(set(found.columns))
+        for r in found.select(*[c for c in CLASH if c not in own]).distinct().collect():
+            assert set(r) == {"clash"}, name
+
+
+def test_store_keeps_few_files_open(tmp_path):
+    """5,000 shards read twice under a limit of 256 descriptors."""
+    code = f"""
+import resource, numpy as np
+from moundworks.llm.store import Store, put
+from moundworks.llm.repeated import Repeated
+resource.setrlimit(resource.RLIMIT_NOFILE, (256, 256))
+for k in range(5000):
+    put("file://{tmp_path}", f"repeated-{{k}}", low=np.array([k], np.uint32), more=np.zeros((0, 2)))
+known = Repeated("file://{tmp_path}", 5000)
+keys = np.arange(5000, dtype=np.uint64) << np.uint64(32) | np.arange(5000, dtype=np.uint64)
+for _ in range(2):
+    assert known.contains(keys).all() and not known.contains(keys + np.uint64(1)).any()
+assert len(known.store.open) <= 64 and known.store.get("repeated-7")["more"].shape == (0, 2)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2], timeout=300)
+
+
+@pytest.mark.parametrize("made", ["suffix", "lines", "lm"])
+def test_a_missing_shard_is_an_error(spark, tmp_path, monkeypatch, made):
+    docs = spark.createDataFrame([(k, f"some words that are here in every text and a long line of them as well\n{k}") for k in range(30)], "doc_id long, text string")
+    module, prefix = {"suffix": (suffix_dedup, "ranges-"), "lines": (line_dedup, "lines-"), "lm": (lm_scoring, "bigrams-")}[made]
+    monkeypatch.setattr(module, "shared_dir", lambda spark, name: f"file://{tmp_path}/{name}")
+    found = {"suffix": suffix_dedup.dedup_bytes, "lines": line_dedup.dedup_lines, "lm": lambda d: lm_scoring.score(d.withColumn("held_out", F.lit(False)), lm_scoring.train(d))}[made](docs)
+    assert found.count() == 30
+    for file in tmp_path.rglob(f"{prefix}*"):
+        if file.is_file():
+            file.unlink()
+    with pytest.raises(Exception, match="No such file|FileNotFound"):
+        found.collect()
+
+
+def test_stages_on_hard_rows(spark, tmp_path):
+    hard = spark.createDataFrame([*ROWS, (20, " ".join(f"w{k}" for k in range(400_000)), "en", "s0", None)], SCHEMA)
+    for name, docs in (("hard", hard), ("empty", hard.where("false"))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs.select(F.lit(1).alias("item_id"), "text").where("text LIKE 'The same%'").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            found = run(spark, docs, f"{tmp_path}/{name}")
+            assert found.columns == docs.columns and found.count() <= docs.count(), stage
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").select("doc_id").distinct().collect()
+        assert [r[0] for r in rows] == ([20] if name == "hard" else [])
+
+
+def test_a_text_of_several_megabytes(spark):
+    rng = random.Random(2)
+    long = " ".join(f"{rng.randrange(10**7):07d}" for _ in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, "x" + long[1000:]), (3, "short")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.jaccard_components(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.dedup_bytes(docs).collect()} == {1: 0, 2: len(long) - 1000, 3: 0}
+
+
+def test_wide_hosts_and_deep_paths(spark):
+    """A section of spam is found among 15, 16 or 17 sections alike, and below eight segments as well."""
+    for sections in (15, 16, 17, 40):
+        urls = [(s * 1000 + k, f"http://h.net/s{chr(97 + s % 26)}{chr(97 + s // 26)}/{'x' * (k % 7)}{k}") for s in range(sections) for k in range(60)]
+        labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in urls if i % 2], "page_id long, label int")
+        got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), labels=labels).collect()}
+        assert all(v == ("block" if i < 1000 else "allow") for i, v in got.items())
+    urls = [(k, f"http://h.net/a/b/c/d/e/f/g/{'spam' if k % 2 else 'good'}/{k}") for k in range(100)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "page_id long, label int")
+    got = {r["page_id"]: (r["verdict"], r["template"]) for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), labels=labels).collect()}
+    assert all(got[k] == ("block" if k % 2 else "allow", f"h.net/~/~/~/~/~/~/~/{'spam' if k % 2 else 'good'}") for k in range(100))
+
+
+def test_some_url_without_a_rule_is_rejected(spark):
+    got = url_filter.op2_url_filter(spark, "/root/testdata/sf0.01").where("rule IS NULL AND verdict = 'block'").collect()
+    assert got and all(r["purity"] >= url_filter.PURITY for r in got)
+
+
+def test_documents_with_much_in_common_but_no_link(spark):
+    """Sets whose core is under six sevenths of them link with smaller ones only; some of these do."""
+    rng = random.Random(6)
+    word = lambda: f"t{rng.randrange(10**6)}"
+    shared = [word() for _ in range(160)]
+    texts = [" ".join([*shared, *(word() for _ in range(rng.choice([10, 20, 30, 40, 50])))]) for _ in range(120)] + [" ".join(shared[k:]) for k in (0, 3, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.jaccard_components(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_components(texts)
+
+
 def test_lines(docs):
     rows = {(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(docs).where("doc_id > 5 OR doc_id < 3 OR doc_id IS NULL").collect()}
     assert (6, 2, 0, TEXTS[6]) in rows and (7, 2, 1, "more") in rows and (9, 2, 1, "other") in rows
