@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moundworks.functions.constants import CLEAN_COLUMNS, MIN_PITCHES, TRAINING_FLOOR, VALID_ARSENAL
@@ -13,6 +13,14 @@ def valid_pitches(pitches: DataFrame) -> DataFrame:
     return pitches.where(F.col("pitch_type").isin(*VALID_ARSENAL)).na.drop(subset=list(CLEAN_COLUMNS))
 
 
+def is_valid() -> Column:
+    """The same as a flag, never null."""
+    flag = F.coalesce(F.col("pitch_type").isin(*VALID_ARSENAL), F.lit(False))
+    for c in CLEAN_COLUMNS:
+        flag = flag & F.col(c).isNotNull() & ~F.isnan(F.coalesce(F.col(c), F.lit(0.0)))
+    return flag
+
+
 def date_window(requests: DataFrame, as_of: str, days: int = 365) -> DataFrame:
     """Requests with both ends: the end defaults to as_of, the start to so many days before the end."""
     end = F.coalesce("end_date", F.to_date(F.lit(as_of)))

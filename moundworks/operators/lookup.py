@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,14 +31,36 @@ def latest_namesake(candidates: DataFrame) -> DataFrame:
 
 def pitches_for_requests(pitches: DataFrame, resolved: DataFrame) -> DataFrame:
     """Pitches of each request's player within its dates (request_id, key_mlbam, start_date, end_date)."""
-    asked = resolved.select("request_id", F.col("key_mlbam").alias("pitcher"), "start_date", "end_date")
-    return pitches.join(asked, "pitcher").where(F.col("game_date").between(F.col("start_date"), F.col("end_date"))).drop("start_date", "end_date")
+    return pitches_in_windows(pitches, windows(resolved)).join(resolved.select("request_id", window_key().alias("window")), "window").drop("window")
 
 
-def request_status(requests: DataFrame, resolved: DataFrame, rows: DataFrame, clean: DataFrame, least: int = MIN_PITCHES) -> DataFrame:
-    """Each request's outcome: not found, no data, not enough, or success, in that order."""
-    count = lambda frame, name: frame.groupBy("request_id").agg(F.count("*").alias(name))
-    joined = requests.select("request_id").join(resolved.select("request_id", "key_mlbam"), "request_id", "left").join(count(rows, "n_rows"), "request_id", "left").join(count(clean, "n_clean"), "request_id", "left")
+def window_key() -> Column:
+    """A player and a pair of dates in one text."""
+    return F.concat_ws("|", "key_mlbam", "start_date", "end_date")
+
+
+def windows(resolved: DataFrame) -> DataFrame:
+    """window, pitcher, start_date, end_date: requests for the same player and dates are one."""
+    return resolved.select(window_key().alias("window"), F.col("key_mlbam").alias("pitcher"), "start_date", "end_date").distinct()
+
+
+def pitches_in_windows(pitches: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pitches with each window that they lie in.  A table with game_year is read for the years asked about only."""
+    if "game_year" in pitches.columns:
+        least, most = asked.agg(F.min(F.year("start_date")), F.max(F.year("end_date"))).first()
+        pitches = pitches.where(F.col("game_year").between(F.lit(least), F.lit(most)))
+    inside = F.col("game_date").between(F.col("start_date"), F.col("end_date"))
+    return pitches.join(asked, (pitches["pitcher"] == asked["pitcher"]) & inside).drop(asked["pitcher"]).drop("start_date", "end_date")
+
+
+def window_counts(rows: DataFrame) -> DataFrame:
+    """Per window its pitches and the clean ones among them, in one aggregation; rows has window and a flag clean."""
+    return rows.groupBy("window").agg(F.count("*").alias("n_rows"), F.sum(F.col("clean").cast("long")).alias("n_clean"))
+
+
+def request_status(requests: DataFrame, resolved: DataFrame, counts: DataFrame, least: int = MIN_PITCHES) -> DataFrame:
+    """Each request's outcome: not found, no data, not enough, or success, in that order; counts as of ``window_counts``."""
+    joined = requests.select("request_id").join(resolved.select("request_id", "key_mlbam", window_key().alias("window")), "request_id", "left").join(counts, "window", "left")
     joined = joined.na.fill(0, ["n_rows", "n_clean"])
     status = F.when(F.col("key_mlbam").isNull(), NOT_FOUND).when(F.col("n_rows") == 0, NO_DATA).when(F.col("n_clean") < least, TOO_FEW).otherwise(SUCCESS)
     return joined.select("request_id", "n_rows", "n_clean", status.alias("status"))

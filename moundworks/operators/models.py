@@ -24,6 +24,24 @@ def train_sequence_model(dataset: DataFrame, hidden: int = 32, iterations: int =
     return Pipeline(stages=[VectorAssembler(inputCols=INPUTS, outputCol="features"), net]).fit(rows)
 
 
+def held_out(rows: DataFrame, folds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Windows to learn from, and one in ``folds`` to judge by."""
+    fold = F.pmod(F.xxhash64("idx"), F.lit(folds))
+    return rows.where(fold != 0), rows.where(fold == 0)
+
+
+def log_losses(model: PipelineModel, learned: DataFrame, judged: DataFrame) -> DataFrame:
+    """One row: the mean negative log-likelihood of held-out labels under the model, and under the labels' shares alone."""
+    least = F.lit(1e-12)
+    complete = judged.na.drop(subset=INPUTS)
+    likely = F.get(vector_to_array("probability"), F.col("label").cast("int"))
+    modelled = model.transform(complete).agg(F.avg(-F.log(F.greatest(F.coalesce(likely, least), least))).alias("held_out_loss"))
+    shares = learned.groupBy("label").agg(F.count("*").alias("n"))  # a row per class
+    total = shares.agg(F.sum("n").alias("total"))
+    prior = complete.join(F.broadcast(shares), "label", "left").crossJoin(F.broadcast(total)).agg(F.avg(-F.log(F.greatest(F.coalesce(F.col("n") / F.col("total"), least), least))).alias("prior_loss"))
+    return modelled.crossJoin(prior)
+
+
 def loss_history(spark: SparkSession, model: PipelineModel) -> DataFrame:
     """iteration, loss of a trained sequence model."""
     history = model.stages[-1].summary().objectiveHistory
@@ -70,5 +88,10 @@ def save(model: PipelineModel, codes: DataFrame, stats: DataFrame, path: str) ->
     stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
 
 
+def predictions(model: PipelineModel, dataset: DataFrame) -> DataFrame:
+    """idx, label and the predicted code of every complete window."""
+    return model.transform(dataset.na.drop(subset=INPUTS)).select("idx", "label", F.col("prediction").cast("int").alias("predicted"))
+
+
 def load(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, DataFrame]:
     return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/scaler")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +20,8 @@ from moundworks.sources.shared import materialise
 
 CONTEXT_KEYS = ("pitcher", "batter_stand", "balls", "strikes")
 INPUTS = [f"{c}_{k}" for k in range(1, SEQUENCE + 1) for c in FEATURES]
-LAYERS = 2
+LAYERS, HIDDEN = 2, 128
+UNSEEN = -30.0  # bias of a class without a training row
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -33,12 +38,12 @@ def random_weights(inputs: int, hidden: int, classes: int, seed: int = 7) -> dic
     return made | {"fc_weight": random.normal(0, 0.1, (classes, hidden)), "fc_bias": np.zeros(classes)}
 
 
-def forward(x: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
-    """Class probabilities of a batch (n, steps, features): two layers, zero start, last step, linear, softmax."""
+def last_states(x: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
+    """The second layer's output after the last step of a batch (n, steps, features), from a zero start."""
     steps = np.moveaxis(x, 1, 0)
     for k in range(LAYERS):
         hidden = weights[f"weight_hh_l{k}"].shape[1]
-        h = c = np.zeros((x.shape[0], hidden))
+        h = c = np.zeros((x.shape[0], hidden), x.dtype)
         out = []
         for step in steps:
             gates = step @ weights[f"weight_ih_l{k}"].T + weights[f"bias_ih_l{k}"] + h @ weights[f"weight_hh_l{k}"].T + weights[f"bias_hh_l{k}"]
@@ -47,23 +52,80 @@ def forward(x: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
             h = sigmoid(o) * np.tanh(c)
             out.append(h)
         steps = np.stack(out)
-    logits = steps[-1] @ weights["fc_weight"].T + weights["fc_bias"]
+    return steps[-1]
+
+
+def forward(x: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
+    """Class probabilities of a batch: two recurrent layers, last step, linear, softmax."""
+    logits = last_states(x, weights) @ weights["fc_weight"].T + weights["fc_bias"]
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
+def save_weights(weights: dict[str, np.ndarray], path: str) -> None:
+    """Write weights as an ``.npz`` to a shared folder, under the names of ``random_weights``."""
+    fs, name = pafs.FileSystem.from_uri(path)
+    fs.create_dir(name.rpartition("/")[0], recursive=True)
+    data = io.BytesIO()
+    np.savez(data, **weights)
+    with fs.open_output_stream(name) as out:
+        out.write(data.getvalue())
+
+
+def load_weights(path: str) -> dict[str, np.ndarray]:
+    """Weights from an ``.npz``: those of ``save_weights``, or of a network trained elsewhere under the same names."""
+    fs, name = pafs.FileSystem.from_uri(path)
+    with fs.open_input_stream(name) as source:
+        stored = np.load(io.BytesIO(source.read()))
+        return {k: stored[k] for k in stored.files}
+
+
+def batches_of(batch: pd.DataFrame) -> np.ndarray:
+    return np.stack(batch["window"].to_numpy()).astype(np.float32).reshape(-1, SEQUENCE, len(FEATURES)) if len(batch) else np.zeros((0, SEQUENCE, len(FEATURES)), np.float32)
+
+
+def windows_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys and the complete windows' numbers as one array column."""
+    return rows.na.drop(subset=INPUTS).select(*keys, F.array(*[F.col(c).cast("float") for c in INPUTS]).alias("window"))
+
+
+def narrow(weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: v.astype(np.float32) for k, v in weights.items()}
+
+
+def train_readout(rows: DataFrame, classes: int, hidden: int = HIDDEN, iterations: int = 20, seed: int = 7) -> dict[str, np.ndarray]:
+    """Weights of a network whose recurrent layers are fixed random features and whose linear layer is fit by Spark ML.
+
+    rows: windows with INPUTS and label.  States are computed in batches; the multinomial regression over them is Spark's.
+    """
+    weights = random_weights(len(FEATURES), hidden, classes, seed)
+    shared = rows.sparkSession.sparkContext.broadcast(narrow(weights))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"label": batch["label"], "state": list(last_states(batches_of(batch), shared.value).astype(float))})
+
+    states = windows_of(rows, F.col("label").cast("double").alias("label")).mapInPandas(run, "label double, state array<double>")
+    ready = materialise(states, "states").select("label", array_to_vector("state").alias("features"))
+    fit = LogisticRegression(maxIter=iterations, family="multinomial", regParam=1e-4).fit(ready)
+    found = fit.coefficientMatrix.toArray()
+    seen = {r[0] for r in ready.select(F.col("label").cast("int")).distinct().collect()}  # a row per class
+    weights["fc_weight"][: len(found)], weights["fc_weight"][len(found) :] = found, 0.0
+    weights["fc_bias"] = np.array([fit.interceptVector[k] if k in seen else UNSEEN for k in range(classes)])
+    return weights
+
+
 def lstm_score(rows: DataFrame, weights: dict[str, np.ndarray], *keys: str) -> DataFrame:
     """keys and probabilities (by code) of windows with the columns INPUTS; incomplete windows are left out.
 
     The weights are some hundred kB, broadcast once; scoring is batched matrix arithmetic on Arrow batches.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
-    ready = rows.na.drop(subset=INPUTS).select(*keys, *INPUTS)
+    shared = rows.sparkSession.sparkContext.broadcast(narrow(weights))
+    ready = windows_of(rows, *keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = batch[INPUTS].to_numpy(float).reshape(-1, SEQUENCE, len(FEATURES))
-            yield batch[list(keys)].assign(probabilities=list(forward(x, shared.value)))
+            yield batch[list(keys)].assign(probabilities=list(forward(batches_of(batch), shared.value).astype(float)))
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ready.select(*keys).schema)
     return ready.mapInPandas(run, f"{kept}, probabilities array<double>")

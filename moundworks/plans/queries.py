@@ -16,6 +16,17 @@ from moundworks.sources import fixtures, ingest
 from moundworks.sources.shared import materialise, shared_folder
 
 World = dict[str, DataFrame]
+
+
+def _weight(column: str) -> str:
+    """The checks' own table of run values in hundredths, written out apart from the library's."""
+    return f"""CASE WHEN {column} IN ('ball', 'blocked_ball') THEN 6 WHEN {column} = 'called_strike' THEN -6 WHEN {column} = 'swinging_strike' THEN -12
+    WHEN {column} = 'foul' THEN -4 WHEN {column} = 'hit_into_play' THEN 0 WHEN {column} = 'single' THEN 48 WHEN {column} = 'double' THEN 77 WHEN {column} = 'triple' THEN 105
+    WHEN {column} = 'home_run' THEN 140 WHEN {column} = 'walk' THEN 32 WHEN {column} = 'hit_by_pitch' THEN 34 WHEN {column} IN ('strikeout', 'field_out', 'force_out') THEN -27
+    WHEN {column} = 'grounded_into_double_play' THEN -45 END"""
+
+
+_RUN_VALUE = f"CAST(coalesce({_weight('events')}, {_weight('description')}, 0) AS BIGINT)"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,7 +35,7 @@ KEYS = ", ".join(KEY)
 _CLEAN = f"SELECT * FROM pitches WHERE {E.VALID} AND " + " AND ".join(f"{c} IS NOT NULL" for c in C.CLEAN_COLUMNS)
 _GROUPS = f"""SELECT *, CAST(sum(count) OVER (PARTITION BY pitcher) AS BIGINT) AS total FROM (
   SELECT pitcher, pitch_type, count(*) AS count, CAST(sum(rv) AS BIGINT) AS rv, {", ".join(f"avg({c}) AS {a}" for a, c in arsenal.AVERAGES.items())}
-  FROM (SELECT *, {E.RUN_VALUE} AS rv FROM clean) GROUP BY pitcher, pitch_type)"""
+  FROM (SELECT *, {_RUN_VALUE} AS rv FROM clean) GROUP BY pitcher, pitch_type)"""
 _ARSENAL = f"""SELECT pitcher, pitch_type, count, {rounded("count * 100e0 / total", 1)} AS percentage, {", ".join(f"{rounded(e, n)} AS {c}" for c, (e, n) in arsenal.MEASURES.items())}
   FROM groups WHERE total >= {C.MIN_PITCHES} AND count >= {C.MIN_PER_TYPE}"""
 _ASKED = r"""SELECT request_id, parts[len(parts)] AS lname, CASE WHEN len(parts) >= 2 THEN parts[1] END AS fname
@@ -72,8 +83,14 @@ PARTS = fixtures.VIEWS | {
     "clean": _CLEAN, "groups": _GROUPS, "arsenal": _ARSENAL, "asked": _ASKED, "candidates": _CANDIDATES, "resolved": _RESOLVED, "asked_rows": _ASKED_ROWS,
     "training": _TRAINING, "codes": _CODES, "coded": _CODED, "stats": _STATS, "outcomes": "", "top_k": _TOP, "kept": _KEPT,
 }
-PARTS["outcomes"] = f"""SELECT pitcher, pitch_type, stand, count(*) AS sample_size, avg(release_speed) AS speed,
-  {", ".join(f"CAST(sum(CASE WHEN {e} THEN 1 ELSE 0 END) AS BIGINT) AS {c}" for c, e in outcomes.COUNTERS.items())} FROM pitches GROUP BY pitcher, pitch_type, stand"""
+PARTS["outcomes"] = """SELECT pitcher, pitch_type, stand, count(*) AS sample_size, avg(release_speed) AS speed,
+  count(*) FILTER (WHERE description LIKE 'swinging_strike%') AS whiffs,
+  count(*) FILTER (WHERE description LIKE 'swinging_strike%' OR description LIKE 'foul%' OR description = 'hit_into_play') AS swings,
+  count(*) FILTER (WHERE strikes = 2) AS two_strikes,
+  count(*) FILTER (WHERE strikes = 2 AND events LIKE 'strikeout%') AS strikeouts,
+  count(*) FILTER (WHERE description = 'hit_into_play' AND launch_speed IS NOT NULL) AS in_play,
+  count(*) FILTER (WHERE description = 'hit_into_play' AND launch_speed >= 95) AS hard_hit
+FROM pitches GROUP BY pitcher, pitch_type, stand"""
 USES = {
     "matchup_requests": ("players",), "contexts": ("pitches",), "class_probabilities": ("contexts",), "clean": ("pitches",), "groups": ("clean",), "arsenal": ("groups",),
     "asked": ("matchup_requests",), "candidates": ("asked",), "resolved": ("candidates",), "asked_rows": ("pitches", "resolved"), "training": ("pitches",), "codes": ("training",),
@@ -131,10 +148,15 @@ _YEARS = {2021: "* EXCLUDE (launch_speed)", 2022: "*, inning + 1 AS extra", 2023
 
 @query("ingest_union_by_name", f"SELECT {KEYS}, launch_speed, extra FROM (" + " UNION ALL BY NAME ".join(f"SELECT {c} FROM pitches WHERE year(game_date) = {y}" for y, c in _YEARS.items()) + ")", "pitches")
 def ingest_union_by_name(w: World) -> DataFrame:
+    """Yearly CSV folders with columns absent, added and in another order, written and read back."""
+    spark, folder = w["pitches"].sparkSession, shared_folder(w["pitches"].sparkSession, "csv")
     by_year = {y: w["pitches"].where(F.year("game_date") == y) for y in _YEARS}
     by_year[2021] = by_year[2021].drop("launch_speed")
     by_year[2022] = by_year[2022].withColumn("extra", F.col("inning") + 1)
-    return ingest.typed(ingest.union_by_name(list(by_year.values()))).select(*KEY, "launch_speed", "extra")
+    by_year[2023] = by_year[2023].select(*reversed(w["pitches"].columns))
+    for year, rows in by_year.items():
+        rows.write.option("header", True).csv(f"{folder}/{year}")
+    return ingest.read_csvs(spark, [f"{folder}/{y}" for y in by_year]).select(*KEY, "launch_speed", F.col("extra").cast("int"))
 
 
 @query("build_table", f"SELECT {KEYS}, pitcher, year(game_date) AS game_year FROM pitches", "pitches")
@@ -149,11 +171,6 @@ def table_stats(w: World) -> DataFrame:
     return ingest.table_stats(w["pitches"].withColumn("game_year", F.year("game_date").cast("long")))
 
 
-@query("report_json")
-def report_json(w: World) -> DataFrame:
-    return report.report(w["pitches"], w["matchup_requests"], w["players"], fixtures.AS_OF)
-
-
 # Projections and filters
 
 
@@ -197,13 +214,16 @@ def active_types(w: World) -> DataFrame:
     return clean.active_types(w["pitches"], ("FF", "SL")).select(*KEY, "pitch_type", "plate_x", "plate_z")
 
 
-@query("request_status", f"""SELECT request_id, n_rows, n_clean, CASE WHEN key_mlbam IS NULL THEN '{lookup.NOT_FOUND}' WHEN n_rows = 0 THEN '{lookup.NO_DATA}' WHEN n_clean < {C.MIN_PITCHES} THEN '{lookup.TOO_FEW}' ELSE '{lookup.SUCCESS}' END AS status
+_STATUS = f"""SELECT request_id, n_rows, n_clean, CASE WHEN key_mlbam IS NULL THEN '{lookup.NOT_FOUND}' WHEN n_rows = 0 THEN '{lookup.NO_DATA}' WHEN n_clean < {C.MIN_PITCHES} THEN '{lookup.TOO_FEW}' ELSE '{lookup.SUCCESS}' END AS status
 FROM (SELECT q.request_id, any_value(r.key_mlbam) AS key_mlbam, count(a.pitcher) AS n_rows, count(a.pitcher) FILTER (WHERE {E.VALID} AND release_speed IS NOT NULL AND pfx_x IS NOT NULL AND pfx_z IS NOT NULL AND plate_x IS NOT NULL AND plate_z IS NOT NULL) AS n_clean
-  FROM matchup_requests q LEFT JOIN resolved r ON q.request_id = r.request_id LEFT JOIN asked_rows a ON q.request_id = a.request_id GROUP BY q.request_id)""", "asked_rows")
+  FROM matchup_requests q LEFT JOIN resolved r ON q.request_id = r.request_id LEFT JOIN asked_rows a ON q.request_id = a.request_id GROUP BY q.request_id)"""
+
+
+@query("request_status", _STATUS, "asked_rows")
 def request_status(w: World) -> DataFrame:
     resolved = report.resolve(w["matchup_requests"], w["players"], fixtures.AS_OF)
-    rows = lookup.pitches_for_requests(w["pitches"], resolved)
-    return lookup.request_status(w["matchup_requests"], resolved, rows, clean.valid_pitches(rows))
+    rows = lookup.pitches_in_windows(w["pitches"], lookup.windows(resolved)).withColumn("clean", clean.is_valid())
+    return lookup.request_status(w["matchup_requests"], resolved, lookup.window_counts(rows))
 
 
 # Joins
@@ -224,7 +244,7 @@ def pitches_for_requests(w: World) -> DataFrame:
     return lookup.pitches_for_requests(w["pitches"], report.resolve(w["matchup_requests"], w["players"], fixtures.AS_OF)).select("request_id", *KEY, "pitcher")
 
 
-@query("run_value", f"SELECT {KEYS}, events, description, {E.RUN_VALUE} AS rv FROM pitches", "pitches")
+@query("run_value", f"SELECT {KEYS}, events, description, {_RUN_VALUE} AS rv FROM pitches", "pitches")
 def run_value(w: World) -> DataFrame:
     return arsenal.with_run_value(w["pitches"]).select(*KEY, "events", "description", "rv")
 
@@ -260,6 +280,21 @@ def sim_defaults(w: World) -> DataFrame:
     return kinematics.sim_defaults(simulation_requests(w))
 
 
+# The report
+
+
+@query("report_json", f"""SELECT q.request_id, q.status, CASE WHEN success THEN r.name END AS name, CASE WHEN success THEN r.key_mlbam END AS id,
+  CASE WHEN success THEN CAST(r.start_date AS VARCHAR) END AS start_date, CASE WHEN success THEN CAST(r.end_date AS VARCHAR) END AS end_date, CASE WHEN success THEN least(n_clean, {C.MAX_LOCATIONS}) END AS n_locations,
+  a.* EXCLUDE (request_id) FROM (SELECT *, status = '{lookup.SUCCESS}' AS success FROM ({_STATUS})) q LEFT JOIN resolved r ON q.request_id = r.request_id
+LEFT JOIN (SELECT request_id, pitch_type, count, {rounded("count * 100e0 / total", 1)} AS percentage, {", ".join(f"{rounded(e, n)} AS {c}" for c, (e, n) in arsenal.MEASURES.items())} FROM (
+  SELECT request_id, pitch_type, count(*) AS count, CAST(sum(sum(1)) OVER (PARTITION BY request_id) AS BIGINT) AS total, CAST(sum(rv) AS BIGINT) AS rv, {", ".join(f"avg({c}) AS {a}" for a, c in arsenal.AVERAGES.items())}
+  FROM (SELECT *, {_RUN_VALUE} AS rv FROM asked_rows WHERE {E.VALID} AND {" AND ".join(f"{c} IS NOT NULL" for c in C.CLEAN_COLUMNS)}) GROUP BY request_id, pitch_type)
+  WHERE total >= {C.MIN_PITCHES} AND count >= {C.MIN_PER_TYPE}) a ON q.request_id = a.request_id""", "asked_rows")
+def report_json(w: World) -> DataFrame:
+    """The reports as JSON, read back and flattened."""
+    return report.flattened(report.report(w["pitches"], w["matchup_requests"], w["players"], fixtures.AS_OF))
+
+
 # Aggregations
 
 
@@ -268,7 +303,7 @@ def arsenal_query(w: World) -> DataFrame:
     return arsenal.arsenal(clean_rows(w))
 
 
-@query("run_value_totals", f"SELECT pitcher, pitch_type, count(*) AS count, CAST(sum(rv) AS BIGINT) AS rv_cents, {rounded('sum(rv) * 1e0 / count(*)', 2)} AS rv_per_100 FROM (SELECT *, {E.RUN_VALUE} AS rv FROM pitches) GROUP BY pitcher, pitch_type", "pitches")
+@query("run_value_totals", f"SELECT pitcher, pitch_type, count(*) AS count, CAST(sum(rv) AS BIGINT) AS rv_cents, {rounded('sum(rv) * 1e0 / count(*)', 2)} AS rv_per_100 FROM (SELECT *, {_RUN_VALUE} AS rv FROM pitches) GROUP BY pitcher, pitch_type", "pitches")
 def run_value_totals(w: World) -> DataFrame:
     return arsenal.run_value_totals(w["pitches"])
 
@@ -397,16 +432,22 @@ def flight_params(w: World) -> DataFrame:
 
 
 def _points_at(rows: DataFrame, *steps: int) -> DataFrame:
-    """Some points of each flight side by side."""
-    return rows.select(*KEY, *[F.element_at("points", i + 1)[c].alias(f"{c}_{i}") for i in steps for c in "xyz"])
+    """Some points of each flight side by side, and the extremes over all points."""
+    extremes = [f(f"points.{c}").alias(f"{c}_{n}") for c in "xyz" for n, f in (("min", F.array_min), ("max", F.array_max))]
+    return rows.select(*KEY, F.size("points").cast("long").alias("n_points"), *[F.element_at("points", i + 1)[c].alias(f"{c}_{i}") for i in steps for c in "xyz"], *extremes)
+
 
+def _extremes(shape: dict[str, str]) -> str:
+    every = {k: f"[{v.format(**kinematics.NAMES, t=f'(i / {kinematics.STEPS}e0 * flight)')} for i in range(0, {kinematics.STEPS + 1})]" for k, v in shape.items()}
+    return ", ".join(f"list_{n}({v}) AS {k}_{n}" for k, v in every.items() for n in ("min", "max"))
 
-@query("trajectory", f"SELECT {KEYS}, {_at(E.FREE, '20', '_20')}, {_at(E.FREE, '40', '_40')} FROM ({_flight(_INCHES)})", "clean")
+
+@query("trajectory", f"SELECT {KEYS}, {kinematics.STEPS + 1} AS n_points, {_at(E.FREE, '20', '_20')}, {_at(E.FREE, '40', '_40')}, {_extremes(E.FREE)} FROM ({_flight(_INCHES)})", "clean")
 def trajectory(w: World) -> DataFrame:
     return _points_at(kinematics.trajectory(in_inches(clean_rows(w))), 20, 40)
 
 
-@query("trajectory_to_plate", f"SELECT {KEYS}, {_at(E.TO_PLATE, '20', '_20')}, {_at(E.TO_PLATE, '40', '_40')} FROM ({_solved(_INCHES)})", "clean")
+@query("trajectory_to_plate", f"SELECT {KEYS}, {kinematics.STEPS + 1} AS n_points, {_at(E.TO_PLATE, '20', '_20')}, {_at(E.TO_PLATE, '40', '_40')}, {_extremes(E.TO_PLATE)} FROM ({_solved(_INCHES)})", "clean")
 def trajectory_to_plate(w: World) -> DataFrame:
     return _points_at(kinematics.trajectory_to_plate(in_inches(clean_rows(w))), 20, 40)
 
@@ -462,37 +503,55 @@ def sequence_dataset(w: World) -> DataFrame:
     return sequences.sequence_dataset(clean.training_rows(w["pitches"])).select("idx", "label", *[F.expr(rounded(c, 6)).alias(c) for c in _SIX])
 
 
+def training_windows(w: World, limit: int | None = C.TRAINING_LIMIT) -> DataFrame:
+    """The training data, derived once and written."""
+    return materialise(sequences.sequence_dataset(materialise(clean.training_rows(w["pitches"]), "training"), limit=limit), "dataset")
+
+
 @query("train_sequence_model")
 def train_sequence_model(w: World) -> DataFrame:
-    rows = sequences.sequence_dataset(clean.training_rows(w["pitches"])).cache()
-    return models.loss_history(rows.sparkSession, models.train_sequence_model(rows, hidden=16, iterations=5))
+    """The loss by iteration, and (iteration null) the held-out loss beside that of the labels' shares alone."""
+    learned, judged = models.held_out(training_windows(w))
+    model = models.train_sequence_model(learned)
+    losses = models.log_losses(model, learned, judged)
+    at = F.lit(None).cast("int").alias("iteration")
+    history = models.loss_history(learned.sparkSession, model).select(F.lit("loss").alias("measure"), "iteration", F.col("loss").alias("value"))
+    return history.unionByName(losses.select(F.lit("held_out_loss").alias("measure"), at, F.col("held_out_loss").alias("value"))).unionByName(losses.select(F.lit("prior_loss").alias("measure"), at, F.col("prior_loss").alias("value")))
 
 
 @query("train_context_model")
 def train_context_model(w: World) -> DataFrame:
-    rows = w["pitches"].where("pitch_type IS NOT NULL").select("pitch_type", *models.CONTEXT).cache()
-    model = models.train_context_model(rows, trees=5)
+    rows = materialise(w["pitches"].where("pitch_type IS NOT NULL").select("pitch_type", *models.CONTEXT), "rows")
+    model = models.train_context_model(rows)
     contexts = models.context_rows(rows.select(*models.CONTEXT).distinct().withColumn("pitch_type", F.lit("FF")))
     return models.class_probabilities(model, contexts).select(*models.CONTEXT, "probabilities")
 
 
 @query("save_model")
 def save_model(w: World) -> DataFrame:
+    """Predictions of a model that was trained, saved with its encoders and loaded again."""
     rows, codes = coded_rows(w)
-    stats = sequences.scaler_stats(rows)
-    dataset = sequences.sequence_dataset(clean.training_rows(w["pitches"]))
-    path = shared_folder(rows.sparkSession, "model")
-    models.save(models.train_sequence_model(dataset, hidden=8, iterations=1), codes, stats, path)
-    _, classes, scaler = models.load(rows.sparkSession, path)
-    return classes.crossJoin(scaler)  # one row
+    dataset, path = training_windows(w), shared_folder(rows.sparkSession, "model")
+    models.save(models.train_sequence_model(dataset), codes, sequences.scaler_stats(rows), path)
+    model, classes, _ = models.load(rows.sparkSession, path)
+    types = classes.where("kind = 'pitch_type'").select(F.col("code").alias("predicted"), F.col("value").alias("pitch_type"))
+    return models.predictions(model, dataset).join(F.broadcast(types), "predicted", "left")  # a row per class
+
+
+FIT_WINDOWS = 50_000  # windows, from the first on, that the recurrent network's last layer is fit on
 
 
 def network(w: World, codes: DataFrame) -> dict:
-    return scoring.random_weights(len(C.FEATURES), 32, codes.where("kind = 'pitch_type'").count())
+    """A recurrent network with a fitted last layer, saved as .npz and loaded again."""
+    dataset = sequences.sequence_dataset(clean.training_rows(w["pitches"])).where(F.col("idx") < FIT_WINDOWS)
+    path = f"{shared_folder(codes.sparkSession, 'network')}/weights.npz"
+    scoring.save_weights(scoring.train_readout(dataset, codes.where("kind = 'pitch_type'").count()), path)
+    return scoring.load_weights(path)
 
 
 @query("lstm_score")
 def lstm_score(w: World) -> DataFrame:
+    w = w | {"pitches": materialise(w["pitches"], "pitches")}
     codes = materialise(coded_rows(w)[1], "codes")
     windows = sequences.sequence_dataset(clean.training_rows(w["pitches"]), limit=None)  # the cap is the training set's
     return scoring.lstm_score(windows, network(w, codes), "idx", "label")
@@ -500,9 +559,11 @@ def lstm_score(w: World) -> DataFrame:
 
 @query("predict_context")
 def predict_context(w: World) -> DataFrame:
+    w = w | {"pitches": materialise(w["pitches"], "pitches"), "contexts": materialise(w["contexts"], "contexts")}
     rows, codes = coded_rows(w)
-    codes, stats, types = materialise(codes, "codes"), materialise(sequences.scaler_stats(rows), "stats"), materialise(arsenal.arsenal(clean_rows(w)).select("pitcher", "pitch_type"), "types")
-    return scoring.predict_contexts(materialise(w["contexts"], "contexts"), network(w, codes), codes, stats, types)
+    codes, stats = materialise(codes, "codes"), materialise(sequences.scaler_stats(rows), "stats")
+    types = materialise(arsenal.arsenal(clean_rows(w)).select("pitcher", "pitch_type"), "types")
+    return scoring.predict_contexts(w["contexts"], network(w, codes), codes, stats, types)
 
 
 @query("rule_based_predictions", "SELECT pitcher, batter_stand, balls, strikes, r.* FROM contexts, (VALUES (1, 'FF', 50e0), (2, 'SL', 30e0)) AS r(rank, pitch_type, percent)", "contexts")

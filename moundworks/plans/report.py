@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moundworks.functions.constants import CLEAN_COLUMNS
 from moundworks.operators import arsenal, charts, clean, lookup
+from moundworks.sources.shared import materialise
+
+#: What a report needs of a pitch.
+COLUMNS = ("game_pk", "at_bat_number", "pitch_number", "pitch_type", *CLEAN_COLUMNS, "release_pos_x", "release_pos_z", "release_extension", "events", "description")
+#: The JSON of a report.
+SCHEMA = "name string, id long, period struct<start:date,end:date>, arsenal map<string,struct<stats:struct<count:long,percentage:double,{}>>>, locations array<struct<pitch_type:string,plate_x:double,plate_z:double,pfx_x:double,pfx_z:double,release_speed:double>>".format(",".join(f"{c}:double" for c in arsenal.MEASURES))
 
 
 def resolve(requests: DataFrame, players: DataFrame, as_of: str) -> DataFrame:
@@ -14,19 +21,35 @@ def resolve(requests: DataFrame, players: DataFrame, as_of: str) -> DataFrame:
     return clean.date_window(requests, as_of).select("request_id", "start_date", "end_date").join(who, "request_id")
 
 
+def rows_of(pitches: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Pitches of each distinct window, with the flag clean; written once, as several parts of a report read them."""
+    rows = lookup.pitches_in_windows(pitches.select("pitcher", "game_date", *(c for c in ("game_year",) if c in pitches.columns), *COLUMNS), lookup.windows(resolved))
+    return materialise(rows.select("window", clean.is_valid().alias("clean"), *COLUMNS), "windows")
+
+
 def report(pitches: DataFrame, requests: DataFrame, players: DataFrame, as_of: str) -> DataFrame:
-    """request_id, status and, on success, the pitcher with arsenal and sampled locations as JSON text."""
-    resolved = resolve(requests, players, as_of)
-    rows = lookup.pitches_for_requests(pitches, resolved)
-    good = clean.valid_pitches(rows)
-    status = lookup.request_status(requests, resolved, rows, good)
+    """request_id, status and, on success, the pitcher with arsenal and sampled locations as JSON text.
+
+    The fact table is joined with the distinct windows once; what follows is computed per window and goes to its requests.
+    """
+    resolved = materialise(resolve(requests, players, as_of), "resolved")
+    rows = rows_of(pitches, resolved)
+    status = lookup.request_status(requests, resolved, lookup.window_counts(rows))
+    good = rows.where("clean")
     stats = [c for c in arsenal.MEASURES]
-    table = arsenal.arsenal(good, "request_id")
-    entry = F.struct("pitch_type", F.struct("count", "percentage", *stats).alias("stats"))
-    by_type = table.groupBy("request_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("arsenal"))  # twelve types at most
-    sample = clean.locations(charts.location_sample(good, "request_id"))
+    entry = F.struct("pitch_type", F.struct(F.struct("count", "percentage", *stats).alias("stats")).alias("entry"))
+    by_type = arsenal.arsenal(good, "window").groupBy("window").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("arsenal"))  # twelve types at most
     spots = F.struct("pitch_type", "plate_x", "plate_z", "pfx_x", "pfx_z", "release_speed")
-    located = sample.groupBy("request_id").agg(F.array_sort(F.collect_list(spots)).alias("locations"))  # a thousand at most
-    whole = status.join(resolved, "request_id", "left").join(by_type, "request_id", "left").join(located, "request_id", "left")
+    located = clean.locations(charts.location_sample(good, "window")).groupBy("window").agg(F.array_sort(F.collect_list(spots)).alias("locations"))  # a thousand at most
+    asked = resolved.withColumn("window", lookup.window_key()).join(by_type, "window", "left").join(located, "window", "left")
+    whole = status.join(asked, "request_id", "left")
     pitcher = F.struct(F.col("name"), F.col("key_mlbam").alias("id"), F.struct(F.col("start_date").alias("start"), F.col("end_date").alias("end")).alias("period"), "arsenal", "locations")
     return whole.select("request_id", "status", F.when(F.col("status") == lookup.SUCCESS, F.to_json(pitcher)).alias("pitcher"))
+
+
+def flattened(reports: DataFrame) -> DataFrame:
+    """A row per request and pitch type (one row without a type where there is no arsenal), read back from the JSON."""
+    rows = reports.select("request_id", "status", F.from_json("pitcher", SCHEMA).alias("p"))
+    spots = F.size("p.locations")
+    rows = rows.select("request_id", "status", "p.name", "p.id", F.col("p.period.start").cast("string").alias("start_date"), F.col("p.period.end").cast("string").alias("end_date"), F.when(spots >= 0, spots).cast("long").alias("n_locations"), F.explode_outer("p.arsenal").alias("pitch_type", "entry"))
+    return rows.select(*rows.columns[:-1], *[F.col(f"entry.stats.{c}").alias(c) for c in ("count", "percentage", *arsenal.MEASURES)])

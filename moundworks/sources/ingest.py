@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 from collections import defaultdict
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+HEADERS = 200
 LONG, DOUBLE, STRING, INT = T.LongType(), T.DoubleType(), T.StringType(), T.IntegerType()
 SCHEMA = T.StructType(
     [T.StructField(c, LONG) for c in ("game_pk", "at_bat_number", "pitch_number")]
@@ -52,25 +56,34 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 def read_csvs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """CSV files with headers that differ by file, united by name.
 
-    A directory of CSVs is read by position, so files are grouped by their header line and each group is read
-    as strings once; there is no inference pass over the data.
+    A directory of CSVs is read by position, so files (or folders of files with one header) are grouped by their
+    header line and each group is read as strings once; there is no inference pass over the data.
     """
     if not paths:
         raise FileNotFoundError("no CSV files to read")
     groups = defaultdict(list)
-    for path in paths:
-        head = spark.read.text(path).limit(1).collect()  # the header line of one file
-        if head:
-            groups[head[0][0]].append(path)
+    for path, header in headers(spark, paths).items():
+        groups[header].append(path)
     if not groups:
         raise ValueError("the CSV files are empty")
     frames = []
     for header, files in groups.items():
-        schema = T.StructType([T.StructField(c.strip().strip('"'), STRING) for c in header.split(",")])
+        schema = T.StructType([T.StructField(c, STRING) for c in header])
         frames.append(spark.read.csv(files, header=True, schema=schema, enforceSchema=True))
     return typed(union_by_name(frames))
 
 
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ...]]:
+    """The column names in each file's first line; empty files are left out.  One job for some hundred files."""
+    found = {}
+    for start in range(0, len(paths), HEADERS):
+        some = paths[start : start + HEADERS]
+        first = [spark.read.text(p).where("_metadata.file_block_start = 0").limit(1).select(F.lit(k).alias("k"), "value") for k, p in enumerate(some)]
+        for r in reduce(DataFrame.union, first).collect():  # a line per file
+            found[some[r["k"]]] = tuple(c.strip() for c in next(csv.reader([r["value"].lstrip("\ufeff")])))
+    return found
+
+
 def write_table(pitches: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per year; within it rows are clustered by pitcher and date, so row groups prune lookups."""
     rows = pitches if "game_year" in pitches.columns else pitches.withColumn("game_year", F.year("game_date"))
@@ -78,21 +91,29 @@ def write_table(pitches: DataFrame, path: str, mode: str = "overwrite") -> None:
     salted.sortWithinPartitions("game_year", "pitcher", "game_date").write.mode(mode).partitionBy("game_year").parquet(path)
 
 
+def landed_years(spark: SparkSession, path: str) -> set[int]:
+    """The years in the table; none if there is no table yet.  A table that cannot be read is an error, as its years would
+    land twice."""
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return set()
+    return {r[0] for r in table.select("game_year").distinct().collect()}  # a row per year
+
+
 def land_years(spark: SparkSession, files: dict[int, list[str]], path: str) -> DataFrame:
-    """Append the years that have not landed; a failing year is reported and does not stop the rest.
+    """Append the years that have not landed; a year whose files fail is reported and does not stop the rest.
 
     Returns game_year, status ('landed', 'skipped', 'empty' or the error).
     """
-    rows = []
+    rows, done = [], landed_years(spark, path)
     for year, paths in sorted(files.items()):
+        if year in done:
+            rows.append((year, "skipped"))
+            continue
         try:
-            try:
-                done = {r[0] for r in spark.read.parquet(path).select("game_year").distinct().collect()}  # a row per year
-            except Exception:  # nothing has landed yet
-                done = set()
-            if year in done:
-                rows.append((year, "skipped"))
-                continue
             new = season_window(read_csvs(spark, paths)).where(F.col("game_year") == year)
             if new.isEmpty():
                 rows.append((year, "empty"))

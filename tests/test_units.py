@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from moundworks.functions import constants as C
-from moundworks.operators import arsenal, charts, clean, kinematics, lookup, models, scoring, sequences
+from moundworks.operators import arsenal, charts, clean, kinematics, lookup, models, outcomes, scoring, sequences
 from moundworks.plans import report
 from moundworks.sources import fixtures, ingest
 from moundworks.streaming.landing import land_stream
@@ -111,9 +111,13 @@ def test_blocks_equal_one_window(spark, block):
 
 
 def test_no_single_partition_window_over_pitches(spark):
-    plan = sequences.pitch_order(fixtures.world(spark, DATA)["pitches"])._jdf.queryExecution().optimizedPlan().toString()
-    lone = [x for x in plan.splitlines() if "Window" in x and "windowspecdefinition(game_pk" in x and "row_number" in x]
-    assert all("at_bat_number" in x for x in lone)  # numbered within a game only
+    rows = spark.createDataFrame([(1, 1, 1)], "game_pk long, at_bat_number long, pitch_number long")
+    plan = sequences.pitch_order(rows)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x.strip() for x in plan.splitlines() if x.strip().lstrip(":+- ").startswith("Window ")]
+    numbered, summed = [x for x in windows if "row_number" in x], [x for x in windows if "sum(" in x]
+    assert len(numbered) == len(summed) == 1 and "windowspecdefinition(game_pk" in numbered[0]  # pitches within a game, offsets over games
+    below = plan[plan.index(summed[0]) :].splitlines()[1:4]
+    assert any("Aggregate" in x for x in below)
 
 
 def test_sample_is_bounded_and_a_subset(spark):
@@ -185,6 +189,75 @@ def test_report(spark):
     assert {r["status"]: r["count"] for r in rows} == {lookup.SUCCESS: 27, lookup.TOO_FEW: 19, lookup.NO_DATA: 79, lookup.NOT_FOUND: 25}
 
 
+def test_requests_alike_share_a_window(spark, tmp_path):
+    w = fixtures.world(spark, DATA)
+    resolved = report.resolve(w["matchup_requests"], w["players"], fixtures.AS_OF).where("start_date > '2000-01-01'")
+    again = resolved.unionByName(resolved.withColumn("request_id", F.col("request_id") + 1000))
+    ingest.write_table(w["pitches"], str(tmp_path / "table"))
+    for pitches in (w["pitches"], spark.read.parquet(str(tmp_path / "table"))):
+        rows = lookup.pitches_for_requests(pitches, again).groupBy("request_id").count()
+        counts = {r[0]: r[1] for r in rows.collect()}
+        assert counts and all(counts[k] == counts[k + 1000] for k in counts if k < 1000)
+    assert lookup.windows(again).count() == lookup.windows(resolved).count()
+
+
+def test_saved_models_score_alike(spark, tmp_path):
+    rows = clean.training_rows(fixtures.world(spark, DATA)["pitches"]).cache()
+    dataset = sequences.sequence_dataset(rows).cache()
+    model = models.train_sequence_model(dataset, hidden=8, iterations=5)
+    codes = sequences.label_codes(rows)
+    models.save(model, codes, sequences.scaler_stats(sequences.encoded(rows, codes)), f"file://{tmp_path}/m")
+    loaded, classes, _ = models.load(spark, f"file://{tmp_path}/m")
+    assert sorted(models.predictions(model, dataset).collect()) == sorted(models.predictions(loaded, dataset).collect())
+    n = classes.where("kind = 'pitch_type'").count()
+    weights = scoring.train_readout(dataset, n, hidden=8, iterations=5)
+    scoring.save_weights(weights, f"file://{tmp_path}/w/weights.npz")
+    again = scoring.load_weights(f"file://{tmp_path}/w/weights.npz")
+    assert set(again) == set(weights) and all((again[k] == weights[k]).all() for k in weights)
+    scored = scoring.lstm_score(dataset, again, "idx", "label").collect()
+    assert len(scored) == dataset.na.drop(subset=scoring.INPUTS).count() and all(len(r["probabilities"]) == n for r in scored[:20])
+
+
+def test_models_learn_what_is_there_to_learn(spark):
+    """The next code follows from the speed of the pitch before it; both networks find that on windows held out."""
+    x = np.random.default_rng(4).normal(size=(3000, len(scoring.INPUTS)))
+    label = (x[:, scoring.INPUTS.index("release_speed_5")] > 0).astype(int) + (x[:, scoring.INPUTS.index("plate_x_5")] > 1)
+    rows = spark.createDataFrame([(k, int(y), *map(float, v)) for k, (y, v) in enumerate(zip(label, x, strict=True))], ["idx", "label", *scoring.INPUTS])
+    learned, judged = models.held_out(rows)
+    losses = models.log_losses(models.train_sequence_model(learned, hidden=8, iterations=60), learned, judged).first()
+    assert losses["held_out_loss"] < 0.6 * losses["prior_loss"]
+    scored = scoring.lstm_score(judged, scoring.train_readout(learned, 4, hidden=32), "idx", "label").collect()
+    fitted = -sum(math.log(r["probabilities"][r["label"]]) for r in scored) / len(scored)
+    assert fitted < 0.8 * losses["prior_loss"] and all(r["probabilities"][3] < 1e-6 for r in scored)
+
+
+def test_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'\xef\xbb\xbfgame_pk,"odd, name",pitcher\n1,x,5\n')
+    (tmp_path / "b.csv").write_text("")
+    found = ingest.headers(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert found == {str(tmp_path / "a.csv"): ("game_pk", "odd, name", "pitcher")}
+    assert ingest.read_csvs(spark, [str(tmp_path / "a.csv")]).select("game_pk", "pitcher", "odd, name").collect() == [(1, 5, "x")]
+
+
+def test_a_table_that_cannot_be_read_stops_the_landing(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("game_pk,at_bat_number,pitch_number,game_date,pitcher\n1,1,1,2021-04-01,5\n")
+    (tmp_path / "table").mkdir()
+    (tmp_path / "table" / "part-0.parquet").write_text("not a table")
+    with pytest.raises(Exception, match="parquet|CANNOT_READ"):
+        ingest.land_years(spark, {2021: [str(tmp_path / "a.csv")]}, str(tmp_path / "table"))
+
+
+def test_rates_by_hand(spark):
+    rows = spark.createDataFrame(
+        [(1, "FF", "L", d, e, s, v, 90.0) for d, e, s, v in [("swinging_strike", None, 0, None), ("foul", None, 1, None), ("foul_tip", None, 2, None), ("swinging_strike_blocked", "strikeout", 2, None), ("hit_into_play", "single", 2, 95.0), ("hit_into_play", "field_out", 0, 94.9), ("hit_into_play", "field_out", 0, None), ("ball", "strikeout", 1, None), ("called_strike", "strikeout_double_play", 2, None)]],
+        "pitcher long, pitch_type string, stand string, description string, events string, strikes int, launch_speed double, release_speed double",
+    )
+    r = outcomes.outcome_stats(rows).first()
+    assert (r["sample_size"], r["avg_speed"], r["whiff_rate"], r["put_away_rate"], r["hard_hit_rate"]) == (9, 90.0, 28.6, 50.0, 50.0)  # 2 of 7, 2 of 4, 1 of 2
+    flags = outcomes.outcome_flags(outcomes.outcome_stats(rows)).first()
+    assert (flags["high_whiff"], flags["high_put_away"]) == (False, True)
+
+
 def test_context_model(spark):
     rows = fixtures.world(spark, DATA)["pitches"].where("pitch_type IS NOT NULL").select("pitch_type", *models.CONTEXT)
     model = models.train_context_model(rows, trees=2)
