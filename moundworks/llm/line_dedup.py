@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from moundworks.llm.common import materialise, mix, shared_dir, slices, source_table, texts
+from moundworks.llm.common import discard, materialise, mix, shared_dir, slices, source_table, texts
 from moundworks.llm.repeated import by_shard
 from moundworks.llm.store import Store, put
 
@@ -157,15 +157,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.drop(*ADDED)
     seen = line_hashes(docs, min_chars).groupBy("place", "mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    folder = shared_dir(spark, "line-hash")
-    repeated = materialise(seen.where("first < last").select("place", "mark", "first", "n"), "lines", folder)
+    folder, work = shared_dir(spark, "line-hash"), shared_dir(spark, "line-keys")
+    repeated = materialise(seen.where("first < last").select("place", "mark", "first", "n"), "lines", work)
     n_shards = repeated.count() // SHARD_KEYS + 1
-    build_shards(repeated, f"{folder}/shards", n_shards)
+    build_shards(repeated, folder, n_shards)
+    discard(spark, work)
     names = docs.columns
     i_id, i_text = names.index("doc_id"), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = Shards(f"{folder}/shards", n_shards)
+        shards = Shards(folder, n_shards)
         for whole in batches:
             for batch in slices(whole, i_text):
                 ids = batch.column(i_id).to_pylist()

@@ -43,7 +43,7 @@ from moundworks.llm.repeated import by_shard, runs
 from moundworks.llm.store import Store, every_shard, put
 from moundworks.llm.words import hashed_words
 
-FLUSH_TOKENS, FLUSH_WORDS = 3_000_000, 1_000_000
+FLUSH_TOKENS, FLUSH_WORDS = 2_000_000, 700_000
 SHARD_KEYS = 3_000_000
 SHARD_TOKENS = 20_000_000  # of words, each with its own row
 PARTS = 64  # of a shard: six bits of a key choose one, 32 more are kept
@@ -421,7 +421,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(model)
         for whole in batches:
-            for batch in slices(whole, 2, 6 << 20):
+            for batch in slices(whole, 2, 4 << 20):
                 s, size = stream(texts(batch.column(2)))
                 p, c = look.probabilities(s)
                 doc = np.repeat(np.arange(len(size)), size)

@@ -408,11 +408,11 @@ def near_pairs(a: dict[str, np.ndarray], b: dict[str, np.ndarray], store: Store)
     return np.minimum(first, second), np.maximum(first, second)
 
 
-def contracted(joined: DataFrame, links: DataFrame) -> DataFrame:
+def contracted(joined: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     """node, root after some more links between the components of ``joined``."""
     root = lambda s: joined.select(F.col("node").alias(s), F.col("root").alias(f"r{s}"))
     between = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    merged = materialise(components(between), "merged")
+    merged = materialise(components(between, folder), "merged", folder)
     new = merged.withColumnRenamed("node", "old").withColumnRenamed("root", "new")
     moved = joined.join(new, joined["root"] == new["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
     return moved.unionByName(merged.join(joined.select("node"), "node", "left_anti"))  # classes that were alone before
@@ -430,9 +430,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     groups = block_groups(kept, folder)
     free_shuffles(spark)
     first = materialise(verify(star_pairs(groups), kept, folder), "links", folder)
-    joined = materialise(components(first), "joined")
+    joined = materialise(components(first, folder), "joined", folder)
     second = materialise(cross_links(groups, joined, folder), "links", folder)
-    roots = joined if second.isEmpty() else materialise(contracted(joined, second), "roots")
+    roots = materialise(joined if second.isEmpty() else contracted(joined, second, folder), "roots")
     discard(spark, folder)
     free_shuffles(spark)
     return placed_rows(rows.select("doc_id", "n", "node"), roots)

@@ -178,8 +178,11 @@ class Met:
         return np.where(second[head] == second, np.minimum(least, doc_id[head]), least) < doc_id
 
 
-def hot_anchors(docs: DataFrame, folder: str, n_shards: int) -> np.ndarray:
-    """Hashes, sorted, of anchors that would send HOT contexts or more; any choice of anchors gives the same result."""
+def hot_anchors(docs: DataFrame, folder: str, n_shards: int) -> int:
+    """Write the hashes of anchors that would send HOT contexts or more; any choice of anchors gives the same result.
+
+    Returns the number of shards that they are in, 0 if there are none.
+    """
     n_tasks = docs.rdd.getNumPartitions()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,22 +199,27 @@ def hot_anchors(docs: DataFrame, folder: str, n_shards: int) -> np.ndarray:
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(run, "anchor long, digest long")
     sent = F.least(F.col("count") * SAMPLED, F.lit(n_tasks).cast("long"))  # a task settles what it has met
     sums = sample.groupBy("anchor", "digest").count().groupBy("anchor").agg(F.sum(sent).alias("sent"))
-    return np.sort(np.array([r[0] for r in sums.where(F.col("sent") >= HOT).select("anchor").collect()], np.int64).view(np.uint64))
+    n_hot = shards_for((docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) / HOT if HOT else 0)
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed((np.repeat(batch.column(0).to_numpy().view(np.uint64), 2) for batch in batches), n_hot)
+
+    found = merge(sums.where(F.col("sent") >= HOT).select("anchor").mapInArrow(twice, SCHEMA), f"{folder}/hot", n_hot)
+    return n_hot if found else 0
 
 
 CONTEXTS = "bucket int, context binary, before int, doc_id long, tag int, start int, size int"
 
 
-def contexts(docs: DataFrame, folder: str, n_shards: int, n_buckets: int, hot: np.ndarray) -> DataFrame:
+def contexts(docs: DataFrame, folder: str, n_shards: int, n_buckets: int, n_hot: int) -> DataFrame:
     """Contexts of CONTEXTS to be sorted, and (without context) ranges already known to go.
 
     tag: the text's; start: where the context begins in the document; size: bytes of a range without context.
-    A string of a hot anchor is a context of its own that begins with its anchor.
+    A string of a hot anchor is a context of its own that begins with its anchor; n_hot is what ``hot_anchors`` returned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, met, met_strings, hot = Repeated(folder, n_shards), Met(KNOWN), Met(KNOWN_STRINGS), shared.value
+        known, met, met_strings, hot = Repeated(folder, n_shards), Met(KNOWN), Met(KNOWN_STRINGS), Repeated(f"{folder}/hot", n_hot)
         for whole in batches:
             for batch in slices(whole, 1, SLICE):
                 rows = zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)
@@ -224,7 +232,7 @@ def contexts(docs: DataFrame, folder: str, n_shards: int, n_buckets: int, hot: n
                     tags[r] = text_tag(rows[r])
                 one, two = part.digests(first, last + WIDTH, anchor - first)
                 gone = met.before(one, two, ids[part.row[first]])
-                split = ~gone & np.isin(gram, hot)
+                split = ~gone & hot.contains(gram) if n_hot else np.zeros(len(gram), bool)
                 count = (last - first + 1)[split]
                 string = np.repeat(first[split] - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 at, three, four = string, *part.digests(string, string + WIDTH, 0 * string)

@@ -88,24 +88,26 @@ def grow(leaves: DataFrame) -> DataFrame:
 
 
 def tree(rows: DataFrame) -> DataFrame:
-    """host, shape, template, purity, from rows with host, shape and label (1 block, 0 allow, null)."""
+    """host, shape, template, purity and pooled (the path's template over all hosts), from rows with host, shape and label (1
+    block, 0 allow, null)."""
     leaves = rows.groupBy("host", "shape").agg(F.count("*").alias("pages"), F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
     leaves = materialise(leaves, "leaves")
     sums = [F.sum(c).alias(c) for c in ("pages", "n", "bad")]
     whole = leaves.agg(F.coalesce((F.sum("bad") + 1) / (F.sum("n") + 2.0), F.lit(0.5)).alias("prior"))  # one row
     pooled = grow(leaves.groupBy(F.lit("").alias("host"), "shape").agg(*sums).crossJoin(F.broadcast(whole)))
-    return grow(leaves.join(pooled.select("shape", F.col("purity").alias("prior")), "shape"))
+    own = grow(leaves.join(pooled.select("shape", F.col("purity").alias("prior")), "shape"))
+    return own.join(pooled.select("shape", F.col("template").alias("pooled")), "shape")
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, labels: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, template, purity; labels (page_id, label) add to what rules decide."""
+    """page_id, host, path, rule, verdict, template, pooled, purity; labels (page_id, label) add to what rules decide."""
     rows = parsed(pages, rules).withColumn("label", F.when(F.col("decided") == "block", 1).when(F.col("decided") == "allow", 0))
     if labels is not None:
         given = labels.groupBy("page_id").agg(F.max("label").alias("_given"))
         rows = rows.join(given, "page_id", "left").withColumn("label", F.coalesce("label", "_given")).drop("_given")
     found = rows.join(tree(rows), ["host", "shape"])
     verdict = F.coalesce("decided", F.when(F.col("purity") >= PURITY, F.lit("block")).otherwise(F.lit("allow")))
-    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "pooled", "purity")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +165,6 @@ WITH split AS (
 ), {_grow_sql("pool", "every")}, own AS (
   SELECT l.*, p.purity AS prior FROM leaves l JOIN pool{SQL_LEVELS} p USING (shape)
 ), {_grow_sql("tree", "own")}
-SELECT page_id, r.host, path, rule, coalesce(decided, CASE WHEN purity >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, floor(purity * 1e6 + 0.5) / 1e6 AS purity
-FROM rows r JOIN tree{SQL_LEVELS} t ON r.host = t.host AND r.shape = t.shape
+SELECT page_id, r.host, path, rule, coalesce(decided, CASE WHEN t.purity >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, t.template, p.template AS pooled, floor(t.purity * 1e6 + 0.5) / 1e6 AS purity
+FROM rows r JOIN tree{SQL_LEVELS} t ON r.host = t.host AND r.shape = t.shape JOIN pool{SQL_LEVELS} p ON r.shape = p.shape
 """
