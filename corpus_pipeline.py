@@ -1,7 +1,11 @@
 """A training-data pipeline: quality rules, line dedup, near duplicates, decontamination, mixing.
 
 Every stage but the last takes and returns the columns of ``documents``; between stages the rows are written
-to the shared folder as Parquet and read again, so a lost executor repeats tasks of one stage only.
+to the shared folder as Parquet and read again, so a lost executor repeats tasks of one stage only.  A stage's rows are
+deleted once the next stage's are written.
+
+Defined cases, for every stage: an empty table gives no rows; repeated rows are judged one by one where nothing else is
+said; texts of any length are taken whole; documents may have more columns, whatever their names, and keep them.
 """
 
 from __future__ import annotations
@@ -10,32 +14,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundworks.llm import decontamination, line_dedup, mixing, near_dup, quality_rules
-from moundworks.llm.common import materialise, source_table
+from moundworks.llm.common import discard, materialise, shared_dir, source_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the web policy keeps."""
+    """Documents that the web policy keeps; null, empty and blank texts have too few words and go."""
     return quality_rules.ledger(docs).where(quality_rules.passes("web", 2)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document holds; n_chars follows the text."""
+    """Documents without lines that an earlier document holds; n_chars follows the text.
+
+    A null text stays null; rows without an id lose nothing; a text may end up empty.
+    """
     kept = line_dedup.dedup_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one with the smallest id.
+
+    Texts without words are like nothing; rows that repeat id and text become one; rows without an id stay only where no
+    document like them has one.
+    """
     return near_dup.keep_one(docs).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage to speak of."""
+    """Documents that hold no benchmark passage to speak of; texts without words hold none."""
     return decontamination.drop_contaminated(docs, source_table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order: a row per copy that the mix takes."""
+    """The training order: a row per copy that the mix takes; texts without words are never taken, null sources come last."""
     return mixing.mix(docs)
 
 
@@ -44,9 +55,13 @@ STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_dupli
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over documents."""
-    docs = source_table(spark, sf_dir, "documents")
+    docs, before = source_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        folder = shared_dir(spark, f"pipeline-{name}")
+        docs = materialise(stage(spark, docs, sf_dir), name, folder)
+        if before:
+            discard(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
