@@ -80,8 +80,8 @@ def windows(rows: DataFrame, columns: tuple[str, ...], label: str, size: int = S
     return made.where((F.col("_block") == own) & F.col("_first").isNotNull()).drop("_block", "_first")
 
 
-def sequence_dataset(rows: DataFrame, limit: int | None = TRAINING_LIMIT, boundary: str = "global", block: int = BLOCK) -> DataFrame:
-    """Scaled, encoded windows of training rows: encoders fit on all rows, windows on the first ``limit``."""
-    coded = encoded(rows, label_codes(rows))
-    ready = pitch_order(scaled(coded, scaler_stats(coded)))
+def sequence_dataset(rows: DataFrame, limit: int | None = TRAINING_LIMIT, boundary: str = "global", block: int = BLOCK, codes: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """Scaled, encoded windows of training rows: encoders (if none are given) fit on all rows, windows on the first ``limit``."""
+    coded = encoded(rows, label_codes(rows) if codes is None else codes)
+    ready = pitch_order(scaled(coded, scaler_stats(coded) if stats is None else stats))
     return windows(ready, FEATURES, "label", limit=limit, boundary=boundary, block=block)

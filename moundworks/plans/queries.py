@@ -503,9 +503,17 @@ def sequence_dataset(w: World) -> DataFrame:
     return sequences.sequence_dataset(clean.training_rows(w["pitches"])).select("idx", "label", *[F.expr(rounded(c, 6)).alias(c) for c in _SIX])
 
 
-def training_windows(w: World, limit: int | None = C.TRAINING_LIMIT) -> DataFrame:
-    """The training data, derived once and written."""
-    return materialise(sequences.sequence_dataset(materialise(clean.training_rows(w["pitches"]), "training"), limit=limit), "dataset")
+def fitted(w: World) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training rows, label codes and scaler statistics, each derived once and written."""
+    rows = materialise(clean.training_rows(w["pitches"]), "training")
+    codes = materialise(sequences.label_codes(rows), "codes")
+    return rows, codes, materialise(sequences.scaler_stats(sequences.encoded(rows, codes)), "stats")
+
+
+def training_windows(w: World) -> DataFrame:
+    """The training data."""
+    rows, codes, stats = fitted(w)
+    return materialise(sequences.sequence_dataset(rows, codes=codes, stats=stats), "dataset")
 
 
 @query("train_sequence_model")
@@ -530,20 +538,20 @@ def train_context_model(w: World) -> DataFrame:
 @query("save_model")
 def save_model(w: World) -> DataFrame:
     """Predictions of a model that was trained, saved with its encoders and loaded again."""
-    rows, codes = coded_rows(w)
-    dataset, path = training_windows(w), shared_folder(rows.sparkSession, "model")
-    models.save(models.train_sequence_model(dataset), codes, sequences.scaler_stats(rows), path)
+    rows, codes, stats = fitted(w)
+    dataset, path = materialise(sequences.sequence_dataset(rows, codes=codes, stats=stats), "dataset"), shared_folder(rows.sparkSession, "model")
+    models.save(models.train_sequence_model(dataset), codes, stats, path)
     model, classes, _ = models.load(rows.sparkSession, path)
     types = classes.where("kind = 'pitch_type'").select(F.col("code").alias("predicted"), F.col("value").alias("pitch_type"))
     return models.predictions(model, dataset).join(F.broadcast(types), "predicted", "left")  # a row per class
 
 
-FIT_WINDOWS = 50_000  # windows, from the first on, that the recurrent network's last layer is fit on
+FIT_WINDOWS = 50_000  # rows, from the first on, whose windows the recurrent network's last layer is fit on
 
 
-def network(w: World, codes: DataFrame) -> dict:
+def network(rows: DataFrame, codes: DataFrame, stats: DataFrame) -> dict:
     """A recurrent network with a fitted last layer, saved as .npz and loaded again."""
-    dataset = sequences.sequence_dataset(clean.training_rows(w["pitches"])).where(F.col("idx") < FIT_WINDOWS)
+    dataset = sequences.sequence_dataset(rows, limit=FIT_WINDOWS, codes=codes, stats=stats)
     path = f"{shared_folder(codes.sparkSession, 'network')}/weights.npz"
     scoring.save_weights(scoring.train_readout(dataset, codes.where("kind = 'pitch_type'").count()), path)
     return scoring.load_weights(path)
@@ -551,19 +559,16 @@ def network(w: World, codes: DataFrame) -> dict:
 
 @query("lstm_score")
 def lstm_score(w: World) -> DataFrame:
-    w = w | {"pitches": materialise(w["pitches"], "pitches")}
-    codes = materialise(coded_rows(w)[1], "codes")
-    windows = sequences.sequence_dataset(clean.training_rows(w["pitches"]), limit=None)  # the cap is the training set's
-    return scoring.lstm_score(windows, network(w, codes), "idx", "label")
+    rows, codes, stats = fitted(w)
+    windows = sequences.sequence_dataset(rows, limit=None, codes=codes, stats=stats)  # the cap is the training set's
+    return scoring.lstm_score(windows, network(rows, codes, stats), "idx", "label")
 
 
 @query("predict_context")
 def predict_context(w: World) -> DataFrame:
-    w = w | {"pitches": materialise(w["pitches"], "pitches"), "contexts": materialise(w["contexts"], "contexts")}
-    rows, codes = coded_rows(w)
-    codes, stats = materialise(codes, "codes"), materialise(sequences.scaler_stats(rows), "stats")
+    rows, codes, stats = fitted(w)
     types = materialise(arsenal.arsenal(clean_rows(w)).select("pitcher", "pitch_type"), "types")
-    return scoring.predict_contexts(w["contexts"], network(w, codes), codes, stats, types)
+    return scoring.predict_contexts(materialise(w["contexts"], "contexts"), network(rows, codes, stats), codes, stats, types)
 
 
 @query("rule_based_predictions", "SELECT pitcher, batter_stand, balls, strikes, r.* FROM contexts, (VALUES (1, 'FF', 50e0), (2, 'SL', 30e0)) AS r(rank, pitch_type, percent)", "contexts")
