@@ -41,9 +41,9 @@ from moundworks.llm.store import Store, put
 WIDTH = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # every difference modulo 31 is one of two members
 GRAM = WIDTH - PERIOD + 1
-SLICE = 1 << 20
+SLICE = 1 << 19
 BUCKET_CHARS = 1_500_000
-KNOWN = 1 << 20
+KNOWN = 1 << 19
 KNOWN_STRINGS = 1 << 18
 HOT, SAMPLED = 8_000, 16  # contexts of an anchor that is split by string, estimated from one of so many documents
 PLACE = np.uint64((1 << 31) - 1)
@@ -51,7 +51,7 @@ _SAMPLED = np.isin(np.arange(PERIOD), COVER)
 _BASES = mix(np.array([3, 5], np.uint64)) | np.uint64(1)
 _BACK = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
 _VALUES = [mix(np.arange(256, dtype=np.uint64) + np.uint64(k)) for k in (1000, 2000)]
-ROWS = 40_000
+ROWS = 20_000
 
 
 _KEPT_POWERS: dict[int, np.ndarray] = {}
