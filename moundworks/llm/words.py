@@ -15,7 +15,12 @@ _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def hashed_words(rows: list[bytes | None], table: bytes = SPACED) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of some texts, text after text, and the number of words of each text.
+    """Hashes of all words of some texts, text after text, and the number of words of each text."""
+    return located_words(rows, table)[:2]
+
+
+def located_words(rows: list[bytes | None], table: bytes = SPACED) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """The same, and the translated bytes with each word's start in them and its size.
 
     A word's bytes are taken eight at a time; equal words have equal hashes whatever stands around them.
     """
@@ -40,4 +45,4 @@ def hashed_words(rows: list[bytes | None], table: bytes = SPACED) -> tuple[np.nd
         more = more[size[more] > k]
     for w in more.tolist():
         out[w] = xxhash.xxh3_64_intdigest(text[starts[w] : starts[w] + size[w]])
-    return out, count
+    return out, count, text, starts, size
