@@ -4,13 +4,14 @@ Most of a corpus' white-space chunks occur again and again, so texts are not tok
 
 1. Documents are cut into slices of some megabytes.  A slice keeps, per document, the numbers and counts of its chunks, and
    the list of its distinct chunks (A-Z lower-cased): a sparse matrix and its dictionary.
-2. The slices' dictionaries are made distinct over the corpus, and each distinct chunk is cut into terms once.
-3. Terms go back to the slices' dictionaries by an equi-join on the chunk, and each slice turns its matrix into documents and
-   occurrences per (lang, source, term); these are summed over slices.  A document lies in one slice, so it counts once.
+2. The dictionaries are dealt by chunk, so that all slices' copies of a chunk meet in one part, and there each distinct chunk
+   is cut into terms once.  The number of parts follows that of the chunks (``PART`` of them a part).
+3. Terms go back to their slice, and each slice turns its matrix into documents and occurrences per (lang, source, term);
+   these are summed over slices.  A document lies in one slice, so it counts once.
 
-What crosses the network is a row per slice and chunk, not per word or document, and no group grows with the corpus: a slice
-is bounded by bytes, a chunk has at most a row per slice (split by adaptive execution), sums are combined before they
-move.  Chunks are matched as strings between slices and by 64-bit hashes within one.
+What crosses the network is a chunk's text per slice that has it, not per word or document, and no group grows with the
+corpus's words: a slice is bounded by bytes, a part by ``PART`` chunks and a row per slice for each of its chunks; sums are
+combined before they move.  Chunks are matched as strings between slices and by 64-bit hashes within one.
 
 Divergences are exact integers.  For two sources of a language the sum over all kept terms is split: only terms that both
 have are met pair by pair, those of one source enter through a histogram of its counts against the other's smallest p,
@@ -35,13 +36,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from moundworks.llm.common import bucket, materialise, slices, source_table, texts
-from moundworks.llm.words import SPACED, located_words
+from moundworks.llm.words import SPACED, located_words, numbered, strings
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS, RANKS, SCALE = 3, 200, 1_000_000_000
 SLICE = 16 << 20
 SALTS = 16
-SLICES = "slice long, langs array<string>, sources array<string>, group_of binary, entries binary, ids binary, counts binary, chunks array<string>"
+SLICES = "slice long, langs array<string>, sources array<string>, group_of binary, entries binary, ids binary, counts binary, n_chunks long, chunks array<string>"
+PART = 1 << 20  # chunks of all slices that one task cuts into terms
+#: A-Z lower-cased, all that is not of a term as a space (for ``bytes.translate``).
+TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def pieces(text: bytes, most: int) -> Iterator[bytes]:
@@ -63,31 +67,30 @@ class Matrix:
     """Chunk counts of the documents of one slice."""
 
     def __init__(self) -> None:
-        self.docs, self.hashes, self.counts = [], [], []
-        self.known, self.words = np.zeros(0, np.uint64), []
+        self.docs, self.hashes, self.counts, self.words, self.marks = [], [], [], [], []
 
     def add(self, first: int, rows: list[bytes]) -> None:
-        """Counts of texts, or pieces of one, numbered from first."""
+        """Counts of texts, or a piece of one, numbered from first."""
         hashes, n, text, starts, size = located_words(rows, SPACED)
-        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys, counts = np.unique(np.repeat(np.arange(len(rows)), n) * max(len(distinct), 1) + inverse, return_counts=True)
-        self.docs.append(keys // max(len(distinct), 1) + first)
-        self.hashes.append(distinct[keys % max(len(distinct), 1)])
+        codes, at = numbered(hashes)
+        keys, counts = np.unique(np.repeat(np.arange(len(rows)), n) * max(len(at), 1) + codes, return_counts=True)
+        self.docs.append(keys // max(len(at), 1) + first)
+        self.hashes.append(hashes[at][keys % max(len(at), 1)])
         self.counts.append(counts)
-        new = np.flatnonzero(~np.isin(distinct, self.known, assume_unique=True))
-        self.known = np.concatenate([self.known, distinct[new]])
-        self.words += [text[a : a + b] for a, b in zip(starts[at[new]].tolist(), size[at[new]].tolist(), strict=True)]
-
-    def arrays(self, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per document its number of entries; per entry its chunk's place in words, and the count."""
-        docs, counts = np.concatenate(self.docs), np.concatenate(self.counts)
-        order = np.argsort(self.known)
-        place = order[np.searchsorted(self.known, np.concatenate(self.hashes), sorter=order)]
+        self.words.append(strings(text, starts[at], size[at]))
+        self.marks.append(hashes[at])
+
+    def arrays(self, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Per document its number of entries; per entry its chunk's place and count; the chunks."""
+        docs, counts, marks = (np.concatenate(x) for x in (self.docs, self.counts, self.marks))
+        n = len(marks)
+        codes, first = numbered(np.concatenate([marks, *self.hashes]))  # every hash stands among the marks
+        place = codes[n:]
         if len(self.docs) > 1:  # a document may have come in pieces
-            keys, inverse = np.unique(docs * max(len(self.words), 1) + place, return_inverse=True)
+            keys, inverse = np.unique(docs * max(n, 1) + place, return_inverse=True)
             counts = np.bincount(inverse, counts, len(keys)).astype(np.int64)
-            docs, place = keys // max(len(self.words), 1), keys % max(len(self.words), 1)
-        return np.bincount(docs, minlength=n_docs), place, counts
+            docs, place = keys // max(n, 1), keys % max(n, 1)
+        return np.bincount(docs, minlength=n_docs), place, counts, pa.concat_arrays(self.words).take(pa.array(first))
 
 
 def factored(docs: DataFrame, size: int = SLICE) -> DataFrame:
@@ -103,14 +106,13 @@ def factored(docs: DataFrame, size: int = SLICE) -> DataFrame:
                 else:
                     for piece in pieces(given[0], size):
                         made.add(0, [piece])
-                entries, ids, counts = made.arrays(len(given))
+                entries, ids, counts, words = made.arrays(len(given))
                 groups: dict[tuple[str, str], int] = {}
                 of = np.array([groups.setdefault(g, len(groups)) for g in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], np.int32)
                 binary = lambda a: pa.array([a.astype(np.int32).tobytes()], pa.binary())
-                words = pa.array(made.words, pa.binary()).cast(pa.string())
                 chunks = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
                 named = [pa.array([[g[k] for g in groups]], pa.list_(pa.string())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *named, *map(binary, (of, entries, ids, counts)), chunks], names)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *named, *map(binary, (of, entries, ids, counts)), pa.array([len(words)]), chunks], names)
                 number += 1
 
     names = [c.split()[0] for c in SLICES.split(", ")]
@@ -118,53 +120,71 @@ def factored(docs: DataFrame, size: int = SLICE) -> DataFrame:
     return materialise(docs.select(text("lang"), text("source"), text("text")).mapInArrow(run, SLICES), "slices", compression="zstd")
 
 
-def terms_of(chunk: Column) -> Column:
-    """The terms of a lower-cased chunk, in order, repeats kept."""
-    return F.regexp_extract_all(chunk, F.lit(TERM), F.lit(0))
+def by_part(slices: DataFrame, parts: int) -> DataFrame:
+    """part, slice, at, chunks: each slice's dictionary dealt by the chunk's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = located_words([b" ".join(words.values.cast(pa.binary()).to_pylist())], SPACED)[0]
+                part = (hashes % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                found, start = np.unique(part[order], return_index=True)
+                offsets = pa.array(np.append(start, len(order)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(order, pa.int32()), words.values.take(pa.array(order)))]
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([number] * len(found), pa.int64()), *lists], ["part", "slice", "at", "chunks"])
+
+    return slices.select("slice", "chunks").mapInArrow(run, "part long, slice long, at array<int>, chunks array<string>")
+
+
+def cut(rows: pa.Table) -> pa.Table:
+    """slice, at, per, terms: of the chunks of one part, each distinct one cut once, the number of terms and the terms in order."""
+    chunks = rows.column("chunks").combine_chunks()
+    lengths, flat = chunks.value_lengths().to_numpy(), chunks.flatten().dictionary_encode()
+    _, n, text, starts, size = located_words(flat.dictionary.cast(pa.binary()).to_pylist(), TERMS)
+    terms, first = strings(text, starts, size), np.cumsum(n) - n
+    of = flat.indices.to_numpy().astype(np.int64)
+    per = n[of]
+    own = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    listed = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+    columns = [rows.column("slice").combine_chunks(), listed(ends, rows.column("at").combine_chunks().flatten()), listed(ends, pa.array(per, pa.int32())), listed(np.concatenate([[0], np.cumsum(per)])[ends], terms.take(pa.array(np.repeat(first[of], per) + own)))]
+    return pa.Table.from_arrays(columns, ["slice", "at", "per", "terms"])
 
 
 def slice_counts(matrix: pa.Table, found: pa.Table) -> pa.Table:
-    """lang, source, term, docs, n of one slice: its matrix (one row), and the terms of its chunks (at, terms)."""
+    """lang, source, term, docs, n of one slice: its matrix (one row), and the terms of its chunks."""
     if not matrix.num_rows or not found.num_rows:
         return COUNTS.empty_table()
     row = {c: matrix.column(c)[0].as_py() for c in matrix.column_names if c != "own"}
     group_of, entries, ids, counts = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("group_of", "entries", "ids", "counts"))
-    lists = found.column("terms").combine_chunks()
-    terms = lists.flatten().dictionary_encode()
-    code, n_terms = terms.indices.to_numpy().astype(np.int64), len(terms.dictionary)
-    per = np.zeros(int(max(ids.max(), found.column("at").to_numpy().max())) + 1, np.int64)  # terms per chunk
-    start = np.zeros_like(per)
-    at, length = found.column("at").to_numpy(), lists.value_lengths().to_numpy()
-    per[at], start[at] = length, np.cumsum(length) - length
-    docs, times = np.repeat(np.arange(len(entries)), entries), per[ids]
+    at, n_terms_of, terms = (found.column(c).combine_chunks().flatten() for c in ("at", "per", "terms"))
+    at, n_terms_of, terms = at.to_numpy(), n_terms_of.to_numpy(), terms.dictionary_encode()
+    per, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)  # every chunk is there once
+    per[at], start[at] = n_terms_of, np.cumsum(n_terms_of) - n_terms_of
+    times = per[ids]
     own = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    term = code[np.repeat(start[ids], times) + own]
-    docs, counts = np.repeat(docs, times), np.repeat(counts, times)
-    pairs = np.unique(docs * n_terms + term)
-    n_groups = len(row["langs"])
-    key = group_of[docs] * n_terms + term
-    seen, inverse = np.unique(key, return_inverse=True)
-    n = np.bincount(inverse, counts, len(seen)).astype(np.int64)  # below 2 ** 53: a slice's words
-    in_docs = np.bincount(np.searchsorted(seen, group_of[pairs // n_terms] * n_terms + pairs % n_terms), minlength=len(seen))
-    group, term = seen // n_terms, seen % n_terms
-    assert n_groups > group.max()
-    named = [pa.array(row[c], pa.string()).take(pa.array(group)) for c in ("langs", "sources")]
-    return pa.Table.from_arrays([*named, terms.dictionary.take(pa.array(term)), pa.array(in_docs, pa.int64()), pa.array(n)], schema=COUNTS)
+    term = terms.indices.to_numpy()[np.repeat(start[ids], times) + own]
+    doc = np.repeat(np.repeat(np.arange(len(entries)), entries), times)
+    each = pa.table({"doc": doc, "term": term, "n": np.repeat(counts, times)}).group_by(["doc", "term"], use_threads=False).aggregate([("n", "sum")])
+    whole = pa.table({"group": group_of[each.column("doc").to_numpy()], "term": each.column("term"), "n": each.column("n_sum")})
+    whole = whole.group_by(["group", "term"], use_threads=False).aggregate([("n", "count"), ("n", "sum")])
+    named = [pa.array(row[c], pa.string()).take(whole.column("group")) for c in ("langs", "sources")]
+    return pa.Table.from_arrays([*named, terms.dictionary.take(whole.column("term").combine_chunks()), whole.column("n_count"), whole.column("n_sum")], schema=COUNTS)
 
 
 COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
 
 
-def term_counts(docs: DataFrame, size: int = SLICE) -> DataFrame:
-    """lang, source, term with its documents and occurrences, in the shared folder."""
+def term_counts(docs: DataFrame, size: int = SLICE, part: int = PART) -> DataFrame:
+    """lang, source, term with its documents and occurrences."""
     made = factored(docs, size)
-    each = made.select("slice", F.posexplode("chunks").alias("at", "chunk"))
-    known = each.groupBy("chunk").agg(F.lit(0).alias("_")).select("chunk", terms_of(F.col("chunk")).alias("terms")).where(F.size("terms") > 0)
-    back = each.join(known, "chunk").select("slice", "at", "terms")
-    schema = "lang string, source string, term string, docs long, n long"
-    matrix = made.select(F.col("slice").alias("own"), *[c for c in made.columns if c not in ("slice", "chunks")])
-    parts = matrix.groupBy("own").cogroup(back.groupBy("slice")).applyInArrow(slice_counts, schema)  # a group is a slice
-    return materialise(parts.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")), "terms")
+    n_chunks = made.agg(F.sum("n_chunks")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks // part))
+    back = by_part(made, parts).groupBy("part").applyInArrow(cut, "slice long, at array<int>, per array<int>, terms array<string>")  # a chunk has a row per slice at most
+    matrix = made.select(F.col("slice").alias("own"), *[c for c in made.columns if c not in ("slice", "chunks", "n_chunks")])
+    each = matrix.groupBy("own").cogroup(back.groupBy("slice")).applyInArrow(slice_counts, "lang string, source string, term string, docs long, n long")  # a group is a slice
+    return each.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
 def div(a: Column, b: Column) -> Column:
@@ -185,8 +205,9 @@ def divergence(p: Column, q: Column) -> Column:
 def shares(docs: DataFrame, counts: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """Every (lang, source) with V and p0, its p of a kept term without occurrences; and per kept term of a group its n,
     p, p0 and q, the language's p.  Both in the shared folder."""
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("whole")).where(F.col("docs") >= least).drop("docs")
-    rows = materialise(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "whole"), "kept")
+    term = W.partitionBy("lang", "term")  # a row per source
+    rows = counts.withColumns({"whole": F.sum("n").over(term), "in_docs": F.sum("docs").over(term)}).where(F.col("in_docs") >= least)
+    rows = materialise(rows.select("lang", "source", "term", "n", "whole"), "kept")
     by_lang = rows.groupBy("lang", "term").agg(F.max("whole").alias("whole")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("lang_n"))
     by_group = rows.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)

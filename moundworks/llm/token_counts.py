@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moundworks.llm.common import materialise, shared_dir, slices, source_table, texts
-from moundworks.llm.words import located_words
+from moundworks.llm.words import located_words, numbered, strings
 
 FORM = "1"  # of the normal form: raise it when what ``normal`` gives changes
 LIMIT = 2048
@@ -139,13 +139,16 @@ class Chunks:
 
     def __call__(self, rows: list[bytes]) -> np.ndarray:
         hashes, n_chunks, text, starts, size = located_words(rows, BLANKS)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        codes, first = numbered(hashes)
+        order = np.argsort(hashes[first])
+        inverse = np.argsort(order)[codes]  # into the sorted distinct hashes
+        first = first[order]
+        distinct = hashes[first]
         found, there, place = self._known(distinct)
         new = np.flatnonzero(~there)
-        at, long = starts[first[new]].tolist(), size[first[new]].tolist()
-        for k in range(0, len(at), 10_000):
-            some = [text[a : a + n].decode() for a, n in zip(at[k : k + 10_000], long[k : k + 10_000], strict=True)]
-            found[new[k : k + 10_000]] = self.encode(some)
+        for k in range(0, len(new), 10_000):
+            some = first[new[k : k + 10_000]]
+            found[new[k : k + 10_000]] = self.encode(strings(text, starts[some], size[some]).to_pylist())
         if len(self.keys) + len(new) > MEMO:
             self.keys, self.counts = distinct, found
         else:

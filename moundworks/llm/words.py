@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from moundworks.llm.common import mix
@@ -46,3 +47,20 @@ def located_words(rows: list[bytes | None], table: bytes = SPACED) -> tuple[np.n
     for w in more.tolist():
         out[w] = xxhash.xxh3_64_intdigest(text[starts[w] : starts[w] + size[w]])
     return out, count, text, starts, size
+
+
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash's number among the distinct ones, by first appearance, and where each distinct one appears first."""
+    codes = pa.array(hashes).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    most = np.maximum.accumulate(codes) if len(codes) else codes
+    return codes, np.flatnonzero(np.diff(most, prepend=-1))
+
+
+def strings(text: bytes, starts: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The words at some places as one array of strings."""
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    if offsets[-1] >= 1 << 31:
+        raise ValueError("more than 2 GB of words at once")
+    data = np.frombuffer(text, np.uint8)[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
