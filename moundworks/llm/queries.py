@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moundworks.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dup, pii, quality_rules, suffix_dedup, url_filter
+from moundworks.llm import clustering, decontamination, language_id, line_dedup, lm_scoring, mixing, near_dup, pii, quality_rules, source_audit, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_jaccard_join": near_dup.op9_jaccard_join,
     "op10_language_id": language_id.op10_language_id,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op12_source_audit": source_audit.op12_source_audit,
+    "op13_centroid_clustering": clustering.op13_centroid_clustering,
 }
 QUERIES["quality_ablations"] = quality_rules.quality_ablations
 ORACLES = {
@@ -25,5 +28,7 @@ ORACLES = {
     "op7_decontamination": decontamination.OP7_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op9_jaccard_join": near_dup.OP9_SQL,
+    "op12_source_audit": source_audit.OP12_SQL,
+    "op13_centroid_clustering": clustering.OP13_SQL,
     "quality_ablations": quality_rules.ABLATIONS_SQL,
 }

@@ -8,7 +8,7 @@ import corpus_pipeline
 from moundworks.llm.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
 
 
 def canonical(frame: pd.DataFrame) -> list[tuple]:
