@@ -13,9 +13,10 @@ What crosses the network is a chunk's text per slice that has it, not per word o
 corpus's words: a slice is bounded by bytes, a part by ``PART`` chunks and a row per slice for each of its chunks; sums are
 combined before they move.  Chunks are matched as strings between slices and by 64-bit hashes within one.
 
-Divergences are exact integers.  For two sources of a language the sum over all kept terms is split: only terms that both
-have are met pair by pair, those of one source enter through a histogram of its counts against the other's smallest p,
-and terms that neither has are counted.  The tables of sources per language are those of the result.
+Divergences are exact integers.  For two sources of a language the sum over all kept terms is split: terms that both have
+are counted by their pair of counts, those of one source by their count, against the other's smallest p, and terms that
+neither has are one number.  Pairs of sources are made where a term's sources already lie together; they are those of
+the result.
 
 Defined cases: null text, lang and source are ''; a group without terms has count 0 for each kept term; with no kept term a
 divergence is 0; empty tables give no rows; repeated rows are documents of their own; texts are taken whole, whatever
@@ -35,14 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from moundworks.llm.common import bucket, materialise, slices, source_table, texts
+from moundworks.llm.common import bucket, discard, materialise, shared_dir, slices, source_table, texts
 from moundworks.llm.words import SPACED, located_words, numbered, strings
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS, RANKS, SCALE = 3, 200, 1_000_000_000
 SLICE = 16 << 20
 SALTS = 16
-SLICES = "slice long, langs array<string>, sources array<string>, group_of binary, entries binary, ids binary, counts binary, n_chunks long, chunks array<string>"
+SLICES = "slice long, langs array<string>, sources array<string>, group_of binary, entries binary, ids binary, more binary, n_chunks long, chunks array<string>"
 PART = 1 << 20  # chunks of all slices that one task cuts into terms
 #: A-Z lower-cased, all that is not of a term as a space (for ``bytes.translate``).
 TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -81,19 +82,55 @@ class Matrix:
         self.marks.append(hashes[at])
 
     def arrays(self, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """Per document its number of entries; per entry its chunk's place and count; the chunks."""
-        docs, counts, marks = (np.concatenate(x) for x in (self.docs, self.counts, self.marks))
-        n = len(marks)
-        codes, first = numbered(np.concatenate([marks, *self.hashes]))  # every hash stands among the marks
-        place = codes[n:]
-        if len(self.docs) > 1:  # a document may have come in pieces
-            keys, inverse = np.unique(docs * max(n, 1) + place, return_inverse=True)
-            counts = np.bincount(inverse, counts, len(keys)).astype(np.int64)
-            docs, place = keys // max(n, 1), keys % max(n, 1)
-        return np.bincount(docs, minlength=n_docs), place, counts, pa.concat_arrays(self.words).take(pa.array(first))
-
-
-def factored(docs: DataFrame, size: int = SLICE) -> DataFrame:
+        """Per document its number of entries; per entry its chunk's place (rising within a document) and count; the chunks by
+        hash."""
+        docs, counts, marks, hashes = (np.concatenate(x) for x in (self.docs, self.counts, self.marks, self.hashes))
+        known, first = np.unique(marks, return_index=True)
+        keys = docs * max(len(known), 1) + np.searchsorted(known, hashes)
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        if len(self.docs) > 1 and len(keys):  # a document may have come in pieces
+            start = np.flatnonzero(np.diff(keys, prepend=-1))
+            keys, counts = keys[start], np.add.reduceat(counts, start)
+        return np.bincount(keys // max(len(known), 1), minlength=n_docs), keys % max(len(known), 1), counts, pa.concat_arrays(self.words).take(pa.array(first))
+
+
+def deflated(values: np.ndarray) -> bytes:
+    """Numbers below 2 ** 28 in as many bytes as each needs, seven bits a byte."""
+    values = values.astype(np.int64)
+    size = 1 + sum((values >= 1 << (7 * k)).astype(np.int64) for k in (1, 2, 3))
+    at, out = np.cumsum(size) - size, np.zeros(int(size.sum()), np.uint8)
+    for k in range(4):
+        some = np.flatnonzero(size > k)
+        out[at[some] + k] = (values[some] >> (7 * k)) & 127 | np.where(size[some] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def inflated(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(raw < 128)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    out = np.zeros(len(last), np.int64)
+    for k in range(4):
+        some = np.flatnonzero(last - first >= k)
+        out[some] |= (raw[first[some] + k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
+def steps(ids: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Each place less the one before it in the same document."""
+    out = np.diff(ids, prepend=0)
+    start = (np.cumsum(entries) - entries)[entries > 0]
+    out[start] = ids[start]
+    return out
+
+
+def places(steps: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(steps)])
+    return total[1:] - np.repeat(total[np.cumsum(entries) - entries], entries)
+
+
+def factored(docs: DataFrame, size: int, folder: str) -> DataFrame:
     """The slices (``SLICES``) of documents, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,36 +146,35 @@ def factored(docs: DataFrame, size: int = SLICE) -> DataFrame:
                 entries, ids, counts, words = made.arrays(len(given))
                 groups: dict[tuple[str, str], int] = {}
                 of = np.array([groups.setdefault(g, len(groups)) for g in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], np.int32)
-                binary = lambda a: pa.array([a.astype(np.int32).tobytes()], pa.binary())
+                many = np.flatnonzero(counts > 1)
+                more = np.stack([many, counts[many]], axis=1).astype(np.int64).tobytes()  # most counts are 1
+                binary = [pa.array([x], pa.binary()) for x in (deflated(of), deflated(entries), deflated(steps(ids, entries)), more)]
                 chunks = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
                 named = [pa.array([[g[k] for g in groups]], pa.list_(pa.string())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), *named, *map(binary, (of, entries, ids, counts)), pa.array([len(words)]), chunks], names)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *named, *binary, pa.array([len(words)]), chunks], names)
                 number += 1
 
     names = [c.split()[0] for c in SLICES.split(", ")]
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return materialise(docs.select(text("lang"), text("source"), text("text")).mapInArrow(run, SLICES), "slices", compression="zstd")
+    return materialise(docs.select(text("lang"), text("source"), text("text")).mapInArrow(run, SLICES), "slices", folder, compression="zstd")
 
 
 def by_part(slices: DataFrame, parts: int) -> DataFrame:
-    """part, slice, at, chunks: each slice's dictionary dealt by the chunk's hash."""
+    """part, slice, first, chunks: each slice's dictionary, which is in the order of hashes, cut by ranges of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 hashes = located_words([b" ".join(words.values.cast(pa.binary()).to_pylist())], SPACED)[0]
-                part = (hashes % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                found, start = np.unique(part[order], return_index=True)
-                offsets = pa.array(np.append(start, len(order)), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(order, pa.int32()), words.values.take(pa.array(order)))]
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([number] * len(found), pa.int64()), *lists], ["part", "slice", "at", "chunks"])
+                found, start = np.unique((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(hashes)), pa.int32()), words.values)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array([number] * len(found), pa.int64()), pa.array(start, pa.int32()), lists], ["part", "slice", "first", "chunks"])
 
-    return slices.select("slice", "chunks").mapInArrow(run, "part long, slice long, at array<int>, chunks array<string>")
+    return slices.select("slice", "chunks").mapInArrow(run, "part long, slice long, first int, chunks array<string>")
 
 
 def cut(rows: pa.Table) -> pa.Table:
-    """slice, at, per, terms: of the chunks of one part, each distinct one cut once, the number of terms and the terms in order."""
+    """slice, first, per, terms: of the chunks of one part, each distinct one cut once, the number of terms and the terms in order."""
     chunks = rows.column("chunks").combine_chunks()
     lengths, flat = chunks.value_lengths().to_numpy(), chunks.flatten().dictionary_encode()
     _, n, text, starts, size = located_words(flat.dictionary.cast(pa.binary()).to_pylist(), TERMS)
@@ -148,43 +184,58 @@ def cut(rows: pa.Table) -> pa.Table:
     own = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
     ends = np.concatenate([[0], np.cumsum(lengths)])
     listed = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-    columns = [rows.column("slice").combine_chunks(), listed(ends, rows.column("at").combine_chunks().flatten()), listed(ends, pa.array(per, pa.int32())), listed(np.concatenate([[0], np.cumsum(per)])[ends], terms.take(pa.array(np.repeat(first[of], per) + own)))]
-    return pa.Table.from_arrays(columns, ["slice", "at", "per", "terms"])
+    columns = [*(rows.column(c).combine_chunks() for c in ("slice", "first")), listed(ends, pa.array(per, pa.int32())), listed(np.concatenate([[0], np.cumsum(per)])[ends], terms.take(pa.array(np.repeat(first[of], per) + own)))]
+    return pa.Table.from_arrays(columns, ["slice", "first", "per", "terms"])
 
 
 def slice_counts(matrix: pa.Table, found: pa.Table) -> pa.Table:
-    """lang, source, term, docs, n of one slice: its matrix (one row), and the terms of its chunks."""
+    """Terms of one slice (``COUNTS``): its matrix (one row), and the terms of its chunks."""
     if not matrix.num_rows or not found.num_rows:
         return COUNTS.empty_table()
     row = {c: matrix.column(c)[0].as_py() for c in matrix.column_names if c != "own"}
-    group_of, entries, ids, counts = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("group_of", "entries", "ids", "counts"))
-    at, n_terms_of, terms = (found.column(c).combine_chunks().flatten() for c in ("at", "per", "terms"))
-    at, n_terms_of, terms = at.to_numpy(), n_terms_of.to_numpy(), terms.dictionary_encode()
-    per, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)  # every chunk is there once
-    per[at], start[at] = n_terms_of, np.cumsum(n_terms_of) - n_terms_of
-    times = per[ids]
+    group_of, entries = inflated(row["group_of"]), inflated(row["entries"])
+    ids = places(inflated(row["ids"]), entries)
+    counts, more = np.ones(len(ids), np.int64), np.frombuffer(row["more"], np.int64).reshape(-1, 2)
+    counts[more[:, 0]] = more[:, 1]
+    found = found.take(pa.array(np.argsort(found.column("first").to_numpy())))  # so that chunks come in their order
+    per, terms = found.column("per").combine_chunks().flatten().to_numpy().astype(np.int64), found.column("terms").combine_chunks().flatten().dictionary_encode()
+    start, times = np.cumsum(per) - per, per[ids]
     own = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     term = terms.indices.to_numpy()[np.repeat(start[ids], times) + own]
     doc = np.repeat(np.repeat(np.arange(len(entries)), entries), times)
     each = pa.table({"doc": doc, "term": term, "n": np.repeat(counts, times)}).group_by(["doc", "term"], use_threads=False).aggregate([("n", "sum")])
     whole = pa.table({"group": group_of[each.column("doc").to_numpy()], "term": each.column("term"), "n": each.column("n_sum")})
     whole = whole.group_by(["group", "term"], use_threads=False).aggregate([("n", "count"), ("n", "sum")])
-    named = [pa.array(row[c], pa.string()).take(whole.column("group")) for c in ("langs", "sources")]
-    return pa.Table.from_arrays([*named, terms.dictionary.take(whole.column("term").combine_chunks()), whole.column("n_count"), whole.column("n_sum")], schema=COUNTS)
+    group, term, docs, n = (whole.column(c).to_numpy() for c in ("group", "term", "n_count", "n_sum"))
+    langs = pa.array(row["langs"], pa.string()).dictionary_encode()
+    key = langs.indices.to_numpy()[group].astype(np.int64) * len(terms.dictionary) + term
+    order = np.argsort(key, kind="stable")
+    key, group, docs, n = key[order], group[order], docs[order], n[order]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    ends = pa.array(np.append(start, len(key)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(row["sources"], pa.string()).take(pa.array(group)), pa.array(docs), pa.array(n))]
+    return pa.Table.from_arrays([langs.dictionary.take(pa.array(key[start] // len(terms.dictionary))), terms.dictionary.take(pa.array(key[start] % len(terms.dictionary))), *lists], schema=COUNTS)
 
 
-COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
+COUNTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("docs", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 
 
-def term_counts(docs: DataFrame, size: int = SLICE, part: int = PART) -> DataFrame:
-    """lang, source, term with its documents and occurrences."""
-    made = factored(docs, size)
+def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS, size: int = SLICE, part: int = PART) -> DataFrame:
+    """lang, term, whole (its occurrences) and by (source, n) of the terms in enough documents of their language; in the
+    shared folder.  A slice sends a row per language and term, which meet once."""
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "audit")
+    made = factored(docs, size, folder)
     n_chunks = made.agg(F.sum("n_chunks")).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks // part))
-    back = by_part(made, parts).groupBy("part").applyInArrow(cut, "slice long, at array<int>, per array<int>, terms array<string>")  # a chunk has a row per slice at most
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks // part))
+    back = by_part(made, parts).groupBy("part").applyInArrow(cut, "slice long, first int, per array<int>, terms array<string>")  # a chunk has a row per slice at most
     matrix = made.select(F.col("slice").alias("own"), *[c for c in made.columns if c not in ("slice", "chunks", "n_chunks")])
-    each = matrix.groupBy("own").cogroup(back.groupBy("slice")).applyInArrow(slice_counts, "lang string, source string, term string, docs long, n long")  # a group is a slice
-    return each.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    each = matrix.groupBy("own").cogroup(back.groupBy("slice")).applyInArrow(slice_counts, "lang string, term string, sources array<string>, docs array<long>, n array<long>")  # a group is a slice
+    each = each.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("sources", "docs", "n")).alias("e"))
+    sums = each.groupBy("lang", "term", F.col("e.sources").alias("source")).agg(F.sum("e.docs").alias("docs"), F.sum("e.n").alias("n"))
+    terms = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("whole"), F.collect_list(F.struct("source", "n")).alias("by"))  # a row per source
+    kept = materialise(terms.where(F.col("docs") >= least).drop("docs"), "kept")
+    discard(spark, folder)
+    return kept
 
 
 def div(a: Column, b: Column) -> Column:
@@ -202,42 +253,47 @@ def divergence(p: Column, q: Column) -> Column:
     return div((p - q) * (p - q), q)
 
 
-def shares(docs: DataFrame, counts: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """Every (lang, source) with V and p0, its p of a kept term without occurrences; and per kept term of a group its n,
-    p, p0 and q, the language's p.  Both in the shared folder."""
-    term = W.partitionBy("lang", "term")  # a row per source
-    rows = counts.withColumns({"whole": F.sum("n").over(term), "in_docs": F.sum("docs").over(term)}).where(F.col("in_docs") >= least)
-    rows = materialise(rows.select("lang", "source", "term", "n", "whole"), "kept")
-    by_lang = rows.groupBy("lang", "term").agg(F.max("whole").alias("whole")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("lang_n"))
-    by_group = rows.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
+def group_sizes(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Every (lang, source) with V, N + V of it and of its language, and p0, its p of a kept term without occurrences; in the
+    shared folder."""
+    by_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("whole").alias("lang_n"))
+    by_group = entries(kept).groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     groups = docs.select(text("lang"), text("source")).distinct().join(by_group, ["lang", "source"], "left").join(by_lang, "lang", "left").na.fill(0, ["v", "lang_n", "group_n"])
     total = F.nullif(F.col("group_n") + F.col("v"), F.lit(0))
-    groups = materialise(groups.select("lang", "source", "v", total.alias("total"), (F.col("lang_n") + F.col("v")).alias("lang_total"), share(F.lit(0).cast("long"), total).alias("p0")), "groups")
-    known = rows.join(groups.drop("v"), ["lang", "source"])
-    return groups, materialise(known.select("lang", "source", "term", "n", share(F.col("n"), F.col("total")).alias("p"), "p0", share(F.col("whole"), F.col("lang_total")).alias("q")), "shares")
+    return materialise(groups.select("lang", "source", "v", total.alias("total"), (F.col("lang_n") + F.col("v")).alias("lang_total"), share(F.lit(0).cast("long"), total).alias("p0")), "groups")
 
 
-def source_pairs(groups: DataFrame, known: DataFrame) -> DataFrame:
+def entries(kept: DataFrame) -> DataFrame:
+    """lang, term, whole, source, n."""
+    return kept.select("lang", "term", "whole", F.explode("by").alias("e")).select("lang", "term", "whole", "e.source", "e.n")
+
+
+def source_pairs(groups: DataFrame, kept: DataFrame) -> DataFrame:
     """lang, source, item (another source), value: the divergence of source from item over all kept terms."""
-    a, b = (groups.select("lang", F.col("source").alias(s), F.col("p0").alias(f"{s}0"), "v") for s in ("a", "b"))
+    side = lambda s: groups.select("lang", F.col("source").alias(s), F.col("total").alias(f"{s}_total"), F.col("p0").alias(f"{s}0"))
     f, c = divergence, F.col
-    none = a.join(b.drop("v"), "lang").where("a <> b").select("lang", c("a").alias("source"), c("b").alias("item"), (c("v") * F.coalesce(f(c("a0"), c("b0")), F.lit(0))).alias("value"))
-    # terms of one source: as if no other had them
-    heights = known.groupBy("lang", c("source").alias("a"), "n").agg(F.count("*").alias("m"), F.min("p").alias("pa"), F.min("p0").alias("a0"))
-    alone = heights.join(b.drop("v"), "lang").where("a <> b")
-    both_ways = lambda ab, ba: F.explode(F.array(F.struct(c("a").alias("source"), c("b").alias("item"), ab.alias("value")), F.struct(c("b").alias("source"), c("a").alias("item"), ba.alias("value")))).alias("x")
+    a, b = side("a"), side("b")
+    none = a.join(b, "lang").where("a <> b").join(groups.groupBy("lang").agg(F.max("v").alias("v")), "lang")
+    none = none.select("lang", c("a").alias("source"), c("b").alias("item"), (c("v") * F.coalesce(f(c("a0"), c("b0")), F.lit(0))).alias("value"))
+    # terms of one source: as if no other had them; equal counts are one
+    alone = entries(kept).groupBy("lang", c("source").alias("a"), c("n").alias("na")).agg(F.count("*").alias("m"))
+    alone = alone.join(a, ["lang", "a"]).join(b, "lang").where("a <> b").withColumn("pa", share(c("na"), c("a_total")))
     alone = alone.groupBy("lang", "a", "b").agg(F.sum(c("m") * (f(c("pa"), c("b0")) - f(c("a0"), c("b0")))).alias("ab"), F.sum(c("m") * (f(c("b0"), c("pa")) - f(c("b0"), c("a0")))).alias("ba"))
-    # terms of two sources: what they have beyond that
-    side = lambda s: known.select("lang", "term", c("source").alias(s), c("p").alias(f"p{s}"), c("p0").alias(f"{s}0"))
+    # terms of two sources: what they have beyond that; equal pairs of counts are one
     beyond = lambda x, y: f(c(f"p{x}"), c(f"p{y}")) - f(c(f"p{x}"), c(f"{y}0")) - f(c(f"{x}0"), c(f"p{y}")) + f(c(f"{x}0"), c(f"{y}0"))
-    common = side("a").join(side("b"), ["lang", "term"]).where("a < b").groupBy("lang", "a", "b").agg(F.sum(beyond("a", "b")).alias("ab"), F.sum(beyond("b", "a")).alias("ba"))
-    turned = [x.select("lang", both_ways(c("ab"), c("ba"))).select("lang", "x.*") for x in (alone, common)]
+    two = kept.where(F.size("by") > 1).select("lang", "by", F.explode("by").alias("x")).select("lang", "x", F.explode("by").alias("y")).where("x.source < y.source")
+    two = two.groupBy("lang", c("x.source").alias("a"), c("y.source").alias("b"), c("x.n").alias("na"), c("y.n").alias("nb")).agg(F.count("*").alias("m"))
+    two = two.join(a, ["lang", "a"]).join(b, ["lang", "b"]).withColumns({"pa": share(c("na"), c("a_total")), "pb": share(c("nb"), c("b_total"))})
+    two = two.groupBy("lang", "a", "b").agg(F.sum(c("m") * beyond("a", "b")).alias("ab"), F.sum(c("m") * beyond("b", "a")).alias("ba"))
+    ways = F.explode(F.array(F.struct(c("a").alias("source"), c("b").alias("item"), c("ab").alias("value")), F.struct(c("b").alias("source"), c("a").alias("item"), c("ba").alias("value")))).alias("x")
+    turned = [x.select("lang", ways).select("lang", "x.*") for x in (alone, two)]
     return none.unionByName(turned[0]).unionByName(turned[1]).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
-def top_terms(known: DataFrame, ranks: int = RANKS) -> DataFrame:
+def top_terms(groups: DataFrame, kept: DataFrame, ranks: int = RANKS) -> DataFrame:
     """lang, source, item, value of the terms that a source has more of than its language, the most telling ones first."""
+    known = entries(kept).join(groups, ["lang", "source"]).withColumns({"p": share(F.col("n"), F.col("total")), "q": share(F.col("whole"), F.col("lang_total"))})
     rows = known.where("p > q").select("lang", "source", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"), bucket(F.col("term"), SALTS).alias("_salt"))
     order = (F.desc("value"), F.asc("item"))
     first = rows.withColumn("_r", F.row_number().over(W.partitionBy("lang", "source", "_salt").orderBy(*order))).where(F.col("_r") <= ranks)
@@ -247,11 +303,12 @@ def top_terms(known: DataFrame, ranks: int = RANKS) -> DataFrame:
 def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = RANKS, size: int = SLICE) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank: each source against the other sources of its language, and
     its most telling terms."""
-    groups, known = shares(docs, term_counts(docs, size), least)
-    pairs = source_pairs(groups, known)
+    kept = kept_terms(docs, least, size)
+    groups = group_sizes(docs, kept)
+    pairs = source_pairs(groups, kept)
     pairs = pairs.withColumn("rank", F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))  # a row per source
     columns = lambda rows, part: rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.col("rank").cast("int").alias("rank"))
-    return columns(pairs, "pair").unionByName(columns(top_terms(known, ranks), "term"))
+    return columns(pairs, "pair").unionByName(columns(top_terms(groups, kept, ranks), "term"))
 
 
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
