@@ -222,7 +222,8 @@ def count_tokens(docs: DataFrame, file: str | None = None, cache: str | None = N
         if not small:
             once = once.join(missing, "digest", "left_semi")  # both lie by digest already
         counted(once, file).withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    rows = keyed.join(stored(spark, cache, tokenizer), "digest")
+    counts = materialise(stored(spark, cache, tokenizer).join(keyed.select("digest").distinct(), "digest", "left_semi"), "counts")
+    rows = keyed.join(counts, "digest")  # two scans: adaptive execution may split a hot digest
     return rows.select("_row.*", "n_bytes", "digest", "n_tokens").drop("_")
 
 
