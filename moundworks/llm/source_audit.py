@@ -7,11 +7,11 @@ Most of a corpus' white-space chunks occur again and again, so texts are not tok
 2. The dictionaries are dealt by chunk, so that all slices' copies of a chunk meet in one part, and there each distinct chunk
    is cut into terms once.  The number of parts follows that of the chunks (``PART`` of them a part).
 3. Terms go back to their slice, and each slice turns its matrix into documents and occurrences per (lang, source, term);
-   these are summed over slices.  A document lies in one slice, so it counts once.
+   these are dealt by term and summed over slices.  A document lies in one slice, so it counts once.
 
-What crosses the network is a chunk's text per slice that has it, not per word or document, and no group grows with the
-corpus's words: a slice is bounded by bytes, a part by ``PART`` chunks and a row per slice for each of its chunks; sums are
-combined before they move.  Chunks are matched as strings between slices and by 64-bit hashes within one.
+What crosses the network is packed rows of a slice's chunks, and later terms, that belong to a part: each once per slice, not
+per word or document.  No group grows with the corpus's words: a slice is bounded by bytes, a part by ``PART`` chunks and,
+for each, an entry per slice (terms: per slice and source).  Chunks are matched as strings between slices and by 64-bit hashes within one.
 
 Divergences are exact integers.  For two sources of a language the sum over all kept terms is split: terms that both have
 are counted by their pair of counts, those of one source by their count, against the other's smallest p, and terms that
@@ -166,9 +166,9 @@ def by_part(slices: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for number, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 hashes = located_words([b" ".join(words.values.cast(pa.binary()).to_pylist())], SPACED)[0]
-                found, start = np.unique((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), return_index=True)
+                found, start = np.unique(part_of(hashes, parts), return_index=True)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(hashes)), pa.int32()), words.values)
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array([number] * len(found), pa.int64()), pa.array(start, pa.int32()), lists], ["part", "slice", "first", "chunks"])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([number] * len(found), pa.int64()), pa.array(start, pa.int32()), lists], ["part", "slice", "first", "chunks"])
 
     return slices.select("slice", "chunks").mapInArrow(run, "part long, slice long, first int, chunks array<string>")
 
@@ -188,8 +188,8 @@ def cut(rows: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(columns, ["slice", "first", "per", "terms"])
 
 
-def slice_counts(matrix: pa.Table, found: pa.Table) -> pa.Table:
-    """Terms of one slice (``COUNTS``): its matrix (one row), and the terms of its chunks."""
+def slice_counts(matrix: pa.Table, found: pa.Table, parts: int) -> pa.Table:
+    """Terms of one slice, dealt by their hash (``COUNTS``, a row per part), from its matrix (one row) and its chunks' terms."""
     if not matrix.num_rows or not found.num_rows:
         return COUNTS.empty_table()
     row = {c: matrix.column(c)[0].as_py() for c in matrix.column_names if c != "own"}
@@ -207,33 +207,64 @@ def slice_counts(matrix: pa.Table, found: pa.Table) -> pa.Table:
     whole = pa.table({"group": group_of[each.column("doc").to_numpy()], "term": each.column("term"), "n": each.column("n_sum")})
     whole = whole.group_by(["group", "term"], use_threads=False).aggregate([("n", "count"), ("n", "sum")])
     group, term, docs, n = (whole.column(c).to_numpy() for c in ("group", "term", "n_count", "n_sum"))
-    langs = pa.array(row["langs"], pa.string()).dictionary_encode()
-    key = langs.indices.to_numpy()[group].astype(np.int64) * len(terms.dictionary) + term
+    part = part_of(located_words([b" ".join(terms.dictionary.cast(pa.binary()).to_pylist())], SPACED)[0], parts)[term]
+    order = np.lexsort((group, term, part))
+    part, group, term = part[order], group[order], term[order]
+    start = np.flatnonzero(np.diff(part, prepend=-1))
+    pairs, local = np.unique(part * len(row["langs"]) + group, return_inverse=True)  # each part's own groups
+    own = np.searchsorted(pairs // len(row["langs"]), part[start])
+    named = [pa.array(row[c], pa.string()).take(pa.array(pairs % len(row["langs"]))) for c in ("langs", "sources")]
+    of = local - np.repeat(own, np.diff(np.append(start, len(part))))
+    cut_at = lambda at, n, values: pa.ListArray.from_arrays(pa.array(np.append(at, n), pa.int32()), values)
+    values = [pa.array(of, pa.int32()), terms.dictionary.take(pa.array(term)), pa.array(docs[order]), pa.array(n[order])]
+    return pa.Table.from_arrays([pa.array(part[start]), *(cut_at(own, len(pairs), x) for x in named), *(cut_at(start, len(part), x) for x in values)], schema=COUNTS)
+
+
+COUNTS = pa.schema([("part", pa.int64()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("group", pa.list_(pa.int32())), ("term", pa.list_(pa.string())), ("docs", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+ENTRY = pa.struct([("source", pa.string()), ("n", pa.int64())])
+
+
+def summed(rows: pa.Table, least: int) -> pa.Table:
+    """lang, term, whole, by: all slices' counts of the terms of one part, without those in too few documents."""
+    lists = {c: rows.column(c).combine_chunks() for c in rows.column_names if c != "part"}
+    flat = {c: x.flatten() for c, x in lists.items()}
+    sizes = lists["langs"].value_lengths().to_numpy().astype(np.int64)
+    group = flat["group"].to_numpy() + np.repeat(np.cumsum(sizes) - sizes, lists["group"].value_lengths().to_numpy())
+    langs, sources, terms = (flat[c].dictionary_encode() for c in ("langs", "sources", "term"))
+    each = pa.table({"lang": langs.indices.to_numpy()[group], "source": sources.indices.to_numpy()[group], "term": terms.indices, "docs": flat["docs"], "n": flat["n"]})
+    each = each.group_by(["lang", "term", "source"], use_threads=False).aggregate([("docs", "sum"), ("n", "sum")])
+    lang, term, source, docs, n = (each.column(c).to_numpy().astype(np.int64) for c in ("lang", "term", "source", "docs_sum", "n_sum"))
+    key, size = lang * max(len(terms.dictionary), 1) + term, max(len(terms.dictionary), 1)
     order = np.argsort(key, kind="stable")
-    key, group, docs, n = key[order], group[order], docs[order], n[order]
+    key, source, docs, n = key[order], source[order], docs[order], n[order]
     start = np.flatnonzero(np.diff(key, prepend=-1))
-    ends = pa.array(np.append(start, len(key)), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(row["sources"], pa.string()).take(pa.array(group)), pa.array(docs), pa.array(n))]
-    return pa.Table.from_arrays([langs.dictionary.take(pa.array(key[start] // len(terms.dictionary))), terms.dictionary.take(pa.array(key[start] % len(terms.dictionary))), *lists], schema=COUNTS)
+    total, whole = (np.add.reduceat(x, start) if len(x) else x for x in (docs, n))
+    good = total >= least
+    lengths = np.diff(np.append(start, len(key)))
+    inside = np.repeat(good, lengths)
+    entry = pa.StructArray.from_arrays([sources.dictionary.take(pa.array(source[inside])), pa.array(n[inside])], fields=list(ENTRY))
+    by = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths[good])]), pa.int32()), entry)
+    return pa.table({"lang": langs.dictionary.take(pa.array(key[start][good] // size)), "term": terms.dictionary.take(pa.array(key[start][good] % size)), "whole": whole[good], "by": by})
 
 
-COUNTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("docs", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The range, of so many, that a hash lies in."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS, size: int = SLICE, part: int = PART) -> DataFrame:
     """lang, term, whole (its occurrences) and by (source, n) of the terms in enough documents of their language; in the
-    shared folder.  A slice sends a row per language and term, which meet once."""
+    shared folder."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "audit")
     made = factored(docs, size, folder)
     n_chunks = made.agg(F.sum("n_chunks")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_chunks // part))
     back = by_part(made, parts).groupBy("part").applyInArrow(cut, "slice long, first int, per array<int>, terms array<string>")  # a chunk has a row per slice at most
     matrix = made.select(F.col("slice").alias("own"), *[c for c in made.columns if c not in ("slice", "chunks", "n_chunks")])
-    each = matrix.groupBy("own").cogroup(back.groupBy("slice")).applyInArrow(slice_counts, "lang string, term string, sources array<string>, docs array<long>, n array<long>")  # a group is a slice
-    each = each.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("sources", "docs", "n")).alias("e"))
-    sums = each.groupBy("lang", "term", F.col("e.sources").alias("source")).agg(F.sum("e.docs").alias("docs"), F.sum("e.n").alias("n"))
-    terms = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("whole"), F.collect_list(F.struct("source", "n")).alias("by"))  # a row per source
-    kept = materialise(terms.where(F.col("docs") >= least).drop("docs"), "kept")
+    counts = lambda matrix, found: slice_counts(matrix, found, parts)
+    each = matrix.groupBy("own").cogroup(back.groupBy("slice")).applyInArrow(counts, "part long, langs array<string>, sources array<string>, group array<int>, term array<string>, docs array<long>, n array<long>")  # a group is a slice
+    whole = each.groupBy("part").applyInArrow(lambda rows: summed(rows, least), "lang string, term string, whole long, by array<struct<source: string, n: long>>")
+    kept = materialise(whole, "kept")
     discard(spark, folder)
     return kept
 
