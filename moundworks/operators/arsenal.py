@@ -39,12 +39,22 @@ def raw_arsenal(clean: DataFrame, key: str = "pitcher") -> DataFrame:
     One hash aggregation with partial sums; the share's window then sees at most twelve rows per key.
     """
     groups = with_run_value(clean).groupBy(key, "pitch_type").agg(F.count("*").alias("count"), F.sum("rv").alias("rv"), *[F.avg(c).alias(a) for a, c in AVERAGES.items()])
+    return with_total(groups, key)
+
+
+def with_total(groups: DataFrame, key: str) -> DataFrame:
+    """total: the key's pitches of all types."""
     return groups.withColumn("total", F.sum("count").over(Window.partitionBy(key)))
 
 
 def arsenal(clean: DataFrame, key: str = "pitcher", least: int = MIN_PITCHES, least_type: int = MIN_PER_TYPE) -> DataFrame:
     """The arsenal of every key with enough pitches, without rarely thrown types."""
-    groups = raw_arsenal(clean, key).where((F.col("total") >= least) & (F.col("count") >= least_type))
+    return shown(raw_arsenal(clean, key), key, least, least_type)
+
+
+def shown(groups: DataFrame, key: str, least: int = MIN_PITCHES, least_type: int = MIN_PER_TYPE) -> DataFrame:
+    """What an arsenal shows of raw groups."""
+    groups = groups.where((F.col("total") >= least) & (F.col("count") >= least_type))
     shares = F.expr(rounded("count * 100e0 / total", 1)).alias("percentage")
     return groups.select(key, "pitch_type", "count", shares, *[F.expr(rounded(e, n)).alias(c) for c, (e, n) in MEASURES.items()])
 

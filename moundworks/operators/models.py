@@ -1,4 +1,4 @@
-"""Batch training of next-pitch models with Spark ML, saving and loading."""
+"""Batch training of next-pitch models with Spark ML."""
 
 from __future__ import annotations
 
@@ -16,10 +16,13 @@ CONTEXT = ("pitcher", "stand", "balls", "strikes", "outs_when_up", "inning")
 OTHER = "other"
 
 
-def train_sequence_model(dataset: DataFrame, hidden: int = 32, iterations: int = 20, seed: int = 7) -> PipelineModel:
-    """Next code from a flattened 5 x 6 window by softmax and cross-entropy; incomplete windows are left out."""
+def train_sequence_model(dataset: DataFrame, hidden: int = 32, iterations: int = 20, seed: int = 7, classes: int | None = None) -> PipelineModel:
+    """Next code from a flattened 5 x 6 window by softmax and cross-entropy; incomplete windows are left out.
+
+    classes: the number of codes, else that of the highest label seen.
+    """
     rows = dataset.na.drop(subset=INPUTS).withColumn("label", F.col("label").cast("double"))
-    classes = int(rows.agg(F.max("label")).first()[0] or 0) + 1
+    classes = classes or int(rows.agg(F.max("label")).first()[0] or 0) + 1
     net = MultilayerPerceptronClassifier(layers=[len(INPUTS), hidden, classes], maxIter=iterations, seed=seed, blockSize=1024)
     return Pipeline(stages=[VectorAssembler(inputCols=INPUTS, outputCol="features"), net]).fit(rows)
 
@@ -36,10 +39,15 @@ def log_losses(model: PipelineModel, learned: DataFrame, judged: DataFrame) -> D
     complete = judged.na.drop(subset=INPUTS)
     likely = F.get(vector_to_array("probability"), F.col("label").cast("int"))
     modelled = model.transform(complete).agg(F.avg(-F.log(F.greatest(F.coalesce(likely, least), least))).alias("held_out_loss"))
+    return modelled.crossJoin(prior_loss(learned, complete))
+
+
+def prior_loss(learned: DataFrame, judged: DataFrame) -> DataFrame:
+    """One row: the mean negative log-likelihood of labels under the shares of those learned from."""
+    least = F.lit(1e-12)
     shares = learned.groupBy("label").agg(F.count("*").alias("n"))  # a row per class
     total = shares.agg(F.sum("n").alias("total"))
-    prior = complete.join(F.broadcast(shares), "label", "left").crossJoin(F.broadcast(total)).agg(F.avg(-F.log(F.greatest(F.coalesce(F.col("n") / F.col("total"), least), least))).alias("prior_loss"))
-    return modelled.crossJoin(prior)
+    return judged.join(F.broadcast(shares), "label", "left").crossJoin(F.broadcast(total)).agg(F.avg(-F.log(F.greatest(F.coalesce(F.col("n") / F.col("total"), least), least))).alias("prior_loss"))
 
 
 def loss_history(spark: SparkSession, model: PipelineModel) -> DataFrame:
@@ -81,17 +89,6 @@ def class_probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("probabilities", vector_to_array("probability"))
 
 
-def save(model: PipelineModel, codes: DataFrame, stats: DataFrame, path: str) -> None:
-    """The model with its encoders: classes and scaler as small tables beside it."""
-    model.write().overwrite().save(f"{path}/model")
-    codes.coalesce(1).write.mode("overwrite").parquet(f"{path}/codes")
-    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
-
-
 def predictions(model: PipelineModel, dataset: DataFrame) -> DataFrame:
     """idx, label and the predicted code of every complete window."""
     return model.transform(dataset.na.drop(subset=INPUTS)).select("idx", "label", F.col("prediction").cast("int").alias("predicted"))
-
-
-def load(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/scaler")

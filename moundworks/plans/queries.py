@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from moundworks.functions import constants as C
 from moundworks.functions import expressions as E
 from moundworks.functions.expressions import rounded
-from moundworks.operators import arsenal, charts, clean, kinematics, lookup, models, outcomes, scoring, sequences
+from moundworks.operators import arsenal, bundles, charts, clean, cube, kinematics, lookup, models, outcomes, recurrent, scoring, sequences
 from moundworks.plans import report
 from moundworks.sources import fixtures, ingest
-from moundworks.sources.shared import materialise, shared_folder
+from moundworks.sources.shared import materialise, shared_base, shared_folder
 
 World = dict[str, DataFrame]
 
@@ -222,8 +223,9 @@ FROM (SELECT q.request_id, any_value(r.key_mlbam) AS key_mlbam, count(a.pitcher)
 @query("request_status", _STATUS, "asked_rows")
 def request_status(w: World) -> DataFrame:
     resolved = report.resolve(w["matchup_requests"], w["players"], fixtures.AS_OF)
-    rows = lookup.pitches_in_windows(w["pitches"], lookup.windows(resolved)).withColumn("clean", clean.is_valid())
-    return lookup.request_status(w["matchup_requests"], resolved, lookup.window_counts(rows))
+    resolved = materialise(resolved, "resolved")
+    sums = cube.window_sums(cube.running(cube.daily(w["pitches"])), lookup.windows(resolved))
+    return lookup.request_status(w["matchup_requests"], resolved, cube.window_counts(sums))
 
 
 # Joins
@@ -283,18 +285,32 @@ def sim_defaults(w: World) -> DataFrame:
 # The report
 
 
+_SAMPLED = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {charts.SAMPLE_ORDER}, {KEYS}) AS r FROM asked_rows
+  WHERE {E.VALID} AND {" AND ".join(f"{c} IS NOT NULL" for c in C.CLEAN_COLUMNS)}) WHERE r <= {C.MAX_LOCATIONS}"""
+
+
 @query("report_json", f"""SELECT q.request_id, q.status, CASE WHEN success THEN r.name END AS name, CASE WHEN success THEN r.key_mlbam END AS id,
   CASE WHEN success THEN CAST(r.start_date AS VARCHAR) END AS start_date, CASE WHEN success THEN CAST(r.end_date AS VARCHAR) END AS end_date, CASE WHEN success THEN least(n_clean, {C.MAX_LOCATIONS}) END AS n_locations,
-  a.* EXCLUDE (request_id) FROM (SELECT *, status = '{lookup.SUCCESS}' AS success FROM ({_STATUS})) q LEFT JOIN resolved r ON q.request_id = r.request_id
+  l.locations_md5, a.* EXCLUDE (request_id) FROM (SELECT *, status = '{lookup.SUCCESS}' AS success FROM ({_STATUS})) q LEFT JOIN resolved r ON q.request_id = r.request_id
 LEFT JOIN (SELECT request_id, pitch_type, count, {rounded("count * 100e0 / total", 1)} AS percentage, {", ".join(f"{rounded(e, n)} AS {c}" for c, (e, n) in arsenal.MEASURES.items())} FROM (
   SELECT request_id, pitch_type, count(*) AS count, CAST(sum(sum(1)) OVER (PARTITION BY request_id) AS BIGINT) AS total, CAST(sum(rv) AS BIGINT) AS rv, {", ".join(f"avg({c}) AS {a}" for a, c in arsenal.AVERAGES.items())}
   FROM (SELECT *, {_RUN_VALUE} AS rv FROM asked_rows WHERE {E.VALID} AND {" AND ".join(f"{c} IS NOT NULL" for c in C.CLEAN_COLUMNS)}) GROUP BY request_id, pitch_type)
-  WHERE total >= {C.MIN_PITCHES} AND count >= {C.MIN_PER_TYPE}) a ON q.request_id = a.request_id""", "asked_rows")
+  WHERE total >= {C.MIN_PITCHES} AND count >= {C.MIN_PER_TYPE}) a ON q.request_id = a.request_id
+LEFT JOIN (SELECT request_id, md5(string_agg(place, ',' ORDER BY place)) AS locations_md5 FROM (
+  SELECT request_id, concat_ws(':', pitch_type, {", ".join(f"CAST(floor({c} * {f} + 0.5e0) AS BIGINT)" for c, f in (("plate_x", "64e0"), ("plate_z", "64e0"), ("pfx_x", "12e0 * 64e0"), ("pfx_z", "12e0 * 64e0"), ("release_speed", "64e0")))}) AS place FROM ({_SAMPLED})) GROUP BY request_id) l ON q.success AND q.request_id = l.request_id""", "asked_rows")
 def report_json(w: World) -> DataFrame:
     """The reports as JSON, read back and flattened."""
     return report.flattened(report.report(w["pitches"], w["matchup_requests"], w["players"], fixtures.AS_OF))
 
 
+@query("location_sample_by_request", f"SELECT request_id, {KEYS}, pitch_type, plate_x, plate_z FROM ({_SAMPLED})", "asked_rows")
+def location_sample_by_request(w: World) -> DataFrame:
+    """The sample of every request's window, from dyadic blocks of days."""
+    resolved = materialise(report.resolve(w["matchup_requests"], w["players"], fixtures.AS_OF), "resolved")
+    found = cube.window_samples(clean_rows(w), lookup.windows(resolved), (*KEY, "pitch_type", "plate_x", "plate_z"))
+    return found.join(resolved.select("request_id", lookup.window_key().alias("window")), "window").select("request_id", *KEY, "pitch_type", "plate_x", "plate_z")
+
+
 # Aggregations
 
 
@@ -537,38 +553,73 @@ def train_context_model(w: World) -> DataFrame:
 
 @query("save_model")
 def save_model(w: World) -> DataFrame:
-    """Predictions of a model that was trained, saved with its encoders and loaded again."""
+    """Predictions of a model that was trained, published with its encoders and loaded again."""
     rows, codes, stats = fitted(w)
-    dataset, path = materialise(sequences.sequence_dataset(rows, codes=codes, stats=stats), "dataset"), shared_folder(rows.sparkSession, "model")
-    models.save(models.train_sequence_model(dataset), codes, stats, path)
-    model, classes, _ = models.load(rows.sparkSession, path)
-    types = classes.where("kind = 'pitch_type'").select(F.col("code").alias("predicted"), F.col("value").alias("pitch_type"))
-    return models.predictions(model, dataset).join(F.broadcast(types), "predicted", "left")  # a row per class
+    dataset, root = materialise(sequences.sequence_dataset(rows, codes=codes, stats=stats), "dataset"), shared_folder(rows.sparkSession, "bundle")
+    encoders = bundles.Encoders.of(codes, stats)
+    bundles.publish(rows.sparkSession, root, bundles.Bundle("perceptron", encoders, models.train_sequence_model(dataset, classes=encoders.num_classes)))
+    bundle = bundles.load(rows.sparkSession, root, encoders.classes)
+    types = bundle.encoders.codes(rows.sparkSession).where("kind = 'pitch_type'").select(F.col("code").alias("predicted"), F.col("value").alias("pitch_type"))
+    return models.predictions(bundle.model, dataset).join(F.broadcast(types), "predicted", "left")  # a row per class
+
 
+FIT_WINDOWS = 50_000  # rows, from the first on, whose windows the recurrent network is trained on
 
-FIT_WINDOWS = 50_000  # rows, from the first on, whose windows the recurrent network's last layer is fit on
 
+def next_pitch(w: World) -> str:
+    """Where the recurrent network for these pitches is published: a place of their own below the shared folder."""
+    files = "|".join(sorted(w["pitches"].inputFiles()))
+    return f"{shared_base(w['pitches'].sparkSession)}/next-pitch-{hashlib.sha256(files.encode()).hexdigest()[:16]}"
 
-def network(rows: DataFrame, codes: DataFrame, stats: DataFrame) -> dict:
-    """A recurrent network with a fitted last layer, saved as .npz and loaded again."""
-    dataset = sequences.sequence_dataset(rows, limit=FIT_WINDOWS, codes=codes, stats=stats)
-    path = f"{shared_folder(codes.sparkSession, 'network')}/weights.npz"
-    scoring.save_weights(scoring.train_readout(dataset, codes.where("kind = 'pitch_type'").count()), path)
-    return scoring.load_weights(path)
+
+def train_network(w: World) -> tuple[list[float], DataFrame, DataFrame, bundles.Bundle]:
+    """Train the recurrent network on the first windows but one in ten, publish it; the losses, windows learned from and held
+    out, and the bundle."""
+    rows, codes, stats = fitted(w)
+    dataset = materialise(sequences.sequence_dataset(rows, limit=FIT_WINDOWS, codes=codes, stats=stats), "dataset")
+    learned, judged = models.held_out(dataset)
+    encoders = bundles.Encoders.of(codes, stats)
+    weights, losses = recurrent.train(learned, encoders.num_classes)
+    bundle = bundles.Bundle("recurrent", encoders, weights)
+    bundles.publish(rows.sparkSession, next_pitch(w), bundle)
+    return losses, learned, judged, bundle
+
+
+def network(w: World) -> bundles.Bundle:
+    """The published recurrent network; it is trained only if none has been."""
+    spark, root = w["pitches"].sparkSession, next_pitch(w)
+    if bundles.current(spark, root) is None:
+        train_network(w)
+    return bundles.load(spark, root)
+
+
+@query("train_recurrent_model")
+def train_recurrent_model(w: World) -> DataFrame:
+    """The recurrent network's mean training loss by epoch, and (iteration null) its held-out loss beside that of the labels'
+    shares alone; the network is published for the scoring queries."""
+    losses, learned, judged, bundle = train_network(w)
+    spark = learned.sparkSession
+    found = recurrent.held_out_loss(judged, bundle.model).first()[0]
+    prior = models.prior_loss(learned, judged.na.drop(subset=scoring.INPUTS)).first()[0]
+    rows = [("loss", k, float(x)) for k, x in enumerate(losses)] + [("held_out_loss", None, found), ("prior_loss", None, prior)]
+    return spark.createDataFrame(rows, "measure string, iteration int, value double")
 
 
 @query("lstm_score")
 def lstm_score(w: World) -> DataFrame:
-    rows, codes, stats = fitted(w)
-    windows = sequences.sequence_dataset(rows, limit=None, codes=codes, stats=stats)  # the cap is the training set's
-    return scoring.lstm_score(windows, network(rows, codes, stats), "idx", "label")
+    """Every window of the training rows scored by the published network, with the network's own encoders."""
+    bundle, spark = network(w), w["pitches"].sparkSession
+    rows = clean.training_rows(w["pitches"])
+    windows = sequences.sequence_dataset(rows, limit=None, codes=bundle.encoders.codes(spark), stats=bundle.encoders.stats(spark))  # the cap is the training set's
+    return scoring.lstm_score(windows, bundle.model, "idx", "label")
 
 
 @query("predict_context")
 def predict_context(w: World) -> DataFrame:
-    rows, codes, stats = fitted(w)
-    types = materialise(arsenal.arsenal(clean_rows(w)).select("pitcher", "pitch_type"), "types")
-    return scoring.predict_contexts(materialise(w["contexts"], "contexts"), network(rows, codes, stats), codes, stats, types)
+    """The published network's predictions for every context; nothing is trained where one is published."""
+    bundle, spark = network(w), w["pitches"].sparkSession
+    types = arsenal.arsenal(clean_rows(w)).select("pitcher", "pitch_type")
+    return scoring.predict_contexts(w["contexts"], bundle.model, bundle.encoders.codes(spark), bundle.encoders.stats(spark), types)
 
 
 @query("rule_based_predictions", "SELECT pitcher, batter_stand, balls, strikes, r.* FROM contexts, (VALUES (1, 'FF', 50e0), (2, 'SL', 30e0)) AS r(rank, pitch_type, percent)", "contexts")

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from moundworks.functions import constants as C
-from moundworks.operators import arsenal, charts, clean, kinematics, lookup, models, outcomes, scoring, sequences
+from moundworks.operators import arsenal, bundles, charts, clean, kinematics, lookup, models, outcomes, scoring, sequences
 from moundworks.plans import report
 from moundworks.sources import fixtures, ingest
 from moundworks.streaming.landing import land_stream
@@ -204,12 +204,13 @@ def test_requests_alike_share_a_window(spark, tmp_path):
 def test_saved_models_score_alike(spark, tmp_path):
     rows = clean.training_rows(fixtures.world(spark, DATA)["pitches"]).cache()
     dataset = sequences.sequence_dataset(rows).cache()
-    model = models.train_sequence_model(dataset, hidden=8, iterations=5)
     codes = sequences.label_codes(rows)
-    models.save(model, codes, sequences.scaler_stats(sequences.encoded(rows, codes)), f"file://{tmp_path}/m")
-    loaded, classes, _ = models.load(spark, f"file://{tmp_path}/m")
+    encoders = bundles.Encoders.of(codes, sequences.scaler_stats(sequences.encoded(rows, codes)))
+    n = encoders.num_classes
+    model = models.train_sequence_model(dataset, hidden=8, iterations=5, classes=n)
+    bundles.publish(spark, f"file://{tmp_path}/m", bundles.Bundle("perceptron", encoders, model))
+    loaded = bundles.load(spark, f"file://{tmp_path}/m").model
     assert sorted(models.predictions(model, dataset).collect()) == sorted(models.predictions(loaded, dataset).collect())
-    n = classes.where("kind = 'pitch_type'").count()
     weights = scoring.train_readout(dataset, n, hidden=8, iterations=5)
     scoring.save_weights(weights, f"file://{tmp_path}/w/weights.npz")
     again = scoring.load_weights(f"file://{tmp_path}/w/weights.npz")
