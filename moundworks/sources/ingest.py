@@ -103,28 +103,6 @@ def landed_years(spark: SparkSession, path: str) -> set[int]:
     return {r[0] for r in table.select("game_year").distinct().collect()}  # a row per year
 
 
-def land_years(spark: SparkSession, files: dict[int, list[str]], path: str) -> DataFrame:
-    """Append the years that have not landed; a year whose files fail is reported and does not stop the rest.
-
-    Returns game_year, status ('landed', 'skipped', 'empty' or the error).
-    """
-    rows, done = [], landed_years(spark, path)
-    for year, paths in sorted(files.items()):
-        if year in done:
-            rows.append((year, "skipped"))
-            continue
-        try:
-            new = season_window(read_csvs(spark, paths)).where(F.col("game_year") == year)
-            if new.isEmpty():
-                rows.append((year, "empty"))
-                continue
-            write_table(new, path, "append")
-            rows.append((year, "landed"))
-        except Exception as error:
-            rows.append((year, str(error).splitlines()[0][:200]))
-    return spark.createDataFrame(rows, "game_year int, status string")
-
-
 def table_stats(table: DataFrame) -> DataFrame:
     """Rows, games and pitchers per year."""
     return table.groupBy("game_year").agg(F.count("*").alias("n"), F.countDistinct("game_pk").alias("games"), F.countDistinct("pitcher").alias("pitchers"))

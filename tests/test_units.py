@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from moundworks.functions import constants as C
 from moundworks.operators import arsenal, bundles, charts, clean, kinematics, lookup, models, outcomes, scoring, sequences
 from moundworks.plans import report
-from moundworks.sources import fixtures, ingest
+from moundworks.sources import fixtures, ingest, landing
 from moundworks.streaming.landing import land_stream
 
 DATA = "/root/testdata/sf0.001"
@@ -164,9 +164,9 @@ def test_drifting_csvs(spark, tmp_path):
     assert rows[1, 1]["release_speed"] == 90.5 and rows[2, 1]["pitcher"] == 6 and rows[2, 1]["launch_speed"] is None and rows[2, 1]["extra"] == "x"
     table = str(tmp_path / "table")
     plan = {2021: [files[0]], 2022: [files[1]], 2023: [files[2]], 2024: [str(tmp_path / "none.csv")]}
-    first = {r["game_year"]: r["status"] for r in ingest.land_years(spark, plan, table).collect()}
+    first = {r["game_year"]: r["status"] for r in landing.land_years(spark, plan, table).collect()}
     assert (first[2021], first[2022], first[2023]) == ("landed", "landed", "empty") and "none.csv" in first[2024]
-    assert {r["game_year"]: r["status"] for r in ingest.land_years(spark, {2021: [files[0]]}, table).collect()} == {2021: "skipped"}
+    assert {r["game_year"]: r["status"] for r in landing.land_years(spark, {2021: [files[0]]}, table).collect()} == {2021: "skipped"}
     assert {r["game_year"]: r["n"] for r in ingest.table_stats(spark.read.parquet(table)).collect()} == {2021: 1, 2022: 1}
     with pytest.raises(FileNotFoundError):
         ingest.read_csvs(spark, [])
@@ -245,7 +245,7 @@ def test_a_table_that_cannot_be_read_stops_the_landing(spark, tmp_path):
     (tmp_path / "table").mkdir()
     (tmp_path / "table" / "part-0.parquet").write_text("not a table")
     with pytest.raises(Exception, match="parquet|CANNOT_READ"):
-        ingest.land_years(spark, {2021: [str(tmp_path / "a.csv")]}, str(tmp_path / "table"))
+        landing.land_years(spark, {2021: [str(tmp_path / "a.csv")]}, str(tmp_path / "table"))
 
 
 def test_rates_by_hand(spark):
