@@ -244,8 +244,9 @@ FROM (SELECT q.request_id, any_value(r.key_mlbam) AS key_mlbam, count(a.pitcher)
 def request_status(w: World) -> DataFrame:
     resolved = report.resolve(w["matchup_requests"], w["players"], fixtures.AS_OF)
     resolved = materialise(resolved, "resolved")
-    sums = cube.window_sums(cube.running(cube.daily(w["pitches"])), lookup.windows(resolved))
-    return lookup.request_status(w["matchup_requests"], resolved, cube.window_counts(sums))
+    windows = lookup.windows(resolved)
+    sums = cube.window_sums(cube.daily_counts(cube.near_windows(w["pitches"], windows)), windows, (cube.REST,))
+    return lookup.request_status(w["matchup_requests"], resolved, sums.drop("pitch_type"))
 
 
 # Joins
@@ -327,7 +328,8 @@ def report_json(w: World) -> DataFrame:
 def location_sample_by_request(w: World) -> DataFrame:
     """The sample of every request's window, from dyadic blocks of days."""
     resolved = materialise(report.resolve(w["matchup_requests"], w["players"], fixtures.AS_OF), "resolved")
-    found = cube.window_samples(clean_rows(w), lookup.windows(resolved), (*KEY, "pitch_type", "plate_x", "plate_z"))
+    windows = materialise(lookup.windows(resolved), "windows")
+    found = cube.window_samples(cube.near_windows(clean_rows(w), windows), windows, (*KEY, "pitch_type", "plate_x", "plate_z"))
     return found.join(resolved.select("request_id", lookup.window_key().alias("window")), "window").select("request_id", *KEY, "pitch_type", "plate_x", "plate_z")
 
 

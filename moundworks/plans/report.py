@@ -28,11 +28,10 @@ def report(pitches: DataFrame, requests: DataFrame, players: DataFrame, as_of: s
     no window is joined with its pitches.  days: a stored table of ``cube.daily``, else it is made from the pitches.
     """
     resolved = materialise(resolve(requests, players, as_of), "resolved")
-    windows = lookup.windows(resolved)
-    asked = windows.select("pitcher").distinct()
-    wanted = pitches.select("pitcher", "game_date", *COLUMNS).join(asked, "pitcher", "left_semi")
-    days = cube.daily(wanted) if days is None else cube.merged(days.join(asked, "pitcher", "left_semi"))
-    sums = materialise(cube.window_sums(materialise(cube.running(days), "totals"), windows), "sums")
+    windows = materialise(lookup.windows(resolved), "windows")
+    wanted = materialise(cube.near_windows(pitches.select("pitcher", "game_date", *COLUMNS), windows), "wanted")  # each pitch once, if at all
+    days = cube.daily(wanted) if days is None else cube.merged(cube.near_windows(days, windows))
+    sums = materialise(cube.window_sums(days, windows), "sums")
     status = lookup.request_status(requests, resolved, cube.window_counts(sums))
     stats = [c for c in arsenal.MEASURES]
     entry = F.struct("pitch_type", F.struct(F.struct("count", "percentage", *stats).alias("stats")).alias("entry"))

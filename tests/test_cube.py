@@ -39,8 +39,10 @@ def rounded(rows):
 def test_sums_equal_those_of_joined_rows(spark, pitches):
     windows = windows_of(spark, 150, 1)
     joined = lookup.pitches_in_windows(pitches, windows).withColumn("clean", clean.is_valid()).cache()
-    sums = cube.window_sums(cube.running(cube.daily(pitches)), windows).cache()
+    sums = cube.window_sums(cube.daily(pitches), windows).cache()
     assert rounded(cube.window_counts(sums).collect()) == rounded(lookup.window_counts(joined).collect())
+    counts = cube.window_sums(cube.daily_counts(cube.near_windows(pitches, windows)), windows, (cube.REST,)).drop("pitch_type")
+    assert rounded(counts.collect()) == rounded(lookup.window_counts(joined).collect())
     measured = joined.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("release_pos_x", "release_pos_z", "release_extension")})
     got, want = cube.window_arsenal(sums), arsenal.arsenal(measured.where("clean"), "window")
     assert got.columns == want.columns and want.count() > 50
@@ -51,7 +53,7 @@ def test_days_landed_in_parts_add_up(spark, pitches):
     windows = windows_of(spark, 40, 2)
     parts = [cube.daily(pitches.where(f"pmod(pitch_number, 3) = {k}")) for k in range(3)]
     whole = cube.merged(parts[0].unionByName(parts[1]).unionByName(parts[2]))
-    found = [rounded(tuple(map(str, r)) for r in cube.window_arsenal(cube.window_sums(cube.running(d), windows)).collect()) for d in (whole, cube.daily(pitches))]
+    found = [rounded(tuple(map(str, r)) for r in cube.window_arsenal(cube.window_sums(d, windows)).collect()) for d in (whole, cube.daily(pitches))]
     assert found[0] == found[1] != []
 
 
@@ -69,9 +71,12 @@ def test_blocks_make_up_their_days(spark):
         start = DAY(1990, 1, 1) + datetime.timedelta(days=rng.randrange(20000))
         rows.append((k, start, start + datetime.timedelta(days=rng.choice([-1, 0, 1, 6, rng.randrange(4000)]))))
     frame = spark.createDataFrame(rows, "k int, s date, e date")
-    for r in frame.select("s", "e", cube.day_number(F.col("s")).alias("a"), cube.day_number(F.col("e")).alias("b"), cube.blocks(F.col("s"), F.col("e")).alias("blocks")).collect():
+    found = {}
+    for k, day in frame.select("k", F.explode(cube.blocks("s", "e")).alias("b")).select("k", F.explode(cube.days_of("b"))).collect():
+        found.setdefault(k, []).append(day.toordinal() - 1)
+    for r in frame.select("k", "s", "e", F.expr(cube.day_number("s")).alias("a"), F.expr(cube.day_number("e")).alias("b"), cube.blocks("s", "e").alias("blocks")).collect():
         days = [d for x in r["blocks"] or [] for d in range(x["block"] << x["level"], (x["block"] + 1) << x["level"])]
-        assert sorted(days) == list(range(r["a"], r["b"] + 1))
+        assert sorted(days) == list(range(r["a"], r["b"] + 1)) == sorted(found.get(r["k"], []))
         assert len(r["blocks"] or []) <= 2 * max(1, (r["b"] - r["a"] + 1).bit_length())
 
 
@@ -81,15 +86,16 @@ def test_work_does_not_grow_with_windows(spark, pitches):
     rng = random.Random(9)
     starts = [DAY(2022, 11, 1) + datetime.timedelta(days=rng.randrange(150)) for _ in range(10_000)]
     windows = spark.createDataFrame([(f"w{k}", 1, s, s + datetime.timedelta(days=rng.randrange(150))) for k, s in enumerate(starts)], "window string, pitcher long, start_date date, end_date date").cache()
-    totals = cube.running(cube.daily(one))
-    days, types = 301, totals.select("pitch_type").distinct().count()
+    whole = cube.daily(one).cache()
+    days, types = 301, len(cube.TYPES)
     asked = windows.select("pitcher", F.col("end_date").alias("day")).unionByName(windows.select("pitcher", F.date_sub("start_date", 1).alias("day")))
-    assert cube.as_of(totals, asked).count() <= days * types
-    used = windows.select("pitcher", F.explode(cube.blocks(F.col("start_date"), F.col("end_date"))).alias("b")).select("pitcher", "b.level", "b.block").distinct()
-    assert cube.placed(one, used, charts.KEY).count() <= 9 * one.count()  # blocks of 1 to 256 days, however many windows
-    assert cube.window_counts(cube.window_sums(totals, windows)).count() > 5000
+    assert cube.as_of(whole, asked).count() <= days * types
+    used = cube.cut_windows(one, windows).select("pitcher", "b").distinct()
+    assert cube.placed(one, used, charts.KEY).count() <= 8 * one.count()  # blocks of 1 to 128 days, however many windows
+    assert used.select(F.explode(cube.days_of("b"))).count() <= 8 * 130
+    assert cube.window_counts(cube.window_sums(whole, windows)).count() > 5000
     joined = lookup.pitches_in_windows(one, windows).groupBy("window").count()
-    got = {r["window"]: r["n_rows"] for r in cube.window_counts(cube.window_sums(totals, windows)).collect()}
+    got = {r["window"]: r["n_rows"] for r in cube.window_counts(cube.window_sums(whole, windows)).collect()}
     assert got == {r["window"]: r["count"] for r in joined.collect()}
 
 
