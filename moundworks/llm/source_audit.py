@@ -53,8 +53,8 @@ def pieces(text: bytes, most: int) -> Iterator[bytes]:
     """A text, cut at white space where it is longer than so many bytes."""
     start = 0
     while len(text) - start > most:
-        end = max(text.rfind(c, start, start + most) for c in (b" ", b"\n"))
-        if end < start:  # a very long chunk: up to the next white space
+        end = max(text.rfind(c, start + 1, start + most) for c in (b" ", b"\n"))
+        if end < 0:  # a very long chunk: up to the next white space
             found = [p for p in (text.find(c, start + most) for c in (b" ", b"\n")) if p >= 0]
             if not found:
                 break
