@@ -119,6 +119,14 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (d * d).sum(axis=-1)
 
 
+VAST = 2.0**500  # distances from here on are infinite as upper bounds and this as lower ones
+
+
+def at_least(x: np.ndarray) -> np.ndarray:
+    """Lower bounds of square roots."""
+    return np.minimum(roots(x), VAST) * (1 - SLOP)
+
+
 def roots(x: np.ndarray) -> np.ndarray:
     return np.array([math.sqrt(v) if v < 1 << 1000 else math.inf for v in x.ravel()]).reshape(x.shape) if x.dtype == object else np.sqrt(x.astype(float))
 
@@ -131,7 +139,7 @@ class Centres:
     moved: np.ndarray
 
     def __post_init__(self) -> None:
-        apart = roots(np.array([[int(squared(a, b)) for b in self.values] for a in self.values], object).reshape(len(self.values), -1))
+        apart = at_least(np.array([[int(squared(a, b)) for b in self.values] for a in self.values], object).reshape(len(self.values), -1))
         self.near = np.argsort(apart, axis=1, kind="stable")
         self.near = np.array([[i, *[j for j in row if j != i]] for i, row in enumerate(self.near)]).reshape(apart.shape)  # itself first
         self.apart = np.take_along_axis(apart, self.near, axis=1)
@@ -155,11 +163,11 @@ def search(x: np.ndarray, centres: Centres, bounds: tuple[np.ndarray, ...] | Non
         own, second = bounds[0].copy(), bounds[1].copy()
         upper = (bounds[2] + centres.moved[own]) * (1 + SLOP)
         lower = (bounds[3] - centres.others_moved(own)) * (1 - SLOP) - SLOP
-        clear = np.maximum(lower, centres.half[own] * (1 - SLOP))
-        open_ = np.flatnonzero(upper >= clear)
+        clear = np.fmax(lower, centres.half[own])
+        open_ = np.flatnonzero(~(upper < clear))
         exact = roots(squared(x[open_], centres.values[own[open_]])) * (1 + SLOP)
         upper[open_] = exact
-        open_ = open_[exact >= clear[open_]]
+        open_ = open_[~(exact < clear[open_])]
     if k == 1:
         lower[:] = np.inf
         return own, second, np.zeros(n), lower
@@ -187,7 +195,7 @@ def search(x: np.ndarray, centres: Centres, bounds: tuple[np.ndarray, ...] | Non
             best[up], best_d[up] = c[first], d[first]
             other[rows[then]], other_d[rows[then]] = c[then], d[then]
         own[open_], second[open_] = best, other
-        upper[open_], lower[open_] = roots(best_d) * (1 + SLOP), roots(other_d) * (1 - SLOP)
+        upper[open_], lower[open_] = roots(best_d) * (1 + SLOP), at_least(other_d)
     return own, second, upper, lower
 
 
