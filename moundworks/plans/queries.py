@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from moundworks.functions import constants as C
 from moundworks.functions import expressions as E
 from moundworks.functions.expressions import rounded
-from moundworks.operators import arsenal, bundles, charts, clean, cube, kinematics, lookup, models, outcomes, recurrent, scoring, sequences
+from moundworks.operators import arsenal, backoff, bundles, charts, clean, cube, kinematics, lookup, models, outcomes, recurrent, scoring, sequences
 from moundworks.plans import report
 from moundworks.sources import fixtures, ingest, landing
 from moundworks.sources.shared import materialise, shared_base, shared_folder
@@ -573,6 +573,46 @@ def train_context_model(w: World) -> DataFrame:
     return models.class_probabilities(model, contexts).select(*models.CONTEXT, "probabilities")
 
 
+_OTHERS = "sum(n) OVER (PARTITION BY {keys}) - sum(n) OVER (PARTITION BY {keys}, fold)"
+_NESTED = {"league": "1", "pitcher": "pitcher", "cell": "pitcher, stand, balls, strikes"}
+_FOLDED = f"""SELECT pitcher, stand, balls, strikes, coalesce(game_pk % {backoff.FOLDS}, 0) AS fold, pitch_type, count(*) AS n FROM pitches
+    WHERE pitch_type IS NOT NULL GROUP BY ALL"""
+_SHARE = "1e0 / kinds"
+for _level, _weight_of in zip(_NESTED, backoff.WEIGHTS):
+    _SHARE = f"(({_level}_type + {_weight_of}e0 * {_SHARE}) / ({_level}_all + {_weight_of}e0))"
+
+
+@query("context_backoff", f"""SELECT pitcher, stand, balls, strikes, CAST(fold AS INTEGER) AS fold, pitch_type, n, {rounded(_SHARE, 6)} AS probability FROM (
+  SELECT *, (SELECT count(DISTINCT pitch_type) FROM pitches) AS kinds,
+    {", ".join(f"{_OTHERS.format(keys=k + ', pitch_type')} AS {a}_type, {_OTHERS.format(keys=k)} AS {a}_all" for a, k in _NESTED.items())}
+  FROM ({_FOLDED}))""", "pitches")
+def context_backoff(w: World) -> DataFrame:
+    """What each fold of games holds by context, with the probability that the other folds give it."""
+    rows = w["pitches"]
+    classes = backoff.pitch_classes(rows)
+    shares = backoff.out_of_fold(materialise(backoff.class_counts(rows, classes), "class-counts"), classes)
+    return backoff.observed(shares, classes).withColumn("probability", F.expr(rounded("probability", 6)))
+
+
+@query("train_backoff_model")
+def train_backoff_model(w: World) -> DataFrame:
+    """Mean negative log-likelihood of held-out games' pitch types, for the 63 pitchers that a forest over pitchers tells
+    apart and for all others: by that forest, by a forest over shares, and by the shares alone."""
+    rows = materialise(w["pitches"].where("pitch_type IS NOT NULL").select("game_pk", "pitch_type", *models.CONTEXT), "rows")
+    held = F.pmod(F.xxhash64("game_pk"), F.lit(10)) == 0
+    learned, classes = rows.where(~held), backoff.pitch_classes(rows.where(~held))
+    if not classes:
+        return rows.sparkSession.createDataFrame([], "pitchers string, n long, class_loss double, forest_loss double, share_loss double")
+    counts = materialise(backoff.class_counts(learned, classes), "class-counts")
+    forest = backoff.train_forest(materialise(backoff.with_out_of_fold(learned, counts, classes), "shares"), classes)
+    by_class = models.train_context_model(learned)
+    judged = backoff.with_shares(rows.where(held & F.col("pitch_type").isin(classes)), counts, classes)
+    judged = models.class_probabilities(by_class, backoff.forest_probabilities(forest, judged).withColumnRenamed("probabilities", "by_forest"))
+    group = F.when(F.col("pitcher_class") == models.OTHER, "rare").otherwise("frequent").alias("pitchers")
+    losses = {"class_loss": "probabilities", "forest_loss": "by_forest", "share_loss": "shares"}
+    return judged.groupBy(group).agg(F.count("*").alias("n"), *[F.avg(backoff.log_loss(classes, c)).alias(k) for k, c in losses.items()])
+
+
 @query("save_model")
 def save_model(w: World) -> DataFrame:
     """Predictions of a model that was trained, published with its encoders and loaded again."""
