@@ -30,6 +30,9 @@ CELL = ("pitcher", "stand", "balls", "strikes")
 FOLDS = 5
 #: Weights of the priors of league, pitcher and cell, in pitches.
 WEIGHTS = (1.0, 50.0, 20.0)
+#: Weights to choose from.
+GRID = (5.0, 20.0, 100.0, 500.0, 2_500.0, 12_500.0)
+LEVELS = ("league", "pitcher", "cell")
 LEAST = 1e-12
 
 
@@ -69,25 +72,58 @@ def _level(counts: DataFrame, keys: tuple[str, ...], size: int, name: str, folde
     return sums.select(*held, *[(F.sum(f"{name}_{k}").over(over) - F.col(f"{name}_{k}")).alias(f"{name}_{k}") for k in range(size)])
 
 
-def _with_shares(asked: DataFrame, counts: DataFrame, size: int, weights: tuple[float, float, float], folded: bool) -> DataFrame:
-    """asked, whose columns are CELL (and fold) at least, with p_0, p_1, ..."""
-    if min(weights) <= 0:
-        raise ValueError("a prior needs a weight above 0")
+def _with_counts(asked: DataFrame, counts: DataFrame, size: int, folded: bool) -> DataFrame:
+    """asked, whose columns are CELL (and fold) at least, with each level's counts by class."""
     own = ("fold",) if folded else ()
-    league = _level(counts, (), size, "league", folded)
-    asked = matched(asked, F.broadcast(league), own) if folded else asked.crossJoin(F.broadcast(league))  # a row per fold, or one row
+    league = F.broadcast(_level(counts, (), size, "league", folded))  # a row per fold, or one row
+    asked = matched(asked, league, own) if folded else asked.crossJoin(league)
     asked = matched(asked, _level(counts, CELL[:1], size, "pitcher", folded), (*CELL[:1], *own))
     asked = matched(asked, _level(counts, CELL, size, "cell", folded), (*CELL, *own))
+    return asked.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("double") for level in LEVELS for c in _names(level, size)})
+
+
+def _names(level: str, size: int) -> list[str]:
+    return [f"{level}_{k}" for k in range(size)]
+
+
+def _total(level: str, size: int) -> Column:
+    return reduce(Column.__add__, map(F.col, _names(level, size)))
+
+
+def _with_shares(asked: DataFrame, counts: DataFrame, size: int, weights: tuple[float, float, float], folded: bool) -> DataFrame:
+    """asked with p_0, p_1, ..."""
+    if min(weights) <= 0:
+        raise ValueError("a prior needs a weight above 0")
+    asked, made = _with_counts(asked, counts, size, folded), []
     share: list[Column] = [F.lit(1.0 / size)] * size
-    for level, weight in zip(("league", "pitcher", "cell"), weights):
-        n = [F.coalesce(F.col(f"{level}_{k}"), F.lit(0)).cast("double") for k in range(size)]
-        total = reduce(Column.__add__, n)
-        asked = asked.withColumns({f"{level}_share_{k}": (n[k] + weight * share[k]) / (total + weight) for k in range(size)})
+    for level, weight in zip(LEVELS, weights):
+        total = _total(level, size)
+        asked = asked.withColumns({f"{level}_share_{k}": (F.col(c) + weight * share[k]) / (total + weight) for k, c in enumerate(_names(level, size))})
         share = [F.col(f"{level}_share_{k}") for k in range(size)]
-    made = {f"{level}_{part}{k}" for level in ("league", "pitcher", "cell") for part in ("", "share_") for k in range(size)}
+        made += [*_names(level, size), *_names(f"{level}_share", size)]
     return asked.withColumns({f"p_{k}": share[k] for k in range(size)}).drop(*made)
 
 
+def fit_weights(counts: DataFrame, classes: list[str], grid: tuple[float, ...] = GRID) -> tuple[float, float, float]:
+    """The weights of pitcher and cell, from the grid, under which folds are likeliest given the others; the league's is WEIGHTS'.
+
+    One pass over the folds' observed classes sums the log-likelihood of every pair.  Equal ones go to the heavier prior,
+    and without rows the heaviest is taken.
+    """
+    size, heavy = len(classes), max(grid)
+    pairs = sorted(((p, c) for p in grid for c in grid), reverse=True)
+    if not size:
+        return (WEIGHTS[0], heavy, heavy)
+    seen = F.array(*[F.struct(F.col(f"n_{k}").alias("n"), *[F.col(f"{level}_{k}").alias(level) for level in LEVELS]) for k in range(size)])
+    each = _with_counts(counts, counts, size, True).select(*[_total(level, size).alias(f"{level}_all") for level in LEVELS], F.explode(seen).alias("of")).where("of.n > 0")
+    league = (F.col("of.league") + WEIGHTS[0] / size) / (F.col("league_all") + WEIGHTS[0])
+    pitcher = lambda p: (F.col("of.pitcher") + p * league) / (F.col("pitcher_all") + p)
+    likely = [F.sum(F.col("of.n") * F.log((F.col("of.cell") + c * pitcher(p)) / (F.col("cell_all") + c))) for p, c in pairs]
+    sums = each.agg(F.array(*likely).alias("likely")).first()["likely"]
+    best = max(range(len(pairs)), key=lambda k: (sums[k] if sums[k] is not None else 0.0, -k))
+    return (WEIGHTS[0], *pairs[best])
+
+
 def out_of_fold(counts: DataFrame, classes: list[str], weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """CELL, fold, n (array by class: the fold's own rows) and shares (array by class, from the other folds)."""
     size = len(classes)

@@ -604,9 +604,10 @@ def train_backoff_model(w: World) -> DataFrame:
     if not classes:
         return rows.sparkSession.createDataFrame([], "pitchers string, n long, class_loss double, forest_loss double, share_loss double")
     counts = materialise(backoff.class_counts(learned, classes), "class-counts")
-    forest = backoff.train_forest(materialise(backoff.with_out_of_fold(learned, counts, classes), "shares"), classes)
+    weights = backoff.fit_weights(counts, classes)
+    forest = backoff.train_forest(materialise(backoff.with_out_of_fold(learned, counts, classes, weights), "shares"), classes)
     by_class = models.train_context_model(learned)
-    judged = backoff.with_shares(rows.where(held & F.col("pitch_type").isin(classes)), counts, classes)
+    judged = backoff.with_shares(rows.where(held & F.col("pitch_type").isin(classes)), counts, classes, weights)
     judged = models.class_probabilities(by_class, backoff.forest_probabilities(forest, judged).withColumnRenamed("probabilities", "by_forest"))
     group = F.when(F.col("pitcher_class") == models.OTHER, "rare").otherwise("frequent").alias("pitchers")
     losses = {"class_loss": "probabilities", "forest_loss": "by_forest", "share_loss": "shares"}

@@ -87,6 +87,24 @@ def test_counts_are_added(spark):
     assert sorted(map(str, backoff.out_of_fold(added, classes).collect())) == sorted(map(str, whole.collect()))
 
 
+def test_weights_are_those_of_the_highest_likelihood(spark):
+    rows = some_rows(300)
+    df = spark.createDataFrame(rows, ROW)
+    classes, grid = backoff.pitch_classes(df), (2.0, 30.0, 900.0)
+
+    def likelihood(weights):
+        found = 0.0
+        for f in range(backoff.FOLDS):
+            others = [r for r in rows if fold_of(r) != f]
+            shares = {cell: plain_shares(others, classes, cell, weights) for cell in {r[1:5] for r in rows}}
+            found += sum(math.log(shares[r[1:5]][classes.index(r[7])]) for r in rows if fold_of(r) == f and r[7])
+        return found
+
+    want = max(((backoff.WEIGHTS[0], p, c) for p in grid for c in grid), key=likelihood)
+    assert backoff.fit_weights(backoff.class_counts(df, classes), classes, grid) == want
+    assert backoff.fit_weights(backoff.class_counts(df.limit(0), classes), classes, grid) == (backoff.WEIGHTS[0], 900.0, 900.0)
+
+
 def test_a_pitcher_outside_the_frequent_ones_is_known_by_what_they_throw(spark):
     """63 pitchers with 600 pitches and 6 with 500, who each throw two types of their own nine times in ten."""
     types = ["CH", "CU", "FC", "FF", "SI", "SL"]
