@@ -27,11 +27,11 @@ def date_window(requests: DataFrame, as_of: str, days: int = 365) -> DataFrame:
     return requests.withColumn("end_date", end).withColumn("start_date", F.coalesce("start_date", F.date_sub("end_date", days)))
 
 
-def training_rows(pitches: DataFrame, floor: str = TRAINING_FLOOR) -> DataFrame:
-    """Rows that sequences are made of: on or after the floor, with type, speed and plate_x."""
+def training_rows(pitches: DataFrame, floor: str = TRAINING_FLOOR, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that sequences are made of: on or after the floor, with type, speed and plate_x; keep: more columns to pass on."""
     columns = ("game_pk", "at_bat_number", "pitch_number", "pitcher", "pitch_type", "release_speed", "plate_x", "plate_z", "balls", "strikes", "stand")
     rows = pitches.where((F.col("game_date") >= F.to_date(F.lit(floor))) & F.col("pitch_type").isNotNull())
-    return rows.na.drop(subset=["release_speed", "plate_x"]).select(*columns)
+    return rows.na.drop(subset=["release_speed", "plate_x"]).select(*columns, *keep)
 
 
 def min_sample_guard(clean: DataFrame, key: str = "pitcher", least: int = MIN_PITCHES) -> DataFrame:

@@ -29,6 +29,11 @@ def label_codes(rows: DataFrame) -> DataFrame:
     """kind, value, code: alphabetical dense codes of pitch types and batter sides; a null side comes last."""
     values = rows.select(F.lit("pitch_type").alias("kind"), F.col("pitch_type").alias("value")).distinct()
     values = values.unionByName(rows.select(F.lit("stand").alias("kind"), F.col("stand").alias("value")).distinct())
+    return codes_of(values)
+
+
+def codes_of(values: DataFrame) -> DataFrame:
+    """kind, value (distinct) with their codes."""
     code = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("value").asc_nulls_last())) - 1  # a row per class
     return values.withColumn("code", code.cast("int"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from moundworks.functions import constants as C
 from moundworks.functions import expressions as E
 from moundworks.functions.expressions import rounded
-from moundworks.operators import arsenal, backoff, bundles, charts, clean, cube, kinematics, lookup, models, outcomes, recurrent, scoring, sequences
+from moundworks.operators import arsenal, backoff, bundles, charts, clean, cube, kinematics, lookup, models, outcomes, recurrent, scoring, sequences, states
 from moundworks.plans import report
 from moundworks.sources import fixtures, ingest, landing
 from moundworks.sources.shared import materialise, shared_base, shared_folder
@@ -685,6 +685,45 @@ def predict_context(w: World) -> DataFrame:
     return scoring.predict_contexts(w["contexts"], bundle.model, bundle.encoders.codes(spark), bundle.encoders.stats(spark), types)
 
 
+# Stored states
+
+
+def landed(w: World, *kinds: str) -> str:
+    """The pitches landed a year at a time, with states of these kinds that were brought up to date after each."""
+    spark, rows = w["pitches"].sparkSession, w["pitches"].withColumn("game_year", F.year("game_date"))
+    table = f"{shared_folder(spark, 'states')}/table"
+    for year in _YEARS:
+        landing.land(rows.where(F.col("game_year") == year), table, f"year-{year}")
+        states.refresh(spark, table, kinds)
+    return table
+
+
+@query("scaler_stats_from_states")
+def scaler_stats_from_states(w: World) -> DataFrame:
+    spark, table = w["pitches"].sparkSession, landed(w, "moments", "classes")
+    found = states.scaler_stats(states.read(spark, table, "moments"), states.read(spark, table, "classes"))
+    return found.select(*[F.expr(rounded(n, 6)).alias(n) for n in _STAT_NAMES])
+
+
+@query("label_codes_from_states")
+def label_codes_from_states(w: World) -> DataFrame:
+    return states.label_codes(states.read(w["pitches"].sparkSession, landed(w, "classes"), "classes"))
+
+
+@query("run_value_totals_from_states")
+def run_value_totals_from_states(w: World) -> DataFrame:
+    return states.run_value_totals(states.read(w["pitches"].sparkSession, landed(w, "run_values"), "run_values"))
+
+
+@query("table_stats_from_states")
+def table_stats_from_states(w: World) -> DataFrame:
+    return states.table_stats(w["pitches"].sparkSession, landed(w, "bitmaps")).withColumn("game_year", F.col("game_year").cast("long"))
+
+
+for _name in ("scaler_stats", "label_codes", "run_value_totals", "table_stats"):
+    ORACLES[f"{_name}_from_states"] = ORACLES[_name]  # the same rows, from what is stored
+
+
 @query("rule_based_predictions", "SELECT pitcher, batter_stand, balls, strikes, r.* FROM contexts, (VALUES (1, 'FF', 50e0), (2, 'SL', 30e0)) AS r(rank, pitch_type, percent)", "contexts")
 def rule_based_predictions(w: World) -> DataFrame:
     return scoring.rule_based(w["contexts"])

@@ -69,14 +69,20 @@ def land(new: DataFrame, path: str, unit: str) -> int | None:
     return manifest(spark, path).where((F.col("unit") == unit) & (F.col("landing") == landing)).agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
 
 
-def read_table(spark: SparkSession, path: str, years: tuple[int, ...] | None = None) -> DataFrame:
-    """The table of what has been published, with game_year: exactly the files of the manifest, of all or some years."""
+def read_table(spark: SparkSession, path: str, years: tuple[int, ...] | None = None, landings: tuple[str, ...] | None = None) -> DataFrame:
+    """The table of what has been published, with game_year: exactly the files of the manifest, of all or some years.
+
+    landings: read these alone, and say in ``landing`` which one a row is of.
+    """
     rows = manifest(spark, path)
     rows = rows if years is None else rows.where(F.col("game_year").isin(*years))
+    rows = rows if landings is None else rows.where(F.col("landing").isin(*landings))
     files = [f"{path}/{r['file']}" for r in rows.select(F.explode("files.file").alias("file")).collect()]  # what a scan's driver lists anyway
     if not files:
-        return spark.createDataFrame([], T.StructType([*SCHEMA.fields, T.StructField("game_year", T.IntegerType())]))
-    return spark.read.option("mergeSchema", True).option("basePath", path).parquet(*files).drop("landing")
+        last = [T.StructField("game_year", T.IntegerType()), *([] if landings is None else [T.StructField("landing", T.StringType())])]
+        return spark.createDataFrame([], T.StructType([*SCHEMA.fields, *last]))
+    found = spark.read.option("mergeSchema", True).option("basePath", path).parquet(*files)
+    return found.drop("landing") if landings is None else found.withColumn("landing", F.col("landing").cast("string"))
 
 
 def unlisted(spark: SparkSession, path: str) -> list[str]:
