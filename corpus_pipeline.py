@@ -5,7 +5,8 @@ to the shared folder as Parquet and read again, so a lost executor repeats tasks
 deleted once the next stage's are written.
 
 Defined cases, for every stage: an empty table gives no rows; repeated rows are judged one by one where nothing else is
-said; texts of any length are taken whole; documents may have more columns, whatever their names, and keep them.
+said; documents with equal ids are judged by their own texts; texts of any length are taken whole.  Documents may have more
+columns, whatever their names, and keep them as they are; only the last stage's own columns replace others of their names.
 """
 
 from __future__ import annotations
@@ -17,36 +18,50 @@ from moundworks.llm import decontamination, line_dedup, mixing, near_dup, qualit
 from moundworks.llm.common import discard, materialise, shared_dir, source_table
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a struct ``row`` of all other columns, out of reach of the columns that an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
+
+
+def together(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """What is left of ``apart(docs)``, with the columns of docs."""
+    return rows.select(*[F.col(c if c in ("doc_id", "text") else f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the web policy keeps; null, empty and blank texts have too few words and go."""
-    return quality_rules.ledger(docs).where(quality_rules.passes("web", 2)).select(*docs.columns)
+    return together(quality_rules.ledger(apart(docs)).where(quality_rules.passes("web", 2)), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document holds; n_chars follows the text.
+    """Documents without lines that an earlier document holds; n_chars, if there is one, follows the text.
 
     A null text stays null; rows without an id lose nothing; a text may end up empty.
     """
-    kept = line_dedup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = together(line_dedup.dedup_lines(apart(docs)), docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id.
 
-    Texts without words are like nothing; rows that repeat id and text become one; rows without an id stay only where no
-    document like them has one.
+    Texts without words are like nothing; rows that repeat id and text become one, the first by its other columns; rows
+    without an id stay only where no document like them has one.
     """
-    return near_dup.keep_one(docs).select(*docs.columns)
+    return together(near_dup.keep_one(apart(docs)), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage to speak of; texts without words hold none."""
-    return decontamination.drop_contaminated(docs, source_table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return together(decontamination.drop_contaminated(apart(docs), source_table(spark, sf_dir, "benchmark")), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order: a row per copy that the mix takes; texts without words are never taken, null sources come last."""
+    """The training order: a row per copy that the mix takes; texts without words are never taken, null sources come last.
+
+    Columns named size, source_size, target, copy, position or taken are replaced by the mix's own; one
+    named positions is dropped.
+    """
     return mixing.mix(docs)
 
 
