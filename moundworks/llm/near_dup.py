@@ -484,8 +484,14 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN reach r ON r.a = w.doc_id GROUP B
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id; exact repeats of a row's id and
-    text become one row, rows without an id stay where no linked document has an id."""
+    """docs with one document of each component: the one with the smallest id; rows that repeat an id and text become one, the
+    first by the JSON of their other columns; rows without an id stay where no linked document has an id."""
     found = jaccard_components(docs)
     keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    left = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not rest:
+        return left.distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    one = left.groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return one.select(*[F.col(c if c in ("doc_id", "text") else f"row.`{c}`").alias(c) for c in docs.columns])

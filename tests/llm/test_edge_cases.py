@@ -127,6 +127,23 @@ def test_stages_on_hard_rows(spark, tmp_path):
         assert [r[0] for r in rows] == ([20] if name == "hard" else [])
 
 
+def test_pipeline_keeps_columns_of_clashing_names(spark, tmp_path):
+    words = [" ".join(f"w{k}x{j}" for j in range(80)) + "\nthe same line in both texts\n" for k in range(2)]
+    names = [n for n in dict.fromkeys(CLASH) if n not in ("text", "doc_id")] + ["a.b"]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(words)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    docs = docs.unionByName(docs.where("doc_id = 0").withColumn("keys", F.lit("aaa")))  # repeats id and text, comes first
+    docs.where("false").select(F.lit(1).alias("item_id"), "text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage, run in corpus_pipeline.STAGES[:-1]:
+        found = run(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns, stage
+        kept = found.collect()
+        assert kept and all(r[n] == f"{n} {r['doc_id']}" or (n, r[n]) == ("keys", "aaa") for r in kept for n in names), stage
+        docs = spark.createDataFrame(kept, found.schema)
+    assert sorted((r["doc_id"], r["keys"]) for r in docs.collect()) == [(0, "aaa"), (1, "keys 1")]
+    assert set(corpus_pipeline.mix(spark, docs.drop("a.b"), str(tmp_path)).columns) >= set(docs.columns) - {"a.b", "positions"}
+
+
 def test_a_text_of_several_megabytes(spark):
     rng = random.Random(2)
     long = " ".join(f"{rng.randrange(10**7):07d}" for _ in range(400_000))
