@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from moundworks.functions import constants as C
 from moundworks.functions import expressions as E
 from moundworks.functions.expressions import rounded
-from moundworks.operators import arsenal, backoff, bundles, charts, clean, cube, kinematics, lookup, models, outcomes, recurrent, scoring, sequences, states
+from moundworks.operators import arsenal, backoff, bundles, charts, clean, cube, increments, kinematics, lookup, models, outcomes, recurrent, scoring, sequences, states
 from moundworks.plans import report
 from moundworks.sources import fixtures, ingest, landing
 from moundworks.sources.shared import materialise, shared_base, shared_folder
@@ -720,7 +720,21 @@ def table_stats_from_states(w: World) -> DataFrame:
     return states.table_stats(w["pitches"].sparkSession, landed(w, "bitmaps")).withColumn("game_year", F.col("game_year").cast("long"))
 
 
-for _name in ("scaler_stats", "label_codes", "run_value_totals", "table_stats"):
+@query("sequence_dataset_from_states")
+def sequence_dataset_from_states(w: World) -> DataFrame:
+    """The windows of years that landed and were windowed one by one, with encoders from the stored states."""
+    spark, rows = w["pitches"].sparkSession, w["pitches"].withColumn("game_year", F.year("game_date"))
+    table = f"{shared_folder(spark, 'increments')}/table"
+    for year in _YEARS:
+        landing.land(rows.where(F.col("game_year") == year), table, f"year-{year}")
+        increments.refresh(spark, table)
+    states.refresh(spark, table, ("moments", "classes"))
+    classes = states.read(spark, table, "classes")
+    found = increments.dataset(increments.windows(spark, table), states.label_codes(classes), states.scaler_stats(states.read(spark, table, "moments"), classes))
+    return found.select("idx", "label", *[F.expr(rounded(c, 6)).alias(c) for c in _SIX])
+
+
+for _name in ("scaler_stats", "label_codes", "run_value_totals", "table_stats", "sequence_dataset"):
     ORACLES[f"{_name}_from_states"] = ORACLES[_name]  # the same rows, from what is stored
 
 
