@@ -5,7 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from moundworks.plans.queries import QUERIES
+from moundworks.functions import expressions as E
+from moundworks.operators import kinematics
+from moundworks.plans.queries import QUERIES, clean_rows, in_inches
 from moundworks.sources import fixtures, shared
 
 DATA = "/root/testdata/sf0.001"
@@ -33,3 +35,14 @@ def test_results_do_not_depend_on_partitions(spark, monkeypatch, name):
     want = digest(QUERIES[name](spark, DATA))
     monkeypatch.setattr(shared, "ROWS", 300)
     assert digest(QUERIES[name](spark, DATA)) == want
+
+
+@pytest.mark.parametrize(("made", "shape"), [(kinematics.trajectory, E.FREE), (kinematics.trajectory_to_plate, E.TO_PLATE)])
+def test_points_are_those_of_the_sql_without_an_interpreted_loop(spark, made, shape):
+    rows = made(in_inches(clean_rows(fixtures.world(spark, DATA))), 7)
+    parts = ", ".join(f"'{k}', {v.format(**kinematics.NAMES, t='(i / 7e0 * flight)')}" for k, v in shape.items())
+    want = F.expr(f"transform(sequence(0, 7), i -> named_struct('i', i, {parts}))")
+    as_text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})  # noqa: E731  # -0.0 and 0.0 differ
+    assert rows.where(as_text("points") != as_text(want)).count() == 0 < rows.where(F.exists("points", lambda p: p.x.isNull())).count()
+    assert rows.where(F.size("points") == 8).count() == rows.count()
+    assert "lambda" not in rows.select("points")._jdf.queryExecution().optimizedPlan().toString()
