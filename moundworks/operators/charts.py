@@ -10,6 +10,7 @@ from moundworks.functions.constants import MAX_LOCATIONS, VALID_ARSENAL
 
 CELL, ORIGIN_X, ORIGIN_Z = 0.25, -1.75, 1.0
 SALTS = 16
+STEPS = 8  # of the sample's order while it grows e-fold
 KEY = ("game_pk", "at_bat_number", "pitch_number")
 #: A fixed pseudo-random order of pitches that every engine can compute.
 SAMPLE_ORDER = "((game_pk * 7919 + at_bat_number * 104729 + pitch_number * 1299709) % 1000003)"
@@ -42,8 +43,16 @@ def pitch_types(rows: DataFrame, key: str = "pitcher") -> DataFrame:
 
 
 def location_sample(rows: DataFrame, key: str = "pitcher", most: int = MAX_LOCATIONS) -> DataFrame:
-    """At most so many pitches per key in the fixed order; salts bound what one task sorts for a hot key."""
+    """At most so many pitches per key in the fixed order.
+
+    A first pass counts pitches per key and step of the order (steps grow with their distance from 0, so there are few), which
+    bounds the sample's last step; the second pass sorts the pitches up to that step alone, a little more than the sample.
+    """
     order = (F.expr(SAMPLE_ORDER), F.col("game_pk"), F.col("at_bat_number"), F.col("pitch_number"))
-    salted = rows.withColumn("_salt", F.pmod("game_pk", F.lit(SALTS)))
-    first = salted.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))).where(F.col("_r") <= most)
-    return first.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= most).drop("_r", "_salt")
+    stepped = rows.withColumn("_step", F.coalesce(F.signum(order[0]) * F.ceil(F.log1p(F.abs(order[0])) * STEPS), F.lit(float("-inf"))))  # nulls first
+    counts = stepped.groupBy(F.col(key).alias("_key"), F.col("_step").alias("_last")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_key").orderBy("_last").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")  # a row per step
+    last = counts.withColumn("_before", before).where(F.col("_before") < most).groupBy("_key").agg(F.max("_last").alias("_last"))
+    near = stepped.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_step") <= F.col("_last")))
+    first = near.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_r") <= most)
+    return first.drop("_r", "_step", "_key", "_last")

@@ -4,11 +4,12 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from moundworks.functions import expressions as E
-from moundworks.operators import kinematics
+from moundworks.operators import charts, kinematics
 from moundworks.plans.queries import QUERIES, clean_rows, in_inches
-from moundworks.sources import fixtures, shared
+from moundworks.sources import fixtures, ingest, shared
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -46,3 +47,27 @@ def test_points_are_those_of_the_sql_without_an_interpreted_loop(spark, made, sh
     assert rows.where(as_text("points") != as_text(want)).count() == 0 < rows.where(F.exists("points", lambda p: p.x.isNull())).count()
     assert rows.where(F.size("points") == 8).count() == rows.count()
     assert "lambda" not in rows.select("points")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_sample_sorts_little_more_than_it_keeps(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("k"), F.col("id").alias("game_pk"), (F.col("id") % 9).alias("at_bat_number"), F.lit(1).alias("pitch_number"))
+    rows = rows.withColumn("pitcher", F.when(F.col("k") > 0, 1)).withColumn("game_pk", F.when(F.col("k") < 2, F.col("game_pk")).otherwise(-F.col("game_pk")))
+    rows = rows.unionByName(rows.limit(5).withColumn("game_pk", F.lit(None).cast("long"))).cache()  # a hot key, a null one, no game, orders below 0
+    found = charts.location_sample(rows, most=500)
+    order = Window.partitionBy("pitcher").orderBy(F.expr(charts.SAMPLE_ORDER), "game_pk", "at_bat_number", "pitch_number")
+    want = rows.withColumn("_r", F.row_number().over(order)).where("_r <= 500").drop("_r")
+    assert found.count() == 1000 and digest(found) == digest(want)
+    assert "_salt" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_hot_pitcher_is_split_by_bytes_when_a_table_is_written(spark, tmp_path):
+    pitches = fixtures.world(spark, DATA)["pitches"].withColumns({"pitcher": F.lit(1).cast("long"), "game_pk": F.lit(8).cast("long")}).repartition(6)
+    was = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "60k")
+        ingest.write_table(pitches, f"file://{tmp_path}/t")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", was)
+    table = spark.read.parquet(f"file://{tmp_path}/t")
+    files = table.groupBy("game_year", F.input_file_name()).count()
+    assert table.count() == pitches.count() and files.groupBy("game_year").count().agg(F.min("count")).first()[0] > 1
