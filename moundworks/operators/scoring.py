@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -21,6 +22,7 @@ from moundworks.sources.shared import materialise
 CONTEXT_KEYS = ("pitcher", "batter_stand", "balls", "strikes")
 INPUTS = [f"{c}_{k}" for k in range(1, SEQUENCE + 1) for c in FEATURES]
 LAYERS, HIDDEN = 2, 128
+PIECE = 256  # windows scored at a time
 UNSEEN = -30.0  # bias of a class without a training row
 
 
@@ -28,6 +30,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def in_place_sigmoid(x: np.ndarray) -> None:
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
 def random_weights(inputs: int, hidden: int, classes: int, seed: int = 7) -> dict[str, np.ndarray]:
     """Untrained weights of the right shapes (names and gate order i, f, g, o as common exports have them)."""
     random = np.random.default_rng(seed)
@@ -40,23 +49,32 @@ def random_weights(inputs: int, hidden: int, classes: int, seed: int = 7) -> dic
 
 def last_states(x: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
     """The second layer's output after the last step of a batch (n, steps, features), from a zero start."""
-    steps = np.moveaxis(x, 1, 0)
+    steps = list(np.moveaxis(x, 1, 0))
     for k in range(LAYERS):
-        hidden = weights[f"weight_hh_l{k}"].shape[1]
-        h = c = np.zeros((x.shape[0], hidden), x.dtype)
-        out = []
-        for step in steps:
-            gates = step @ weights[f"weight_ih_l{k}"].T + weights[f"bias_ih_l{k}"] + h @ weights[f"weight_hh_l{k}"].T + weights[f"bias_hh_l{k}"]
+        w_in, w_hh, bias = weights[f"weight_ih_l{k}"].T, weights[f"weight_hh_l{k}"].T, weights[f"bias_ih_l{k}"] + weights[f"bias_hh_l{k}"]
+        hidden, out = len(w_hh), []
+        for number, step in enumerate(steps):
+            gates = step @ w_in
+            gates += bias
+            if number:
+                gates += out[-1] @ w_hh
             i, f, g, o = np.split(gates, 4, axis=1)
-            c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
-            h = sigmoid(o) * np.tanh(c)
+            for part in (gates[:, : 2 * hidden], o):
+                in_place_sigmoid(part)
+            np.tanh(g, out=g)
+            i *= g
+            c = f * c + i if number else i
+            h = np.tanh(c)
+            h *= o
             out.append(h)
-        steps = np.stack(out)
+        steps = out
     return steps[-1]
 
 
 def forward(x: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
-    """Class probabilities of a batch: two recurrent layers, last step, linear, softmax."""
+    """Class probabilities of a batch: two recurrent layers, last step, linear, softmax; in pieces that stay in a core's cache."""
+    if len(x) > PIECE:
+        return np.concatenate([forward(x[k : k + PIECE], weights) for k in range(0, len(x), PIECE)])
     logits = last_states(x, weights) @ weights["fc_weight"].T + weights["fc_bias"]
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -123,12 +141,15 @@ def lstm_score(rows: DataFrame, weights: dict[str, np.ndarray], *keys: str) -> D
     shared = rows.sparkSession.sparkContext.broadcast(narrow(weights))
     ready = windows_of(rows, *keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[list(keys)].assign(probabilities=list(forward(batches_of(batch), shared.value).astype(float)))
+            x = batch.column("window").flatten().to_numpy(zero_copy_only=False).reshape(-1, SEQUENCE, len(FEATURES))
+            found = forward(x, shared.value).astype(float)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * found.shape[1]), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], lists], names=[*keys, "probabilities"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ready.select(*keys).schema)
-    return ready.mapInPandas(run, f"{kept}, probabilities array<double>")
+    return ready.mapInArrow(run, f"{kept}, probabilities array<double>")
 
 
 def context_windows(contexts: DataFrame, codes: DataFrame, stats: DataFrame) -> DataFrame:
