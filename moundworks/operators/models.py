@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moundworks.functions.constants import FEATURES, SEQUENCE
+from moundworks.sources.shared import materialise
 
 INPUTS = [f"{c}_{k}" for k in range(1, SEQUENCE + 1) for c in FEATURES]
 CONTEXT = ("pitcher", "stand", "balls", "strikes", "outs_when_up", "inning")
@@ -56,15 +57,24 @@ def loss_history(spark: SparkSession, model: PipelineModel) -> DataFrame:
     return spark.createDataFrame([(k, float(x)) for k, x in enumerate(history)], "iteration int, loss double")
 
 
+def cases(rows: DataFrame, *more: str) -> DataFrame:
+    """n: how often each context comes with each pitch type (and with more columns); there are far fewer than pitches."""
+    return rows.groupBy(*CONTEXT, "pitch_type", *more).agg(F.count("*").alias("n"))
+
+
 def train_context_model(rows: DataFrame, trees: int = 20, pitchers: int = 64, seed: int = 7) -> PipelineModel:
-    """Random forest on the game context; the most frequent pitchers have a category each, the rest share one."""
-    top = rows.groupBy("pitcher").count().orderBy(F.desc("count"), "pitcher").limit(pitchers - 1).select("pitcher")
+    """Random forest on the game context; the most frequent pitchers have a category each, the rest share one.
+
+    rows: pitches, or their ``cases`` with a weight n; a tree's bootstrap draws cases.
+    """
+    rows = rows if "n" in rows.columns else materialise(cases(rows), "cases")
+    top = rows.groupBy("pitcher").agg(F.sum("n").alias("count")).orderBy(F.desc("count"), "pitcher").limit(pitchers - 1).select("pitcher")
     frequent = [str(r[0]) for r in top.collect() if r[0] is not None]  # fewer than the forest's bins
     ready = context_rows(rows.withColumn("pitcher_class", pitcher_class(frequent)))
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep") for c in ("pitcher_class", "stand")]
     stages.append(StringIndexer(inputCol="pitch_type", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"))
     stages.append(VectorAssembler(inputCols=["pitcher_class_index", "stand_index", "balls", "strikes", "outs_when_up", "inning"], outputCol="features"))
-    stages.append(RandomForestClassifier(numTrees=trees, maxDepth=6, maxBins=pitchers + 1, seed=seed))
+    stages.append(RandomForestClassifier(numTrees=trees, maxDepth=6, maxBins=pitchers + 1, seed=seed, weightCol="n"))
     return Pipeline(stages=stages).fit(ready)
 
 
