@@ -2,12 +2,13 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from moundworks.functions import expressions as E
-from moundworks.operators import charts, kinematics
+from moundworks.operators import backoff, charts, kinematics, models, scoring
 from moundworks.plans.queries import QUERIES, clean_rows, in_inches
 from moundworks.sources import fixtures, ingest, shared
 
@@ -71,3 +72,19 @@ def test_a_hot_pitcher_is_split_by_bytes_when_a_table_is_written(spark, tmp_path
     table = spark.read.parquet(f"file://{tmp_path}/t")
     files = table.groupBy("game_year", F.input_file_name()).count()
     assert table.count() == pitches.count() and files.groupBy("game_year").count().agg(F.min("count")).first()[0] > 1
+
+
+def test_forests_learn_from_cases_not_from_pitches(spark):
+    rows = fixtures.world(spark, DATA)["pitches"].where("pitch_type IS NOT NULL").limit(2000).cache()
+    twice = models.cases(rows.unionByName(rows))
+    assert twice.agg(F.sum("n")).first()[0] == 4000 and twice.count() == models.cases(rows).count()
+    classes = backoff.pitch_classes(rows)
+    assert digest(backoff.class_counts(models.cases(rows, "game_pk"), classes)) == digest(backoff.class_counts(rows, classes))
+
+
+def test_scoring_in_pieces(monkeypatch):
+    x, weights = np.random.default_rng(1).normal(size=(1000, 5, 6)), scoring.random_weights(6, 16, 4)
+    monkeypatch.setattr(scoring, "PIECE", 2000)
+    want = scoring.forward(x, weights)
+    monkeypatch.setattr(scoring, "PIECE", 7)
+    assert np.allclose(scoring.forward(x, weights), want, atol=1e-12) and len(want) == 1000
