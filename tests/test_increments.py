@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from moundworks.operators import clean, increments, sequences
-from moundworks.sources import ingest, landing
+from moundworks.plans import queries
+from moundworks.sources import fixtures, ingest, landing, shared
 
 COLUMNS = "game_pk long, at_bat_number long, pitch_number long, game_date string, pitcher long, stand string, pitch_type string, release_speed double, plate_x double, plate_z double, balls int, strikes int"
 
@@ -76,3 +77,27 @@ def test_no_rows(spark, tmp_path):
     assert increments.refresh(spark, table) == 0 and increments.windows(spark, table).count() == 0
     landing.land(frame(spark, games_of(2021, range(5), 1)), table, "before the floor")
     assert increments.refresh(spark, table) == 1 and increments.windows(spark, table).count() == 0
+
+
+def test_growth(spark, tmp_path, monkeypatch):
+    """A task holds some rows of a refresh, values are written once, and the first windows are read from the first games alone."""
+    table = f"file://{tmp_path}/t"
+    landing.land(frame(spark, games_of(2022, range(400), 8)), table, "unit")
+    monkeypatch.setattr(shared, "ROWS", 100)
+    increments.refresh(spark, table)
+    stored = spark.read.parquet(f"{table}/_windows/rows")
+    files = stored.groupBy(F.input_file_name(), "edge").count()
+    assert files.agg(F.max("count")).first()[0] < 400 < stored.count() and not set(stored.columns) & set(increments.BEFORE)
+    made = increments.windows(spark, table, limit=77)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.agg(F.max("idx")).first()[0] == 76 and "game_pk" in plan and "strategy=broadcast" in plan
+
+
+def test_years_land_from_their_own_orders(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(landing, "land", lambda new, table, unit: plans.append(new._jdf.queryExecution().optimizedPlan().toString()))
+    queries.landed(fixtures.world(spark, "/root/testdata/sf0.001"))
+    assert len(plans) == 4 and all(p.index("Window") < p.index("Join") < p.rindex("year(") for p in plans)
+    w = fixtures.world(spark, "/root/testdata/sf0.001")
+    years = [fixtures.of_year(w, y) for y in fixtures.YEARS]
+    assert sum(y.count() for y in years) == w["pitches"].count() and not w["pitches"].exceptAll(years[0].unionAll(years[1]).unionAll(years[2]).unionAll(years[3])).count()
