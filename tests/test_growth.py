@@ -32,6 +32,18 @@ def test_a_partition_of_the_pitch_world_is_bounded(spark, monkeypatch):
     assert small < 600 > large and many == pytest.approx(10 * few, rel=0.1)
 
 
+def test_partitions_are_not_joined_where_the_session_has_many(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS", 1000)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        pitches = fixtures.world(spark, "/root/testdata/sf0.01")["pitches"]
+        (world, many), (games, _) = (largest(rows.select("game_pk", "pitch_number")) for rows in (pitches, shared.spread(pitches, "game_pk")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert many == 60 and world < 2000 and games < 4000  # a game has some 256 pitches
+
+
 @pytest.mark.parametrize("name", ["valid_pitches", "pitch_sequences", "pitch_sequences_by_pitcher_game", "training_limit", "ingest_incremental"])
 def test_results_do_not_depend_on_partitions(spark, monkeypatch, name):
     want = digest(QUERIES[name](spark, DATA))
