@@ -44,6 +44,13 @@ def test_partitions_are_not_joined_where_the_session_has_many(spark, monkeypatch
     assert many == 60 and world < 2000 and games < 4000  # a game has some 256 pitches
 
 
+@pytest.mark.parametrize(("rows", "parts"), [(400, 150), (100, 200), (30, 400)])
+def test_rows_are_dealt_without_a_sort_while_partitions_are_bounded(spark, monkeypatch, rows, parts):
+    monkeypatch.setattr(shared, "ROWS", rows)
+    fullest, many = largest(fixtures.world(spark, "/root/testdata/sf0.01")["pitches"].select("game_pk", "pitch_number"))
+    assert many == parts and fullest < 2 * 60_000 / parts  # Spark writes to 200 partitions without sorting
+
+
 @pytest.mark.parametrize("name", ["valid_pitches", "pitch_sequences", "pitch_sequences_by_pitcher_game", "training_limit", "ingest_incremental"])
 def test_results_do_not_depend_on_partitions(spark, monkeypatch, name):
     want = digest(QUERIES[name](spark, DATA))
