@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from moundworks.functions import expressions as E
-from moundworks.operators import backoff, charts, kinematics, models, scoring
+from moundworks.operators import backoff, charts, kinematics, models, scoring, sequences
 from moundworks.plans.queries import QUERIES, clean_rows, in_inches
 from moundworks.sources import fixtures, ingest, shared
 
@@ -51,6 +51,12 @@ def test_rows_are_dealt_without_a_sort_while_partitions_are_bounded(spark, monke
     assert many == parts and fullest < 2 * 60_000 / parts  # Spark writes to 200 partitions without sorting
 
 
+def test_games_are_dealt_without_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS", 10)
+    rows = fixtures.world(spark, DATA)["pitches"].select(*sequences.ORDER)
+    assert shared.spread(rows, "game_pk").rdd.getNumPartitions() == 200
+
+
 @pytest.mark.parametrize("name", ["valid_pitches", "pitch_sequences", "pitch_sequences_by_pitcher_game", "training_limit", "ingest_incremental"])
 def test_results_do_not_depend_on_partitions(spark, monkeypatch, name):
     want = digest(QUERIES[name](spark, DATA))
