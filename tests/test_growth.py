@@ -57,6 +57,11 @@ def test_games_are_dealt_without_a_sort(spark, monkeypatch):
     assert shared.spread(rows, "game_pk").rdd.getNumPartitions() == 200
 
 
+def test_a_year_is_dealt_without_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS", 10)
+    assert fixtures.of_year(fixtures.world(spark, DATA), 2022).select("game_pk", "pitch_number").rdd.getNumPartitions() == 200
+
+
 @pytest.mark.parametrize("name", ["valid_pitches", "pitch_sequences", "pitch_sequences_by_pitcher_game", "training_limit", "ingest_incremental"])
 def test_results_do_not_depend_on_partitions(spark, monkeypatch, name):
     want = digest(QUERIES[name](spark, DATA))
